@@ -114,13 +114,18 @@ def lower_bytes(raw: np.ndarray) -> np.ndarray:
     return np.frombuffer(raw.tobytes().translate(LOWER_TABLE), np.uint8)
 
 
-def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, document) of each word, in order."""
+#: Letters: A-Z, a-z and every byte of a character outside ASCII.
+_NO_LETTER = np.ones(256, dtype=bool)
+_NO_LETTER[65:91] = _NO_LETTER[97:123] = _NO_LETTER[128:] = False
+
+
+def word_spans(raw: np.ndarray, off: np.ndarray, letters: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, document) of each word, in order; with ``letters``, of each run of letters."""
     n = len(raw)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, z
-    solid = ~_IS_SPACE[raw]
+    solid = ~(_NO_LETTER if letters else _IS_SPACE)[raw]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     cut = off[1:-1]

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatformat, decontam, sharding
-from .common import table
+from . import chatformat, decontam, langid, sharding, toxicity
+from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,18 @@ select conv_id, count(*) n_turns,
        sum(n + case when p is null or p <> r then m + 14 else 6 end)::bigint formatted_chars
 from o group by conv_id
 """
+
+
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(crc_mod("doc_id", 3) != 1).select("doc_id", "text", "lang"))
+    return langid.identify(docs, model).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labelled = docs.filter(crc_mod("doc_id", 3) != 1).join(table(spark, sf_dir, "labels").filter(crc_mod("doc_id", 3) != 1).select("doc_id", "toxic"), "doc_id")
+    scored = toxicity.score(docs, toxicity.fit(labelled))
+    return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
