@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatformat, decontam, langid, sharding, toxicity
+from . import chatformat, decontam, langid, ngramjoin, sharding, toxicity
 from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = docs.filter(crc_mod("doc_id", 3) != 1).join(table(spark, sf_dir, "labels").filter(crc_mod("doc_id", 3) != 1).select("doc_id", "toxic"), "doc_id")
     scored = toxicity.score(docs, toxicity.fit(labelled))
     return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+ORACLES["op3_ngram_join"] = r"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda x: x <> '') w from documents),
+s as (select distinct doc_id, case when len(w) >= 4 then array_to_string(w[i:i+3], ' ') else array_to_string(w, ' ') end s
+      from (select doc_id, w, unnest(generate_series(1, greatest(len(w) - 3, 1))) i from w where len(w) > 0)),
+n as (select doc_id, count(*) n from s group by doc_id),
+l as (select x.doc_id a, y.doc_id b from s x join s y using (s) join n p on p.doc_id = x.doc_id join n q on q.doc_id = y.doc_id
+      where x.doc_id <> y.doc_id group by x.doc_id, y.doc_id having 100 * count(*) >= 85 * (any_value(p.n) + any_value(q.n) - count(*))),
+r(a, b) as (select a, b from l union select r.a, l.b from r join l on r.b = l.a)
+select doc_id, coalesce(n, 0)::bigint n_shingles, least(doc_id, coalesce(m, doc_id)) component_id
+from documents left join n using (doc_id) left join (select a doc_id, min(b) m from r group by a) using (doc_id)
+"""
