@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatformat, decontam, langid, ngramjoin, sharding, toxicity
+from . import chatformat, decontam, langid, lattice, lmscore, ngramjoin, sharding, toxicity
 from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,8 +84,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    labelled = docs.filter(crc_mod("doc_id", 3) != 1).join(table(spark, sf_dir, "labels").filter(crc_mod("doc_id", 3) != 1).select("doc_id", "toxic"), "doc_id")
-    scored = toxicity.score(docs, toxicity.fit(labelled))
+    learn = crc_mod("doc_id", 3) != 1
+    scored = toxicity.score(docs, toxicity.fit(docs.filter(learn), table(spark, sf_dir, "labels").filter(learn)))
     return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -105,3 +105,26 @@ r(a, b) as (select a, b from l union select r.a, l.b from r join l on r.b = l.a)
 select doc_id, coalesce(n, 0)::bigint n_shingles, least(doc_id, coalesce(m, doc_id)) component_id
 from documents left join n using (doc_id) left join (select a doc_id, min(b) m from r group by a) using (doc_id)
 """
+
+
+@query
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod("doc_id", 7) != 2).alias("trained"))
+    scored = lmscore.score(docs, lmscore.fit(docs.filter("trained").select("text")))
+    return scored.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
+ORACLES["op2_embedding_near_dedup"] = r"""
+with recursive e as (select vec_id, list_transform(embedding, lambda x: x::double) v from embeddings),
+ok as (select vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) u from e
+       where v is not null and len(v) > 0 and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
+l as (select x.vec_id a, y.vec_id b from ok x join ok y on x.vec_id <> y.vec_id and len(x.u) = len(y.u) and list_inner_product(x.u, y.u) >= 0.9),
+r(a, b) as (select a, b from l union select r.a, l.b from r join l on r.b = l.a)
+select vec_id, coalesce(n, 0)::bigint n_links, least(vec_id, coalesce(m, vec_id)) component_id, vec_id <= coalesce(m, vec_id) kept
+from embeddings left join (select a vec_id, count(*) n from l group by a) using (vec_id) left join (select a vec_id, min(b) m from r group by a) using (vec_id)
+"""

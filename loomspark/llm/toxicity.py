@@ -73,7 +73,7 @@ class ToxicityModel:
 
     def start(self, docs: list[list[np.ndarray]], y: np.ndarray, langs: list[str], seed: int = 3) -> None:
         rng = np.random.default_rng(seed)
-        self.slots, self.emb, odds = [], [], []
+        self.slots, self.emb = [], []
         pos, neg = max(1, int(y.sum())), max(1, int((1 - y).sum()))
         names = sorted(set(langs))
         self.languages = names
@@ -91,7 +91,6 @@ class ToxicityModel:
             b = np.bincount(row, 1 - y[of], s.size)
             lo = np.log((a + 1) / (pos + 2)) - np.log((b + 1) / (neg + 2))
             lo[0] = 0
-            lo -= np.log((neg + 2) / (pos + 2)) * 0
             sure = (a + b) / (a + b + 4)
             e = (rng.standard_normal((s.size, DIM)) * 0.05).astype(np.float32)
             e[:, 0] = np.clip(lo * sure, -3, 4)
@@ -104,7 +103,6 @@ class ToxicityModel:
                 self.guess.append((table - table.mean(1, keepdims=True)).astype(np.float32))
             self.slots.append(s)
             self.emb.append(e)
-            odds.append(e[:, 0])
         d = DIM * len(PARTS)
         self.w = [(rng.standard_normal((k, d, FILTERS)) * 0.15).astype(np.float32) for k in WIDTHS]
         for k in range(len(WIDTHS)):
@@ -192,9 +190,8 @@ class ToxicityModel:
         """Responses of each key's row to each filter tap."""
         self.taps = [np.hstack([e @ self.w[k][o, p * DIM : (p + 1) * DIM] for k, width in enumerate(WIDTHS) for o in range(width)]).astype(np.float32) for p, e in enumerate(self.emb)]
 
-    def logits(self, ks: list[np.ndarray], doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Logit and language guess of each of n texts, from their words' keys."""
-        rows = self.rows(ks)
+    def logits(self, rows: list[np.ndarray], doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Logit and language guess of each of n texts, from the rows of their words' keys."""
         resp = self.taps[0][rows[0]]
         for t, r in zip(self.taps[1:], rows[1:]):
             resp += t[r]
@@ -233,13 +230,13 @@ class ToxicityModel:
     def scores(self, ks: list[np.ndarray], doc: np.ndarray, n: int) -> np.ndarray:
         if not self.ready:
             return np.zeros(n)
-        z, lang = self.logits(ks, doc, n)
+        z, lang = self.logits(self.rows(ks), doc, n)
         at = np.array([self.shift.get(k, self.default_shift) for k in range(max(1, len(self.languages)))])[lang]
         return 1 / (1 + np.exp(-np.clip(z - at + np.log(THRESHOLD / (1 - THRESHOLD)), -40, 40)))
 
 
 def train(docs: list[list[np.ndarray]], y: np.ndarray, langs: list[str], order: np.ndarray, epochs: int = 5, batch: int = 64, seed: int = 3) -> ToxicityModel:
-    """docs: the keys of each document by part; order: a hash of each, by which a quarter only calibrates."""
+    """docs: the keys of each document by part (the list is emptied); order: a hash of each, by which a quarter only calibrates."""
     model = ToxicityModel()
     if not len(docs):
         return model
@@ -247,6 +244,7 @@ def train(docs: list[list[np.ndarray]], y: np.ndarray, langs: list[str], order:
     fit = np.flatnonzero(~held)
     model.start([docs[i] for i in fit], y[fit], [langs[i] for i in fit])
     rows = [model.rows(d) for d in docs]
+    docs.clear()
     rng, cache = np.random.default_rng(seed), {}
     lift = np.sqrt(max(1.0, (1 - y[fit]).sum() / max(1, y[fit].sum())))
     for epoch in range(epochs):
@@ -261,42 +259,40 @@ def train(docs: list[list[np.ndarray]], y: np.ndarray, langs: list[str], order:
     z, lang = np.zeros(len(check)), np.zeros(len(check), int)
     for at in range(0, len(check), 256):
         b = check[at : at + 256]
-        joined = [np.concatenate([docs[i][p] for i in b]) for p in range(len(PARTS))]
-        z[at : at + 256], lang[at : at + 256] = model.logits(joined, np.repeat(np.arange(len(b)), [len(docs[i][0]) for i in b]), len(b))
+        joined = [np.concatenate([rows[i][p] for i in b]) for p in range(len(PARTS))]
+        z[at : at + 256], lang[at : at + 256] = model.logits(joined, np.repeat(np.arange(len(b)), [len(rows[i][0]) for i in b]), len(b))
     model.calibrate(z, lang, y[check])
     return model
 
 
-def fit(labelled: DataFrame, max_rows: int = 6000, max_bytes: int = 200_000) -> ToxicityModel:
-    """labelled (doc_id, text, lang, toxic) -> model, from at most max_rows rows."""
-    rows = labelled.filter("toxic in (0, 1)").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes).select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"), F.col("toxic").cast("int").alias("toxic"))
-    n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bytes: int = 100_000) -> ToxicityModel:
+    """docs (doc_id, text, lang), labels (doc_id, toxic) -> model, from at most max_rows rows of at most max_bytes."""
+    rated = labels.filter("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    n = {r["toxic"]: r["count"] for r in rated.groupBy("toxic").count().collect()}
     pos = min(n.get(1, 0), max_rows // 2)
     want = {1: pos, 0: min(n.get(0, 0), max_rows - pos)}
     part = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000))
     share = {k: min(1_000_000, 1_200_000 * want[k] // max(1, n.get(k, 0)) + 1) for k in want}
-    sample = rows.filter(part < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])).withColumn("h", F.xxhash64("doc_id", F.lit(7)))
+    drawn = rated.filter(part < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
+    texts = docs.filter(F.octet_length("text") <= max_bytes).select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"))
+    sample = texts.join(F.broadcast(drawn), "doc_id")  # about 1.2 max_rows rows of ids
+    got = sample.select("text", "lang", "toxic", F.xxhash64("doc_id", F.lit(7)).alias("h")).toArrow()
 
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, raw, off in chunks(batches):
-            ks, doc = keys(raw, off)
-            cut = np.searchsorted(doc, np.arange(len(off)))
-            packed = [pa.array([k[cut[i] : cut[i + 1]].tobytes() for i in range(len(off) - 1)], pa.binary()) for k in ks]
-            yield pa.RecordBatch.from_arrays([part.column("lang").cast(pa.string()), part.column("toxic"), part.column("h"), *packed], ["lang", "toxic", "h", "k0", "k1", "k2"])
-
-    got = sample.mapInArrow(extract, "lang string, toxic int, h long, k0 binary, k1 binary, k2 binary").toArrow()
-    h, y = got.column("h").to_numpy(), got.column("toxic").to_numpy().astype(np.float32)
-    langs = got.column("lang").to_pylist()
-    chosen, seen = [], set()
-    left = dict(want)
+    h, y = got.column("h").to_numpy(), got.column("toxic").to_numpy()
+    chosen, seen, left = [], set(), dict(want)
     for i in np.argsort(h, kind="stable"):
-        whole = got.column("k0")[int(i)].as_py()
-        if left[int(y[i])] > 0 and hash(whole) not in seen:  # a copy teaches nothing
-            seen.add(hash(whole))
+        text = got.column("text")[int(i)].as_py()
+        if left[int(y[i])] > 0 and hash(text) not in seen:  # a copy teaches nothing
+            seen.add(hash(text))
             left[int(y[i])] -= 1
             chosen.append(int(i))
-    docs = [[np.frombuffer(got.column(f"k{p}")[i].as_py(), np.uint64) for p in range(len(PARTS))] for i in chosen]
-    return train(docs, y[chosen], [langs[i] for i in chosen], h[chosen] & 0x7FFFFFFF)
+    got = got.take(pa.array(chosen, pa.int64()))
+    docs_keys: list[list[np.ndarray]] = []
+    for _, raw, off in chunks(got.select(["text"]).to_batches()):
+        ks, doc = keys(raw, off)
+        cut = np.searchsorted(doc, np.arange(len(off)))
+        docs_keys += [[k[cut[i] : cut[i + 1]].copy() for k in ks] for i in range(len(off) - 1)]
+    return train(docs_keys, y[chosen].astype(np.float32), got.column("lang").to_pylist(), h[chosen] & 0x7FFFFFFF)
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
