@@ -84,3 +84,9 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, threshold: fl
         item_rows = F.broadcast(item_rows) if item_rows.count() <= broadcast_rows else item_rows
     shared = doc_shingles.join(item_rows, "s").groupBy("doc_id", "item_id", "s").agg(F.first("n_item").alias("n_item")).groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"), F.first("n_item").cast("long").alias("n_item"))
     return shared.filter(F.col("n_shared") >= threshold * F.col("n_item") - 1e-9).join(candidates, ["doc_id", "item_id"], "left_semi").withColumn("containment", F.col("n_shared") / F.col("n_item"))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """The rows of docs, with all their columns, that contain no item."""
+    gone = checkpoint(contained_items(docs, items, n, threshold).select("doc_id").distinct())
+    return docs.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, "doc_id", "left_anti")

@@ -204,20 +204,37 @@ def fit(labelled: DataFrame, per_language: int = 1000) -> LanguageModel:
     return train(x, list(langs[keep]), h[keep] & 0x7FFFFFFF)
 
 
+def _predict(model: LanguageModel, text: pa.Array, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(whether there is a letter, index of the language, score) of each row."""
+    lettered = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+    if not model.languages:
+        return np.zeros(len(x), bool), np.zeros(len(x), int), np.zeros(len(x))
+    p, pick = model.probabilities(x)
+    return lettered, pick, np.where(lettered, np.clip(p[np.arange(len(p)), pick], 0, 1), 0.0)
+
+
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """docs (doc_id, text) -> doc_id, lang_pred, score."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def predict(batches):
         for part, x in featured(batches):
-            text = part.column("text")
-            lettered = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            if model.languages:
-                p, pick = model.probabilities(x)
-                score = np.clip(p[np.arange(len(p)), pick], 0, 1)
-            else:
-                lettered, pick, score = np.zeros(len(x), bool), np.zeros(len(x), int), np.zeros(len(x))
+            lettered, pick, score = _predict(model, part.column("text"), x)
             names = [model.languages[k] if ok else "und" for k, ok in zip(pick, lettered)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(np.where(lettered, score, 0.0), pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double")
+
+
+def drop_unidentified(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is known with a score of ``least`` or more."""
+
+    def run(batches):
+        for batch in batches:
+            at = 0
+            for part, x in featured([batch]):
+                lettered, _, score = _predict(model, part.column("text"), x)
+                yield batch.slice(at, len(x)).filter(pa.array(lettered & (score >= least)))
+                at += len(x)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -309,3 +309,17 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80, bucket: int
         labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(_verify(rest, docs, n, percent)))
     ends = label(classes.select("k1", "k2", "rep"), "rep", "c").select("k1", "k2", "c")
     return signed.join(ends, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """The rows of docs, with all their columns, less all but the document with the least id of each group.
+
+    Rows with a null doc_id stay; of rows that share a doc_id one stays.
+    """
+    found = checkpoint(join_components(docs, n, percent))
+    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, "doc_id", "left_anti")
+    again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if again.isEmpty():
+        return kept
+    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))

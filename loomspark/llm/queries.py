@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatformat, decontam, langid, lattice, lmscore, ngramjoin, sharding, toxicity
+from . import chatformat, decontam, langid, lattice, lmscore, ngramjoin, sharding, spiece, tokencount, toxicity
 from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,17 @@ r(a, b) as (select a, b from l union select r.a, l.b from r join l on r.b = l.a)
 select vec_id, coalesce(n, 0)::bigint n_links, least(vec_id, coalesce(m, vec_id)) component_id, vec_id <= coalesce(m, vec_id) kept
 from embeddings left join (select a vec_id, count(*) n from l group by a) using (vec_id) left join (select a vec_id, min(b) m from r group by a) using (vec_id)
 """
+
+
+@query
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every text before and after three edits: a redaction, a deletion and an addition at the end."""
+    n = F.length("text")
+    edit = lambda start, length, put: F.struct(start.cast("int").alias("start"), F.lit(length).alias("length"), F.lit(put).alias("replacement"))
+    edits = F.array(edit(F.floor(n / 3), 12, "[redacted]"), edit(F.floor(n * 2 / 3), 3, ""), edit(n, 0, "\nEnd of document."))
+    return tokencount.recount(table(spark, sf_dir, "documents").select("doc_id", "text", edits.alias("edits")))
+
+
+@query
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spiece.encode(table(spark, sf_dir, "documents"))

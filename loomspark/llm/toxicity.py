@@ -308,3 +308,15 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s, pa.float64())], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(predict, f"doc_id {kind}, score double")
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, that score below the threshold. Nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for part, raw, off in chunks(batches):
+            yield part.filter(pa.array(m.scores(*keys(raw, off), len(off) - 1) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
