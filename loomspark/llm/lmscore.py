@@ -41,7 +41,7 @@ from .common import chunks, lower_bytes, mix64, span_hashes, word_spans
 
 END, START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
 DISCOUNT, WEIGHT, PROBES, TAIL_BYTES = 0.5, 0.3, 3, 5
-BLOCK_WORDS = 1_500_000
+BLOCK_WORDS = 500_000
 THRESHOLDS = np.unique(np.ceil(2.0 ** (np.arange(0, 120) / 2) - 1e-9))
 _MIDDLE = np.r_[0.0, (THRESHOLDS[:-1] + THRESHOLDS[1:] - 1) / 2, THRESHOLDS[-1]]
 
