@@ -10,12 +10,13 @@ each, so
    pairs that pass the length filter and the positional filter (what is left of either set after the
    shared shingle bounds the overlap). A larger one gives only pairs of neighbours by size, and its
    records are kept for step 4. Buckets that the sketch knows to be very large are salted.
-2. Pairs are deduplicated and pass the suffix filter: sizes of 32 hash partitions of either set bound the
+2. Pairs are deduplicated and pass the suffix filter: sizes of 64 hash partitions of either set bound the
    overlap from above.
-3. Each class is verified with its least partner, the components of these links are found, and then every
-   other pair *between different components* is verified: a pair inside one component can't change the result.
+3. Each class is verified with its likeliest partner (by that bound) and the components of these links are
+   found; then with its likeliest one in another component; and then every pair that is left *between
+   different components* is verified: a pair inside one component can't change the result.
 4. Records of large buckets meet again, but only where two components share a bucket; these pairs pass the
-   same filters and are verified in the same way. So no link between components is lost, and a group of n
+   same filters and are verified in the same way, so no pair is left out. So no link between components is lost, and a group of n
    near copies costs about n verifications, not n squared.
 
 Verification ships a class's text once to the smaller partner of each of its pairs, streams it past the
@@ -41,7 +42,8 @@ from pyspark.sql import functions as F
 from .common import checkpoint, chunks, lower_bytes, mix64, run_hashes, span_hashes, word_spans
 from .components import components
 
-SKETCH_BITS, SLICES, PARTS = 18, 16, 32
+SKETCH_BITS, SLICES, PARTS = 18, 16, 64
+FULL = 65_535  # a partition of this size or more: no bound
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +83,8 @@ def _class_keys(h: np.ndarray, d: np.ndarray, docs: int) -> tuple[np.ndarray, np
 
 
 def _partition_sizes(h: np.ndarray, d: np.ndarray, docs: int) -> np.ndarray:
-    return np.bincount(d * PARTS + (h & np.uint64(PARTS - 1)).astype(np.int64), minlength=docs * PARTS).astype(np.int32)
+    """How many shingles of each document fall into each of PARTS hash partitions, FULL at most."""
+    return np.bincount(d * PARTS + (h & np.uint64(PARTS - 1)).astype(np.int64), minlength=docs * PARTS).reshape(docs, PARTS).clip(0, FULL).astype("<u2")
 
 
 def _signatures(docs: DataFrame, n: int) -> DataFrame:
@@ -96,16 +99,16 @@ def _signatures(docs: DataFrame, n: int) -> DataFrame:
             size, k1, k2 = _class_keys(h, d, m)
             sizes = _partition_sizes(h, d, m)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").cast(pa.int64()), pa.array(size.astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * PARTS), pa.array(sizes)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
+                [part.column("doc_id").cast(pa.int64()), pa.array(size.astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array([s.tobytes() for s in sizes], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
                 names,
             )
         if sketch.any():
             packed = [zlib.compress(x.tobytes(), 1) for x in np.split(sketch, SLICES)]
             no = pa.nulls(SLICES, pa.int64())
-            yield pa.RecordBatch.from_arrays([no, no, no, no, pa.nulls(SLICES, pa.list_(pa.int32())), pa.array(range(SLICES), pa.int32()), pa.array(packed, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([no, no, no, no, pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(packed, pa.binary())], names)
 
     names = ["doc_id", "n_shingles", "k1", "k2", "sizes", "slice", "payload"]
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sizes array<int>, slice int, payload binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sizes binary, slice int, payload binary")
 
 
 def _frequencies(parts: DataFrame) -> np.ndarray:
@@ -131,13 +134,25 @@ def _least_overlap(x, y, percent: int):
     return -((-percent * (x + y)) // (100 + percent))
 
 
+#: A record's key is its shingle plus salt * SALT; size, position and salt share one long.
+SALT = 0x632BE59BD9B4E019
+
+
+def _pack(size: np.ndarray, pos: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    return (size.astype(np.int64) << 36) | (pos.astype(np.int64) << 8) | salt.astype(np.int64)
+
+
+def _unpack(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return x >> 36, (x >> 8) & 0xFFFFFFF, x & 0xFF
+
+
 def _prefix_records(docs: DataFrame, n: int, percent: int, frequency: np.ndarray, salt_rows: int) -> DataFrame:
-    """(shingle, salt, hot, k1, size, position): the prefix of each class, rarest shingle first."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequency)
+    """(key, k, x): a row for each shingle in the prefix of each class, rarest shingles first."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequency)  # 2**SKETCH_BITS counts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = shared.value
-        over = (freq - freq.mean()) // salt_rows + 1  # estimate of a shingle's own count, in salts
+        salts_of = np.clip((freq - freq.mean()) // salt_rows + 1, 1, 255).astype(np.int64)  # from an estimate of a shingle's own count
         seen: set[int] = set()  # copies inside a task are dropped before the shuffle
         for _, raw, off in chunks(batches):
             m = len(off) - 1
@@ -159,77 +174,95 @@ def _prefix_records(docs: DataFrame, n: int, percent: int, frequency: np.ndarray
             least = -((-percent * size) // 100)
             keep = position < (size - least + 1)[d]
             h, d, bucket, position = h[keep], d[keep], bucket[keep], position[keep]
-            salts = np.maximum(1, over[bucket]).astype(np.int64)
-            salt = (k1[d] % salts.astype(np.uint64)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.where(salts > 1, salt + 1, 0).astype(np.int32)), pa.array(k1[d].view(np.int64)), pa.array(size[d].astype(np.int32)), pa.array(position.astype(np.int32))], ["s", "salt", "k", "size", "pos"])
+            salts = salts_of[bucket]
+            salt = np.where(salts > 1, (k1[d] % salts.astype(np.uint64)).astype(np.int64) + 1, 0).clip(0, 255)
+            with np.errstate(over="ignore"):
+                key = h + salt.astype(np.uint64) * np.uint64(SALT)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(k1[d].view(np.int64)), pa.array(_pack(size[d], position, salt))], ["key", "k", "x"])
 
-    return docs.select("text").mapInArrow(run, "s long, salt int, k long, size int, pos int")
+    return docs.select("text").mapInArrow(run, "key long, k long, x long")
 
 
 def _passes(sx, px, sy, py, percent: int):
-    """Length and positional filters; works on columns and arrays alike (x the smaller set)."""
+    """Length and positional filters of a pair that shares a shingle at positions px and py."""
     need = _least_overlap(sx, sy, percent)
-    return (100 * sx >= percent * sy) & (1 + sx - px - 1 >= need) & (1 + sy - py - 1 >= need)
+    return (100 * np.minimum(sx, sy) >= percent * np.maximum(sx, sy)) & (np.minimum(sx - px, sy - py) >= need)
 
 
-def _candidates(records: DataFrame, percent: int, bucket: int) -> DataFrame:
-    """(kind, a, b, sa, sb, s, pos): kind 0 are pairs of classes a < b, kind 1 records (b unused) of large or salted buckets."""
-    near = 4  # neighbours by size in a large bucket
+def _candidates(records: DataFrame, percent: int, bucket: int, near: int = 8) -> DataFrame:
+    """(kind, a, b, s, x): kind 0 are pairs of classes a < b, kind 1 the records (class a, shingle s, x) of large or salted buckets.
 
-    def pairs(s, salt, k, size, pos, last_of_hot):
-        cut = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (salt[1:] != salt[:-1])])
-        length = np.diff(np.r_[cut, len(s)])
+    Inside a bucket classes lie in an order that differs from bucket to bucket, so that the few neighbours
+    which are paired in a large bucket are others in each.
+    """
+
+    def emit(key, k, x, hot_first):
+        size, pos, salt = _unpack(x)
+        cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        length = np.diff(np.r_[cut, len(key)])
         run = np.repeat(length, length)
-        big = (run > bucket) | last_of_hot
-        left = np.repeat(cut + length, length) - np.arange(len(s))
-        out = []
-        for gap in range(1, min(bucket, int(length.max(initial=0)))):
+        big = (run > bucket) | (salt > 0)
+        if hot_first:
+            big[: length[0]] = True
+        left = np.repeat(cut + length, length) - np.arange(len(key))
+        out = [np.zeros((2, 0), np.int64)]
+        for gap in range(1, max(min(bucket, int(length.max())), near + 1)):
             i = np.flatnonzero((left > gap) & (~big | (gap <= near)))
             if not len(i):
                 break
             j = i + gap
-            ok = (k[i] != k[j]) & _passes(size[i].astype(np.int64), pos[i].astype(np.int64), size[j].astype(np.int64), pos[j].astype(np.int64), percent)
+            ok = (k[i] != k[j]) & _passes(size[i], pos[i], size[j], pos[j], percent)
             i, j = i[ok], j[ok]
             out.append(np.stack([np.minimum(k[i], k[j]), np.maximum(k[i], k[j])]))
-        both = np.unique(np.concatenate(out, 1), axis=1) if out else np.zeros((2, 0), np.int64)
-        hot = np.flatnonzero(big | ((salt > 0) & (run >= 1)))
-        return both, hot
-
-    def emit(s, salt, k, size, pos, carried_hot):
-        flag = np.zeros(len(s), bool)
-        if carried_hot and len(s):
-            flag = (s == s[0]) & (salt == salt[0])
-        both, hot = pairs(s, salt, k, size, pos, flag)
+        both = np.concatenate(out, 1)
+        order = np.lexsort(both[::-1])
+        both = both[:, order]
+        both = both[:, np.r_[True, (both[:, 1:] != both[:, :-1]).any(0)]] if both.shape[1] else both
+        hot = np.flatnonzero(big)
         m, g = both.shape[1], len(hot)
         z = np.zeros(m, np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.r_[np.zeros(m, np.int32), np.ones(g, np.int32)]), pa.array(np.r_[both[0], k[hot]]), pa.array(np.r_[both[1], np.zeros(g, np.int64)]), pa.array(np.r_[z, size[hot]].astype(np.int32)), pa.array(np.r_[z, s[hot]]), pa.array(np.r_[z, pos[hot]].astype(np.int32))],
-            ["kind", "a", "b", "size", "s", "pos"],
-        )
+        with np.errstate(over="ignore"):
+            s = (key[hot].view(np.uint64) - salt[hot].astype(np.uint64) * np.uint64(SALT)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.r_[np.zeros(m, np.int32), np.ones(g, np.int32)]), pa.array(np.r_[both[0], k[hot]]), pa.array(np.r_[both[1], np.zeros(g, np.int64)]), pa.array(np.r_[z, s]), pa.array(np.r_[z, x[hot]])], ["kind", "a", "b", "s", "x"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        hot = False
+        held, hot = None, False
         for b in batches:
-            now = [b.column(c).to_numpy(zero_copy_only=False) for c in ("s", "salt", "k", "size", "pos")]
+            now = [b.column(c).to_numpy() for c in ("key", "k", "x")]
             if not len(now[0]):
                 continue
             if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now)]
-            s, salt = now[0], now[1]
-            first = int(np.flatnonzero((s != s[-1]) | (salt != salt[-1]))[-1]) + 1 if (s[0] != s[-1] or salt[0] != salt[-1]) else 0
+                now = [np.concatenate(v) for v in zip(held, now)]
+            other = np.flatnonzero(now[0] != now[0][-1])
+            first = int(other[-1]) + 1 if len(other) else 0
             if first:
-                yield emit(*(x[:first] for x in now), hot)
+                yield emit(*(v[:first] for v in now), hot)
                 hot = False
-            held = [x[first:] for x in now]
+            held = [v[first:] for v in now]
             if len(held[0]) > 50_000:  # a very large bucket passes in pieces that share a few rows
                 yield emit(*held, True)
-                held, hot = [x[-near:] for x in held], True
+                held, hot = [v[-near:] for v in held], True
         if held is not None:
             yield emit(*held, hot)
 
-    dealt = records.repartition("s", "salt").sortWithinPartitions("s", "salt", "size", "k")
-    return dealt.mapInArrow(run, "kind int, a long, b long, size int, s long, pos int")
+    return records.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "k")).mapInArrow(run, "kind int, a long, b long, s long, x long")
+
+
+def _suffix_filter(percent: int):
+    """Keeps pairs whose partition sizes allow the overlap they need."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sa, sb = (b.column(c).to_numpy().astype(np.int64) for c in ("sa", "sb"))
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, PARTS).astype(np.int64) for c in ("pa", "pb"))
+            x, y = (np.where(v == FULL, 1 << 40, v) for v in (x, y))
+            bound = np.minimum(np.minimum(x, y).sum(1), np.minimum(sa, sb))
+            keep = bound >= _least_overlap(sa, sb, percent)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(bound / (sa + sb - bound))], ["a", "b", "ratio"]).filter(pa.array(keep))
+
+    return run
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int, fan: int = 512, broadcast_rows: int = 2_000_000) -> DataFrame:
@@ -265,7 +298,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int, fan: int =
     return rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "member").mapInArrow(run, "a long, b long")
 
 
-def join_components(docs: DataFrame, n: int = 5, percent: int = 80, bucket: int = 24, salt_rows: int = 20_000) -> DataFrame:
+def join_components(docs: DataFrame, n: int = 5, percent: int = 80, bucket: int = 24, salt_rows: int = 20_000, likely_rounds: int = 2) -> DataFrame:
     """docs (doc_id, text) -> a row for each: doc_id, n_shingles, component_id (the least doc_id reachable by links)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = checkpoint(_signatures(docs, n))
@@ -277,36 +310,46 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80, bucket: int
     named = classes.select("k1", "rep", "size", "sizes")
 
     def with_both(pairs: DataFrame) -> DataFrame:
-        """Representatives and sizes of both classes, after the suffix filter: doc_ids a > b."""
+        """Pairs of classes to pairs of doc_ids a > b, after the suffix filter; ``ratio`` bounds their similarity from above."""
         x = named.select(F.col("k1").alias("a"), F.col("rep").alias("ra"), F.col("size").alias("sa"), F.col("sizes").alias("pa"))
         y = named.select(F.col("k1").alias("b"), F.col("rep").alias("rb"), F.col("size").alias("sb"), F.col("sizes").alias("pb"))
         both = pairs.join(x, "a").join(y, "b")
-        bound = F.expr(f"aggregate(sequence(0, {PARTS - 1}), 0L, (t, i) -> t + least(pa[i], pb[i]))")
-        need = F.expr(f"-floor(-{percent} * (sa + sb) / {100 + percent})")
-        return both.filter(bound >= need).select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b"))
-
-    pairs = checkpoint(with_both(found.filter("kind = 0").select("a", "b").distinct()))
-    first = pairs.groupBy("a").agg(F.min("b").alias("b"))
-    links = checkpoint(_verify(first, docs, n, percent))
-    labels = components(links)
+        return both.select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b"), "sa", "sb", "pa", "pb").mapInArrow(_suffix_filter(percent), "a long, b long, ratio double")
 
     def label(df: DataFrame, of: str, name: str) -> DataFrame:
         return df.join(labels.select(F.col("id").alias(of), F.col("component").alias("_c")), of, "left").withColumn(name, F.coalesce("_c", of)).drop("_c")
 
-    rest = label(label(pairs.join(first, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
-    hot = found.filter("kind = 1").select("s", F.col("a").alias("k"), "size", "pos").distinct()
+    def across(pairs: DataFrame) -> DataFrame:
+        return label(label(pairs, "a", "ca"), "b", "cb").filter("ca <> cb").drop("ca", "cb")
+
+    def linked_too(pairs: DataFrame) -> DataFrame:
+        """The components with those of ``pairs`` that are links."""
+        return components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(_verify(pairs, docs, n, percent)))
+
+    pairs = checkpoint(with_both(found.filter("kind = 0").select("a", "b").distinct()))
+    labels = docs.sparkSession.createDataFrame([], "id long, component long")
+    left = pairs
+    for _ in range(likely_rounds):
+        if left.isEmpty():
+            break
+        likely = left.groupBy("a").agg(F.max_by("b", F.struct("ratio", -F.col("b"))).alias("b"))
+        labels = linked_too(likely)
+        left = checkpoint(across(left.join(likely, ["a", "b"], "left_anti")))
+    if not left.isEmpty():
+        labels = linked_too(left.select("a", "b"))
+
+    hot = found.filter("kind = 1").select("s", F.col("a").alias("k"), F.shiftright("x", 36).alias("size"), F.expr("shiftright(x, 8) & 268435455").alias("pos")).distinct()
     hot = label(hot.join(named.select(F.col("k1").alias("k"), "rep"), "k"), "rep", "c")
     mixed = hot.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("s")
     hot = checkpoint(hot.join(mixed, "s", "left_semi"))
-    x, y = (hot.select("s", *[F.col(c).alias(c + v) for c in ("k", "rep", "c", "size", "pos")]) for v in "xy")
-    size = lambda v: F.col(v).cast("long")
-    need = F.expr(f"-floor(-{percent} * (cast(sizex as long) + sizey) / {100 + percent})")
-    across = x.join(y, "s").filter((F.col("cx") != F.col("cy")) & ((size("sizex") < size("sizey")) | ((F.col("sizex") == F.col("sizey")) & (F.col("kx") < F.col("ky")))))
-    across = across.filter((100 * size("sizex") >= percent * size("sizey")) & (size("sizex") - F.col("posx") >= need) & (size("sizey") - F.col("posy") >= need))
-    more = with_both(across.select(F.col("kx").alias("a"), F.col("ky").alias("b")).distinct())
-    rest = checkpoint(rest.unionByName(more).distinct())
-    if rest.count():
-        labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(_verify(rest, docs, n, percent)))
+    if not hot.isEmpty():
+        p, q = (hot.select("s", *[F.col(c).alias(c + v) for c in ("k", "c", "size", "pos")]) for v in "xy")
+        need = F.expr(f"-floor(-{percent} * (sizex + sizey) / {100 + percent})")
+        met = p.join(q, "s").filter((F.col("cx") < F.col("cy")) & (100 * F.least("sizex", "sizey") >= percent * F.greatest("sizex", "sizey")) & (F.least(F.col("sizex") - F.col("posx"), F.col("sizey") - F.col("posy")) >= need))
+        more = with_both(met.select(F.least("kx", "ky").alias("a"), F.greatest("kx", "ky").alias("b")).distinct())
+        more = checkpoint(more.join(pairs, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            labels = linked_too(more.select("a", "b"))
     ends = label(classes.select("k1", "k2", "rep"), "rep", "c").select("k1", "k2", "c")
     return signed.join(ends, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))
 
