@@ -6,7 +6,7 @@ into one block by array functions, and the blocks are concatenated:
     <turn:ROLE>text<part>text</turn><turn:ROLE>text</turn>
 
 Escaping is reversible and local: a backslash becomes ``\\b`` and ``<`` becomes ``\\l`` inside roles and
-texts, so ``<`` occurs in the output only where a mark begins, and reading back is two replacements.
+texts (and ``>`` becomes ``\\g`` in roles), so ``<`` occurs in the output only where a mark begins, and reading back is a split and replacements.
 
 ``format_chats`` also returns ``segments``: the formatted string cut into pieces with a loss flag; their
 concatenation is the formatted string, and the flag is set on assistant texts alone, never on marks.
@@ -29,8 +29,13 @@ def escape(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("\\"), F.lit("\\b")), F.lit("<"), F.lit("\\l"))
 
 
+def escape_role(c: Column) -> Column:
+    """A role stands inside a mark, so its ``>`` is escaped too."""
+    return F.replace(escape(c), F.lit(">"), F.lit("\\g"))
+
+
 def unescape(c: Column) -> Column:
-    return F.replace(F.replace(c, F.lit("\\l"), F.lit("<")), F.lit("\\b"), F.lit("\\"))
+    return F.replace(F.replace(F.replace(c, F.lit("\\l"), F.lit("<")), F.lit("\\g"), F.lit(">")), F.lit("\\b"), F.lit("\\"))
 
 
 def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
@@ -42,7 +47,7 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
 
     def segments(b: Column) -> Column:
         loss = b["role"] == loss_role
-        head = F.struct(F.concat(F.lit("<turn:"), escape(b["role"]), F.lit(">")).alias("text"), F.lit(False).alias("loss"))
+        head = F.struct(F.concat(F.lit("<turn:"), escape_role(b["role"]), F.lit(">")).alias("text"), F.lit(False).alias("loss"))
         parts = F.flatten(F.transform(b["texts"], lambda t, i: F.array(F.struct(F.when(i > 0, F.lit(PART)).otherwise(F.lit("")).alias("text"), F.lit(False).alias("loss")), F.struct(escape(t).alias("text"), loss.alias("loss")))))
         return F.concat(F.array(head), parts, F.array(F.struct(F.lit(CLOSE).alias("text"), F.lit(False).alias("loss"))))
 

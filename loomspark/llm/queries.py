@@ -64,7 +64,7 @@ with t as (select conv_id, turn, coalesce(role, '') r, coalesce(text, '') x from
            union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 o as (select *, lag(r) over (partition by conv_id order by turn nulls first, r, x) p,
              length(x) + length(x) - length(replace(replace(x, '\', ''), '<', '')) n,
-             length(r) + length(r) - length(replace(replace(r, '\', ''), '<', '')) m from t)
+             length(r) + length(r) - length(replace(replace(replace(r, '\', ''), '<', ''), '>', '')) m from t)
 select conv_id, count(*) n_turns,
        sha256(string_agg(r || chr(10) || x || chr(10), '' order by turn nulls first, r, x)) turns_sha256,
        coalesce(sum(length(x)) filter (r = 'assistant'), 0)::bigint loss_chars,
