@@ -76,7 +76,7 @@ def run(args: argparse.Namespace, engine) -> int:
         engine.index()
         before = engine.store.current()["snapshot"]
         report = engine.golden(queries, args.fusion)
-        out = asdict(report)
+        out = asdict(report) | {"provenance": asdict(engine.provenance(args.file, queries, args.fusion))}
         if engine.store.current()["snapshot"] != before:
             print("warning: the index changed during the run", file=sys.stderr)
         if baseline:

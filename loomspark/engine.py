@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, replace
 from datetime import UTC, datetime, timedelta
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark import VERSION
 from loomspark.functions.text import FrontmatterError, parse_note
 from loomspark.operators import activity, gaps, golden, graph, refresh, vector
 from loomspark.operators import neighbors as walk
@@ -180,6 +183,15 @@ class Engine:
             rows.append(files.GoldenRow(q.text, len(found) / len(q.expect), found, tuple(p for p in q.expect if p not in got)))
         return files.GoldenReport(tuple(rows), sum(r.recall for r in rows) / len(rows) if rows else 0.0)
 
+    def provenance(self, path: str | Path, queries: list[files.GoldenQuery], fusion: Fusion = Fusion.RRF) -> files.GoldenProvenance:
+        """What a report was measured against."""
+        own = self.embedder.identity
+        revision, changed = gitlog.revision(self.policy)
+        return files.GoldenProvenance(
+            oracle_path=str(path), oracle_sha256=hashlib.sha256(Path(path).read_bytes()).hexdigest(), query_count=len(queries), vault_revision=revision, vault_dirty=changed,
+            note_count=self._table("notes").count(), chunk_count=self.store.current()["chunks"], model_name=own.name, model_dim=own.dim, model_version=own.version, fusion=Fusion(fusion).value, engine_version=VERSION,
+        )
+
     def diff(self, baseline: files.GoldenReport, current: files.GoldenReport) -> list[dict]:
         frames = [self.spark.createDataFrame([(i, r.query, r.recall) for i, r in enumerate(x.rows)], "position int, query string, recall double") for x in (baseline, current)]
         return [r.asDict() for r in golden.diff(*frames).orderBy("position").drop("position").collect()]

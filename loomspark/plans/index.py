@@ -67,6 +67,9 @@ def refresh(spark: SparkSession, policy: Policy, store: IndexStore, embedder: Em
         "removed": removed.count(),
     }
     counts["unchanged"] = walked.count() - counts["added"] - counts["updated"]
+    if built and counts["added"] + counts["updated"] + counts["removed"] + touched.count() == 0:
+        maybe.unpersist()
+        return RefreshReport(**counts, defects=(), chars_chunkable=0, chars_embedded=0)  # nothing to write
     parsed = _parsed(changed.select("note_path", "content")).cache()
     new_chunks = chunk_notes(parsed, embedder.count_tokens).cache()
     defects = tuple(r[0] for r in _defects(parsed).orderBy("defect").collect())  # a line for each broken note

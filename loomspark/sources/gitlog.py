@@ -72,6 +72,12 @@ def by_mtime(policy: Policy, since: datetime) -> dict[str, datetime]:
     return {k: v for k, v in times.items() if v >= since}
 
 
+def revision(policy: Policy) -> tuple[str | None, bool | None]:
+    """(HEAD, whether anything is uncommitted); None where git can't say."""
+    head, state = _git(policy, "rev-parse", "HEAD"), _git(policy, "status", "--porcelain", "--", ".")
+    return (head.strip() if head else None), (bool(state.strip()) if state is not None else None)
+
+
 def changes(spark: SparkSession, policy: Policy, since: datetime) -> tuple[DataFrame, DataFrame]:
     """(committed, uncommitted) as (note_path, ts); file times stand for both where git can't be used."""
     log = committed(policy, since)

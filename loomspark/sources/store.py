@@ -7,6 +7,7 @@ old index or the new one, whole. Vectors are a column of ``chunks``: there is no
 from __future__ import annotations
 
 import json
+import shutil
 import uuid
 from dataclasses import asdict
 from pathlib import Path
@@ -82,9 +83,17 @@ class IndexStore:
             columns = [c.split()[0] for c in TABLES[table].split(", ")]
             frame.select(*columns).write.parquet(str(self.index_dir / name / table))
         chunks = spark.read.schema(TABLES["chunks"]).parquet(str(self.index_dir / name / "chunks")).count()
+        before = self.current() if self.pointer.exists() else None
         write_atomically(self.pointer, json.dumps({"snapshot": name, "schema_version": SCHEMA_VERSION, "identity": asdict(identity), "chunks": chunks}).encode())
+        self._prune({name, (before or {}).get("snapshot")})
         return name
 
+    def _prune(self, keep: set[str | None]) -> None:
+        """Remove snapshots but the newest and the one before, which a reader may still hold."""
+        for folder in self.index_dir.glob("snapshot-*"):
+            if folder.name not in keep:
+                shutil.rmtree(folder, ignore_errors=True)
+
     def reset(self) -> None:
         self.pointer.unlink(missing_ok=True)
 
