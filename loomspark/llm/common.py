@@ -7,8 +7,9 @@ same set of words that the regular expression ``[^\\x20\\x09-\\x0D]+`` finds in
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 
 #: Texts are handled in chunks of about this many bytes, which bounds a worker's memory.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +39,32 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: workers and the driver handle several stages in one process."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+#: Texts come in Arrow batches of this many rows at most: a batch exists several times over, in the JVM and here.
+ARROW_ROWS = 2000
+_ARROW_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gets small batches (a setting of the session) and gives memory back when its task is over."""
+    conf = SparkSession.active().conf
+    if not 0 < int(conf.get(_ARROW_CONF)) <= ARROW_ROWS:
+        conf.set(_ARROW_CONF, ARROW_ROWS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        release_memory()
+
+    return run
+
+
 def crc_mod(col: str, m: int):
     """crc32 of the id as text, modulo m."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % m

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, release_memory, bounded
 
 # ISO 639-1 codes by family.
 FAMILIES = {
@@ -147,7 +147,7 @@ class LanguageModel:
 
 
 def train(x: np.ndarray, langs: list[str], order: np.ndarray) -> LanguageModel:
-    """order: a hash of each row; a fifth of the rows, by it, calibrates and doesn't train."""
+    """x is centred in place. order: a hash of each row; a fifth of the rows, by it, calibrates and doesn't train."""
     model = LanguageModel(languages=sorted(set(langs)))
     if not model.languages:
         return model
@@ -160,7 +160,7 @@ def train(x: np.ndarray, langs: list[str], order: np.ndarray) -> LanguageModel:
     held = (order % 5 == 0) if len(y) >= 50 else np.zeros(len(y), bool)
     fit, check = ~held, held if held.any() else ~held
     model.mean = x[fit].mean(0, dtype=np.float64).astype(np.float32)
-    x = x - model.mean
+    x -= model.mean
     xc = np.hstack([x[check], np.ones((check.sum(), 1), np.float32)])
     if len(model.families) > 1:
         target = np.where(fam[fit][:, None] == np.arange(len(model.families)), 1.0, -1.0).astype(np.float32)
@@ -180,7 +180,7 @@ def train(x: np.ndarray, langs: list[str], order: np.ndarray) -> LanguageModel:
     return model
 
 
-def fit(labelled: DataFrame, per_language: int = 1000) -> LanguageModel:
+def fit(labelled: DataFrame, per_language: int = 500) -> LanguageModel:
     """labelled (doc_id, text, lang) -> model, from at most ``per_language`` rows of each language."""
     rows = labelled.filter("lang is not null and lang <> '' and text is not null").select("doc_id", "text", "lang")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -195,13 +195,17 @@ def fit(labelled: DataFrame, per_language: int = 1000) -> LanguageModel:
             packed = pa.array([v.tobytes() for v in x.astype(np.float16)], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column("lang").cast(pa.string()), part.column("h"), packed], ["lang", "h", "x"])
 
-    got = sample.mapInArrow(extract, "lang string, h long, x binary").toArrow()
+    got = sample.mapInArrow(bounded(extract), "lang string, h long, x binary").toArrow()
     h = got.column("h").to_numpy()
     langs = np.array(got.column("lang").to_pylist(), dtype=object)
     keep = np.concatenate([np.flatnonzero(langs == c)[np.argsort(h[langs == c], kind="stable")][:per_language] for c in sorted(counts)]).astype(int)
     packed = got.column("x")
     x = np.stack([np.frombuffer(packed[int(i)].as_py(), np.float16).astype(np.float32) for i in keep]) if len(keep) else np.zeros((0, 1 << BITS), np.float32)
-    return train(x, list(langs[keep]), h[keep] & 0x7FFFFFFF)
+    del got, packed
+    model = train(x, list(langs[keep]), h[keep] & 0x7FFFFFFF)
+    del x
+    release_memory()
+    return model
 
 
 def _predict(model: LanguageModel, text: pa.Array, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,7 +227,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             names = [model.languages[k] if ok else "und" for k, ok in zip(pick, lettered)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(bounded(predict), f"doc_id {kind}, lang_pred string, score double")
 
 
 def drop_unidentified(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
@@ -237,4 +241,4 @@ def drop_unidentified(docs: DataFrame, model: LanguageModel, least: float = 0.5)
                 yield batch.slice(at, len(x)).filter(pa.array(lettered & (score >= least)))
                 at += len(x)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(bounded(run), docs.schema)

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, lower_bytes, mix64, span_hashes, word_spans
+from .common import chunks, lower_bytes, mix64, span_hashes, bounded, word_spans
 
 END, START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
 DISCOUNT, WEIGHT, PROBES, TAIL_BYTES = 0.5, 0.3, 3, 5
@@ -233,8 +233,8 @@ def fit(train: DataFrame, max_filter_bits: int = 29) -> CountFilter:
         if rows:
             yield make(at, rows)
 
-    counted = train.select("text").mapInArrow(count, "seg int, kind int, h binary, c binary")
-    got = counted.repartition("seg").sortWithinPartitions("seg").mapInArrow(reduce, "seg int, bits binary, n long, v long, z double").toArrow()  # max_filter_bits / 8 bytes
+    counted = train.select("text").mapInArrow(bounded(count), "seg int, kind int, h binary, c binary")
+    got = counted.repartition("seg").sortWithinPartitions("seg").mapInArrow(bounded(reduce), "seg int, bits binary, n long, v long, z double").toArrow()  # max_filter_bits / 8 bytes
     each = (1 << (size_bits - s)) // 8
     bits = np.zeros((1 << size_bits) // 8, np.uint8)
     for seg, b in zip(got.column("seg").to_pylist(), got.column("bits")):
@@ -335,6 +335,6 @@ def score(docs: DataFrame, model: CountFilter) -> DataFrame:
         if rows:
             yield make(rows)
 
-    asked = docs.select("doc_id", "text", "trained").mapInArrow(ask, "seg int, block long, ids binary, tokens binary, scores binary, h binary, c binary, runs binary, of binary, times binary")
-    answered = asked.repartition("seg").sortWithinPartitions("seg").mapInArrow(answer, "block long, ids binary, tokens binary, scores binary, of binary, sums binary, known binary")
-    return answered.repartition("block").sortWithinPartitions("block").mapInArrow(finish, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    asked = docs.select("doc_id", "text", "trained").mapInArrow(bounded(ask), "seg int, block long, ids binary, tokens binary, scores binary, h binary, c binary, runs binary, of binary, times binary")
+    answered = asked.repartition("seg").sortWithinPartitions("seg").mapInArrow(bounded(answer), "block long, ids binary, tokens binary, scores binary, of binary, sums binary, known binary")
+    return answered.repartition("block").sortWithinPartitions("block").mapInArrow(bounded(finish), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -32,12 +32,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import mix64, text_buffers
+from .common import mix64, text_buffers, bounded
 
 SPACE = "▁"
 ZIPF_SHIFT, UNIT, LONG = 1000.0, 1 << 20, 48
 BYTE_SCORE, NEVER = -30 * UNIT, -(1 << 60)
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 19
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -265,8 +265,8 @@ def encode_batch(v: Vocabulary, texts: list[str]) -> tuple[np.ndarray, np.ndarra
     for l in np.unique(one_len):
         own = np.flatnonzero(one_len == l)
         if l <= LONG:
-            for lo in range(0, len(own), 20_000):
-                some = own[lo : lo + 20_000]
+            for lo in range(0, len(own), 8000):
+                some = own[lo : lo + 8000]
                 at = start[one[some]][:, None] + np.arange(l)
                 flat, n = _unit_ids(v, codes[at], literal[at])
                 n_ids[some] = n
@@ -343,7 +343,7 @@ def encode(docs: DataFrame, model_path: str | None = None) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(flat), mask=pa.array(gone))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, mask=gone), lists, pa.array(same, mask=gone)], ["doc_id", "n_ids", "ids", "restored"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_ids long, ids array<int>, restored boolean")
+    return docs.select("doc_id", "text").mapInArrow(bounded(run), f"doc_id {kind}, n_ids long, ids array<int>, restored boolean")
 
 
 def decode(coded: DataFrame, model_path: str | None = None) -> DataFrame:
@@ -363,4 +363,4 @@ def decode(coded: DataFrame, model_path: str | None = None) -> DataFrame:
                 texts = [raw[off[i] : off[i + 1]].tobytes() if ids[i].is_valid else None for i in range(len(n))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "text"])
 
-    return coded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return coded.select("doc_id", "ids").mapInArrow(bounded(run), f"doc_id {kind}, text string")

@@ -25,6 +25,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import bounded
+
 LEAF_CHARS = 512
 CHUNK_CHARS = 1 << 20
 _BOUNDARY = re.compile(r"(?<=\S)(?=\s)")
@@ -183,4 +185,4 @@ def recount(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
                 rows.append((before, tree.total, len(parts), tree.reencoded))
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 4))], ["doc_id", "n_tokens", "n_tokens_edited", "n_leaves", "n_chars_reencoded"])
 
-    return docs.select("doc_id", "text", "edits").mapInArrow(run, f"doc_id {kind}, n_tokens long, n_tokens_edited long, n_leaves long, n_chars_reencoded long")
+    return docs.select("doc_id", "text", "edits").mapInArrow(bounded(run), f"doc_id {kind}, n_tokens long, n_tokens_edited long, n_leaves long, n_chars_reencoded long")

@@ -25,6 +25,7 @@ an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, lower_bytes, span_hashes, word_spans
+from .common import chunks, lower_bytes, release_memory, span_hashes, bounded, word_spans
 
 THRESHOLD = 0.7
-WIDTHS, FILTERS, DIM, SLOT_BITS = (1, 2, 3), 6, 6, 20
+WIDTHS, FILTERS, DIM, SLOT_BITS = (1, 2, 3), 6, 6, 19
 PARTS = (1 << 30, 5, 7)  # how many bytes of a word each key takes
 
 
@@ -71,7 +72,8 @@ class ToxicityModel:
     def __init__(self):
         self.ready = False
 
-    def start(self, docs: list[list[np.ndarray]], y: np.ndarray, langs: list[str], seed: int = 3) -> None:
+    def start(self, part_keys, fit: np.ndarray, y: np.ndarray, langs: list[str], seed: int = 3) -> list[list[np.ndarray]]:
+        """Tables and first weights from the rows ``fit``; returns the table rows of each document's words, by part."""
         rng = np.random.default_rng(seed)
         self.slots, self.emb = [], []
         pos, neg = max(1, int(y.sum())), max(1, int((1 - y).sum()))
@@ -79,8 +81,10 @@ class ToxicityModel:
         self.languages = names
         code = np.array([names.index(c) for c in langs])
         self.guess: list[np.ndarray] = []
+        rows: list[list[np.ndarray]] = []
         for p in range(len(PARTS)):
-            once = [np.unique(d[p]) for d in docs]
+            every = part_keys(p)
+            once = [np.unique(every[i]) for i in fit]
             flat, of = np.concatenate(once), np.repeat(np.arange(len(once)), [len(o) for o in once])
             known, inv, df = np.unique(flat, return_inverse=True, return_counts=True)
             by_count = np.argsort(-df, kind="stable")
@@ -103,6 +107,7 @@ class ToxicityModel:
                 self.guess.append((table - table.mean(1, keepdims=True)).astype(np.float32))
             self.slots.append(s)
             self.emb.append(e)
+            rows.append([s(k).astype(np.int32) for k in every])
         d = DIM * len(PARTS)
         self.w = [(rng.standard_normal((k, d, FILTERS)) * 0.15).astype(np.float32) for k in WIDTHS]
         for k in range(len(WIDTHS)):
@@ -115,7 +120,8 @@ class ToxicityModel:
         self.out = np.full(FILTERS * len(WIDTHS), 0.2, np.float32)
         self.bias = np.float32(-2.0)
         self.shift: dict[int, float] = {}
-        self.default_shift, self.scale, self.ready = 0.0, 1.0, True
+        self.default_shift, self.ready = 0.0, True
+        return rows
 
     def rows(self, ks: list[np.ndarray]) -> list[np.ndarray]:
         return [s(k) for s, k in zip(self.slots, ks)]
@@ -190,6 +196,13 @@ class ToxicityModel:
         """Responses of each key's row to each filter tap."""
         self.taps = [np.hstack([e @ self.w[k][o, p * DIM : (p + 1) * DIM] for k, width in enumerate(WIDTHS) for o in range(width)]).astype(np.float32) for p, e in enumerate(self.emb)]
 
+    def slim(self) -> ToxicityModel:
+        """What scoring needs."""
+        out = copy.copy(self)
+        if self.ready:
+            out.emb = out.w = None
+        return out
+
     def logits(self, rows: list[np.ndarray], doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Logit and language guess of each of n texts, from the rows of their words' keys."""
         resp = self.taps[0][rows[0]]
@@ -235,32 +248,33 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z - at + np.log(THRESHOLD / (1 - THRESHOLD)), -40, 40)))
 
 
-def train(docs: list[list[np.ndarray]], y: np.ndarray, langs: list[str], order: np.ndarray, epochs: int = 5, batch: int = 64, seed: int = 3) -> ToxicityModel:
-    """docs: the keys of each document by part (the list is emptied); order: a hash of each, by which a quarter only calibrates."""
+def train(part_keys, y: np.ndarray, langs: list[str], order: np.ndarray, epochs: int = 5, batch: int = 64, seed: int = 3) -> ToxicityModel:
+    """part_keys(p): the keys of each document's words by part p, made anew at each call, so only one part is held.
+
+    order: a hash of each document, by which a quarter only calibrates.
+    """
     model = ToxicityModel()
-    if not len(docs):
+    if not len(y):
         return model
-    held = order % 4 == 0 if len(docs) >= 40 else np.zeros(len(docs), bool)
+    held = order % 4 == 0 if len(y) >= 40 else np.zeros(len(y), bool)
     fit = np.flatnonzero(~held)
-    model.start([docs[i] for i in fit], y[fit], [langs[i] for i in fit])
-    rows = [model.rows(d) for d in docs]
-    docs.clear()
+    rows = model.start(part_keys, fit, y[fit], [langs[i] for i in fit])
     rng, cache = np.random.default_rng(seed), {}
     lift = np.sqrt(max(1.0, (1 - y[fit]).sum() / max(1, y[fit].sum())))
     for epoch in range(epochs):
         mixed = rng.permutation(fit)
         for at in range(0, len(mixed), batch):
             b = mixed[at : at + batch]
-            joined = [np.concatenate([rows[i][p] for i in b]) for p in range(len(PARTS))]
-            doc = np.repeat(np.arange(len(b)), [len(rows[i][0]) for i in b])
+            joined = [np.concatenate([rows[p][i] for i in b]) for p in range(len(PARTS))]
+            doc = np.repeat(np.arange(len(b)), [len(rows[0][i]) for i in b])
             model.step(joined, doc, y[b], np.where(y[b] > 0, lift, 1.0), cache, 0.05 / (1 + epoch))
     model.freeze()
     check = np.flatnonzero(held) if held.any() else fit
     z, lang = np.zeros(len(check)), np.zeros(len(check), int)
     for at in range(0, len(check), 256):
         b = check[at : at + 256]
-        joined = [np.concatenate([rows[i][p] for i in b]) for p in range(len(PARTS))]
-        z[at : at + 256], lang[at : at + 256] = model.logits(joined, np.repeat(np.arange(len(b)), [len(rows[i][0]) for i in b]), len(b))
+        joined = [np.concatenate([rows[p][i] for i in b]) for p in range(len(PARTS))]
+        z[at : at + 256], lang[at : at + 256] = model.logits(joined, np.repeat(np.arange(len(b)), [len(rows[0][i]) for i in b]), len(b))
     model.calibrate(z, lang, y[check])
     return model
 
@@ -287,19 +301,27 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bytes: int
             left[int(y[i])] -= 1
             chosen.append(int(i))
     got = got.take(pa.array(chosen, pa.int64()))
-    docs_keys: list[list[np.ndarray]] = []
-    for _, raw, off in chunks(got.select(["text"]).to_batches()):
-        ks, doc = keys(raw, off)
-        cut = np.searchsorted(doc, np.arange(len(off)))
-        docs_keys += [[k[cut[i] : cut[i + 1]].copy() for k in ks] for i in range(len(off) - 1)]
-    return train(docs_keys, y[chosen].astype(np.float32), got.column("lang").to_pylist(), h[chosen] & 0x7FFFFFFF)
+    texts = got.select(["text"]).to_batches()
+
+    def part_keys(p: int) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for _, raw, off in chunks(texts):
+            ks, doc = keys(raw, off)
+            cut = np.searchsorted(doc, np.arange(len(off)))
+            out += [ks[p][cut[i] : cut[i + 1]].copy() for i in range(len(off) - 1)]
+        return out
+
+    model = train(part_keys, y[chosen].astype(np.float32), got.column("lang").to_pylist(), h[chosen] & 0x7FFFFFFF)
+    del got, texts
+    release_memory()
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """docs (doc_id, text) -> doc_id, score."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(model)  # at most max_rows documents' keys and 2**SLOT_BITS slots: a bounded size
+    shared = sc.broadcast(model.slim())  # at most max_rows documents' keys and 2**SLOT_BITS slots: a bounded size
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -307,16 +329,16 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             s = m.scores(*keys(raw, off), len(off) - 1)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s, pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(predict, f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInArrow(bounded(predict), f"doc_id {kind}, score double")
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, that score below the threshold. Nothing is shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.slim())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for part, raw, off in chunks(batches):
             yield part.filter(pa.array(m.scores(*keys(raw, off), len(off) - 1) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(bounded(run), docs.schema)
