@@ -14,22 +14,30 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 
+ROWS_PER_TASK = 20_000
+
+
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """The frame in as few tasks as so many rows need: each task of a stage leaves files of its own behind, however few its rows."""
+    return df.coalesce(1 + rows // ROWS_PER_TASK)
+
+
 def _state(edges: DataFrame) -> tuple:
     r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
     return r["n"], r["h"]
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, n: int) -> DataFrame:
     both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return packed(packed(both.join(least, "a").filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")), n).distinct(), n)
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, n: int) -> DataFrame:
     """Edges point from the larger to the smaller vertex."""
     least = e.groupBy("a").agg(F.min("b").alias("m"))
     linked = e.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return linked.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    return packed(packed(linked.unionByName(least.select("a", F.col("m").alias("b"))), n).distinct(), n)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -38,7 +46,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     e = checkpoint(own.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(e)
     for _ in range(most_rounds if state[0] else 0):
-        e = checkpoint(_small_star(_large_star(e)))
+        e = packed(e, state[0])
+        e = checkpoint(_small_star(_large_star(e, state[0]), state[0]))
         new = _state(e)
         if new == state:
             break
@@ -46,4 +55,4 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         if state[0]:
             raise RuntimeError("components didn't settle")
-    return e.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    return packed(e, state[0]).select(F.col("a").alias("id"), F.col("b").alias("component"))

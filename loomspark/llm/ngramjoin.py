@@ -13,8 +13,8 @@ each, so
 2. Pairs are deduplicated and pass the suffix filter: sizes of 64 hash partitions of either set bound the
    overlap from above.
 3. Each class is verified with its likeliest partner (by that bound) and the components of these links are
-   found; then with its likeliest one in another component; and then every pair that is left *between
-   different components* is verified: a pair inside one component can't change the result.
+   found; then the likeliest pair of each two components is, for some rounds; and then every pair that is
+   left *between different components*: a pair inside one component can't change the result.
 4. Records of large buckets meet again, but only where two components share a bucket; these pairs pass the
    same filters and are verified in the same way, so no pair is left out. So no link between components is lost, and a group of n
    near copies costs about n verifications, not n squared.
@@ -39,8 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, chunks, lower_bytes, mix64, run_hashes, span_hashes, word_spans
-from .components import components
+from .common import checkpoint, chunks, lower_bytes, mix64, run_hashes, span_hashes, bounded, word_spans
+from .components import components, packed
 
 SKETCH_BITS, SLICES, PARTS = 18, 16, 64
 FULL = 65_535  # a partition of this size or more: no bound
@@ -108,7 +108,7 @@ def _signatures(docs: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([no, no, no, no, pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(packed, pa.binary())], names)
 
     names = ["doc_id", "n_shingles", "k1", "k2", "sizes", "slice", "payload"]
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sizes binary, slice int, payload binary")
+    return docs.select("doc_id", "text").mapInArrow(bounded(run), "doc_id long, n_shingles long, k1 long, k2 long, sizes binary, slice int, payload binary")
 
 
 def _frequencies(parts: DataFrame) -> np.ndarray:
@@ -124,7 +124,7 @@ def _frequencies(parts: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["slice", "total"])
 
     out = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.int64)
-    for r in parts.select("slice", "payload").repartition(SLICES, "slice").mapInArrow(add, "slice int, total binary").collect():  # SLICES rows
+    for r in parts.select("slice", "payload").repartition(SLICES, "slice").mapInArrow(bounded(add), "slice int, total binary").collect():  # SLICES rows
         out[r["slice"]] += np.frombuffer(r["total"], np.int64)
     return out.ravel()
 
@@ -180,7 +180,7 @@ def _prefix_records(docs: DataFrame, n: int, percent: int, frequency: np.ndarray
                 key = h + salt.astype(np.uint64) * np.uint64(SALT)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(k1[d].view(np.int64)), pa.array(_pack(size[d], position, salt))], ["key", "k", "x"])
 
-    return docs.select("text").mapInArrow(run, "key long, k long, x long")
+    return docs.select("text").mapInArrow(bounded(run), "key long, k long, x long")
 
 
 def _passes(sx, px, sy, py, percent: int):
@@ -245,7 +245,7 @@ def _candidates(records: DataFrame, percent: int, bucket: int, near: int = 8) ->
         if held is not None:
             yield emit(*held, hot)
 
-    return records.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "k")).mapInArrow(run, "kind int, a long, b long, s long, x long")
+    return records.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "k")).mapInArrow(bounded(run), "kind int, a long, b long, s long, x long")
 
 
 def _suffix_filter(percent: int):
@@ -271,11 +271,13 @@ def _verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int, fan: int =
     salted = pairs.join(fans, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("extra") + 1).cast("int").alias("salt"))
     leaders = fans.select(F.lit(None).cast("long").alias("a"), "b", F.explode(F.sequence(F.lit(0), F.col("extra"))).alias("salt"))
     need = checkpoint(salted.select(F.col("a").alias("doc_id"), "a", "b", "salt").unionByName(leaders.select(F.col("b").alias("doc_id"), "a", "b", "salt")))
-    ids = need.select("doc_id").distinct()
-    if need.count() <= broadcast_rows:
-        ids = F.broadcast(ids)
-    texts = docs.filter("doc_id is not null").join(ids, "doc_id", "left_semi").select("doc_id", "text")
-    rows = need.join(texts, "doc_id").select("b", "salt", F.col("a").isNotNull().alias("member"), "a", "text")
+    size, texts = need.count(), docs.filter("doc_id is not null").select("doc_id", "text")
+    if size <= broadcast_rows // 10:  # some 10 MB: texts go straight to their partners
+        need = F.broadcast(need)
+    else:
+        ids = need.select("doc_id").distinct()
+        texts = texts.join(F.broadcast(ids) if size <= broadcast_rows else ids, "doc_id", "left_semi")
+    rows = texts.join(need, "doc_id").select("b", "salt", F.col("a").isNotNull().alias("member"), "a", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, leader = None, None
@@ -295,10 +297,10 @@ def _verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int, fan: int =
                         out_b.append(bs[i])
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
-    return rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "member").mapInArrow(run, "a long, b long")
+    return rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "member").mapInArrow(bounded(run), "a long, b long")
 
 
-def join_components(docs: DataFrame, n: int = 5, percent: int = 80, bucket: int = 24, salt_rows: int = 20_000, likely_rounds: int = 2) -> DataFrame:
+def join_components(docs: DataFrame, n: int = 5, percent: int = 80, bucket: int = 24, salt_rows: int = 20_000, likely_rounds: int = 3, few: int = 2000) -> DataFrame:
     """docs (doc_id, text) -> a row for each: doc_id, n_shingles, component_id (the least doc_id reachable by links)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = checkpoint(_signatures(docs, n))
@@ -314,29 +316,39 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80, bucket: int
         x = named.select(F.col("k1").alias("a"), F.col("rep").alias("ra"), F.col("size").alias("sa"), F.col("sizes").alias("pa"))
         y = named.select(F.col("k1").alias("b"), F.col("rep").alias("rb"), F.col("size").alias("sb"), F.col("sizes").alias("pb"))
         both = pairs.join(x, "a").join(y, "b")
-        return both.select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b"), "sa", "sb", "pa", "pb").mapInArrow(_suffix_filter(percent), "a long, b long, ratio double")
+        return both.select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b"), "sa", "sb", "pa", "pb").mapInArrow(bounded(_suffix_filter(percent)), "a long, b long, ratio double")
 
     def label(df: DataFrame, of: str, name: str) -> DataFrame:
         return df.join(labels.select(F.col("id").alias(of), F.col("component").alias("_c")), of, "left").withColumn(name, F.coalesce("_c", of)).drop("_c")
 
-    def across(pairs: DataFrame) -> DataFrame:
-        return label(label(pairs, "a", "ca"), "b", "cb").filter("ca <> cb").drop("ca", "cb")
-
-    def linked_too(pairs: DataFrame) -> DataFrame:
-        """The components with those of ``pairs`` that are links."""
-        return components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(_verify(pairs, docs, n, percent)))
+    def across(pairs: DataFrame, rows: int) -> tuple[DataFrame, int]:
+        """The pairs between components, ``rows`` at most, and their number."""
+        one = packed(label(pairs.select("a", "b", "ratio"), "a", "ca"), rows)
+        own = checkpoint(packed(label(one, "b", "cb").filter("ca <> cb"), rows))
+        count = own.count()
+        return packed(own, count), count
+
+    def link(pairs: DataFrame) -> None:
+        """Verify the pairs and join the components that they link."""
+        nonlocal labels
+        labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(_verify(pairs.select("a", "b"), docs, n, percent)))
+
+    def settle(pairs: DataFrame, first_by: list[str]) -> None:
+        """Link components by all pairs, the likeliest first: of each ``first_by``, then of each two components, then the rest."""
+        left, count = across(pairs, pairs.count())
+        for r in range(likely_rounds):
+            if count <= few:
+                break
+            likely = left.groupBy(*(first_by if r == 0 else between)).agg(F.max_by(F.struct("a", "b"), F.struct("ratio", -F.col("b"), -F.col("a"))).alias("p")).select("p.a", "p.b")
+            link(likely)
+            left, count = across(left.join(likely, ["a", "b"], "left_anti"), count)
+        if count:
+            link(left)
 
+    between = [F.least("ca", "cb"), F.greatest("ca", "cb")]
     pairs = checkpoint(with_both(found.filter("kind = 0").select("a", "b").distinct()))
-    labels = docs.sparkSession.createDataFrame([], "id long, component long")
-    left = pairs
-    for _ in range(likely_rounds):
-        if left.isEmpty():
-            break
-        likely = left.groupBy("a").agg(F.max_by("b", F.struct("ratio", -F.col("b"))).alias("b"))
-        labels = linked_too(likely)
-        left = checkpoint(across(left.join(likely, ["a", "b"], "left_anti")))
-    if not left.isEmpty():
-        labels = linked_too(left.select("a", "b"))
+    labels = docs.sparkSession.range(0).select("id", F.col("id").alias("component"))
+    settle(pairs, ["a"])
 
     hot = found.filter("kind = 1").select("s", F.col("a").alias("k"), F.shiftright("x", 36).alias("size"), F.expr("shiftright(x, 8) & 268435455").alias("pos")).distinct()
     hot = label(hot.join(named.select(F.col("k1").alias("k"), "rep"), "k"), "rep", "c")
@@ -347,9 +359,7 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80, bucket: int
         need = F.expr(f"-floor(-{percent} * (sizex + sizey) / {100 + percent})")
         met = p.join(q, "s").filter((F.col("cx") < F.col("cy")) & (100 * F.least("sizex", "sizey") >= percent * F.greatest("sizex", "sizey")) & (F.least(F.col("sizex") - F.col("posx"), F.col("sizey") - F.col("posy")) >= need))
         more = with_both(met.select(F.least("kx", "ky").alias("a"), F.greatest("kx", "ky").alias("b")).distinct())
-        more = checkpoint(more.join(pairs, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            labels = linked_too(more.select("a", "b"))
+        settle(checkpoint(more.join(pairs, ["a", "b"], "left_anti")), between)
     ends = label(classes.select("k1", "k2", "rep"), "rep", "c").select("k1", "k2", "c")
     return signed.join(ends, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))
 
