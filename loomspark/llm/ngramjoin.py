@@ -260,7 +260,7 @@ def _suffix_filter(percent: int):
             x, y = (np.where(v == FULL, 1 << 40, v) for v in (x, y))
             bound = np.minimum(np.minimum(x, y).sum(1), np.minimum(sa, sb))
             keep = bound >= _least_overlap(sa, sb, percent)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(bound / (sa + sb - bound))], ["a", "b", "ratio"]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), b.column("ca"), b.column("cb"), pa.array(bound / (sa + sb - bound))], ["a", "b", "ca", "cb", "ratio"]).filter(pa.array(keep))
 
     return run
 
@@ -312,11 +312,15 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80, bucket: int
     named = classes.select("k1", "rep", "size", "sizes")
 
     def with_both(pairs: DataFrame) -> DataFrame:
-        """Pairs of classes to pairs of doc_ids a > b, after the suffix filter; ``ratio`` bounds their similarity from above."""
+        """Pairs of classes (a, b; ca, cb their components, if known) to pairs of doc_ids a > b, after the suffix filter.
+
+        ``ratio`` bounds their similarity from above.
+        """
         x = named.select(F.col("k1").alias("a"), F.col("rep").alias("ra"), F.col("size").alias("sa"), F.col("sizes").alias("pa"))
         y = named.select(F.col("k1").alias("b"), F.col("rep").alias("rb"), F.col("size").alias("sb"), F.col("sizes").alias("pb"))
         both = pairs.join(x, "a").join(y, "b")
-        return both.select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b"), "sa", "sb", "pa", "pb").mapInArrow(bounded(_suffix_filter(percent)), "a long, b long, ratio double")
+        ends = ["ca", "cb"] if "ca" in pairs.columns else [F.col("ra").alias("ca"), F.col("rb").alias("cb")]
+        return both.select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b"), *ends, "sa", "sb", "pa", "pb").mapInArrow(bounded(_suffix_filter(percent)), "a long, b long, ca long, cb long, ratio double")
 
     def label(df: DataFrame, of: str, name: str) -> DataFrame:
         return df.join(labels.select(F.col("id").alias(of), F.col("component").alias("_c")), of, "left").withColumn(name, F.coalesce("_c", of)).drop("_c")
@@ -335,7 +339,8 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80, bucket: int
 
     def settle(pairs: DataFrame, first_by: list[str]) -> None:
         """Link components by all pairs, the likeliest first: of each ``first_by``, then of each two components, then the rest."""
-        left, count = across(pairs, pairs.count())
+        count = pairs.count()
+        left = packed(pairs, count)
         for r in range(likely_rounds):
             if count <= few:
                 break
@@ -358,7 +363,7 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80, bucket: int
         p, q = (hot.select("s", *[F.col(c).alias(c + v) for c in ("k", "c", "size", "pos")]) for v in "xy")
         need = F.expr(f"-floor(-{percent} * (sizex + sizey) / {100 + percent})")
         met = p.join(q, "s").filter((F.col("cx") < F.col("cy")) & (100 * F.least("sizex", "sizey") >= percent * F.greatest("sizex", "sizey")) & (F.least(F.col("sizex") - F.col("posx"), F.col("sizey") - F.col("posy")) >= need))
-        more = with_both(met.select(F.least("kx", "ky").alias("a"), F.greatest("kx", "ky").alias("b")).distinct())
+        more = with_both(met.select(F.col("kx").alias("a"), F.col("ky").alias("b"), F.col("cx").alias("ca"), F.col("cy").alias("cb")).distinct())
         settle(checkpoint(more.join(pairs, ["a", "b"], "left_anti")), between)
     ends = label(classes.select("k1", "k2", "rep"), "rep", "c").select("k1", "k2", "c")
     return signed.join(ends, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))
