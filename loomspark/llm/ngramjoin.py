@@ -189,7 +189,7 @@ def _passes(sx, px, sy, py, percent: int):
     return (100 * np.minimum(sx, sy) >= percent * np.maximum(sx, sy)) & (np.minimum(sx - px, sy - py) >= need)
 
 
-def _candidates(records: DataFrame, percent: int, bucket: int, near: int = 8) -> DataFrame:
+def _candidates(records: DataFrame, percent: int, bucket: int, near: int = 16) -> DataFrame:
     """(kind, a, b, s, x): kind 0 are pairs of classes a < b, kind 1 the records (class a, shingle s, x) of large or salted buckets.
 
     Inside a bucket classes lie in an order that differs from bucket to bucket, so that the few neighbours
