@@ -5,9 +5,9 @@ training texts are aggregated exactly, by hash, and only then quantised: a count
 thresholds 1, 2, 3, 4, 6, 8, 12, 16, 23, ... (powers of sqrt 2) that it reaches. An n-gram of level q enters the
 filter q times, as (n-gram, 1) ... (n-gram, q); a look-up probes (n-gram, 1), (n-gram, 2), ... until one is
 missing. The filter is cut into segments by the n-gram's hash, so each reducer makes the bits of its own
-segments and no partial filters are merged. The whole is broadcast: ``2**k`` bits, in proportion to the
-training text and at most ``max_filter_bits`` (a documented bound; beyond it no n-gram is dropped, but false
-positives grow: see ``fill`` in the model and the README).
+segments and no partial filters are merged. A segment has ``ENTRY_BITS`` bits an entry and there is one for about
+``SEGMENT_BYTES`` of training text, so the filter grows with the distinct n-grams at every size, its rate of false
+positives doesn't depend on the size, and no task or broadcast ever holds the whole.
 
 Probabilities are smoothed and come from probes alone:
 
@@ -16,10 +16,11 @@ Probabilities are smoothed and come from probes alone:
 
 with c the quantised counts, V the number of distinct tokens and Z the sum of their quantised counts.
 
-The base score needs exact counts for every token, of which there may be more than any broadcast should
-hold. Blocks of documents send their distinct tokens to the reducer of the token's segment, with the
-documents that hold them; the reducer knows the exact counts, and sends back a partial sum for each
-document. So texts are read twice and shuffled never, and a frequent token costs a row per block.
+Scores need counts of every token and bigram, of which there may be more than any broadcast should hold. Blocks
+of documents send their distinct tokens and bigrams to the reducer of the segment, which holds the segment's
+filter for the probes and sums the tokens' exact counts for the base score. It sends both back to the block, whose
+tokens travel as numbers of its distinct tokens. So texts are read twice and shuffled never, and a frequent
+token or bigram costs an entry per block.
 
 Defined cases: a null text is empty: one token, the end; texts of any length are scored whole; repeated
 rows are scored one by one; with no training text N = V = 0; an empty table gives an empty result; extra
@@ -37,11 +38,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, lower_bytes, mix64, span_hashes, bounded, word_spans
+from .common import bounded, checkpoint, chunks, lower_bytes, mix64, span_hashes, word_spans
 
 END, START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
 DISCOUNT, WEIGHT, PROBES, TAIL_BYTES = 0.5, 0.3, 3, 5
-BLOCK_WORDS = 500_000
+BLOCK_WORDS = 1_000_000
+ENTRY_BITS, SEGMENT_BYTES = 16, 1 << 25
 THRESHOLDS = np.unique(np.ceil(2.0 ** (np.arange(0, 120) / 2) - 1e-9))
 _MIDDLE = np.r_[0.0, (THRESHOLDS[:-1] + THRESHOLDS[1:] - 1) / 2, THRESHOLDS[-1]]
 
@@ -79,63 +81,55 @@ def pair_hash(prev: np.ndarray, tok: np.ndarray, segment_bits: int) -> np.ndarra
     return (h >> drop) << drop
 
 
-def bit_positions(h: np.ndarray, j: int, mask: np.uint64) -> list[np.ndarray]:
-    """The PROBES positions of (n-gram, j) in its segment."""
+def bit_positions(h: np.ndarray, j: int, size: int) -> list[np.ndarray]:
+    """The PROBES positions of (n-gram, j) in its segment of ``size`` bits."""
     with np.errstate(over="ignore"):
         g = mix64(h + np.uint64(j) * np.uint64(0xD1B54A32D192ED03))
         step = (g >> np.uint64(32)) | np.uint64(1)
-        return [((g + np.uint64(i) * step) & mask).astype(np.int64) for i in range(PROBES)]
+        return [((g + np.uint64(i) * step) % np.uint64(size)).astype(np.int64) for i in range(PROBES)]
+
+
+def probed(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Level of each n-gram by repeated membership probes of its segment (packed bits)."""
+    levels, alive, j = np.zeros(len(h), np.uint8), np.arange(len(h)), 1
+    while len(alive) and j < len(THRESHOLDS):
+        hit = np.ones(len(alive), bool)
+        for p in bit_positions(h[alive], j, 8 * len(bits)):
+            hit &= (bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 > 0
+        alive = alive[hit]
+        levels[alive] = j
+        j += 1
+    return levels
 
 
 @dataclass
 class CountFilter:
-    bits: np.ndarray  # uint8, packed
-    segment_bits: int
-    size_bits: int  # log2 of the filter's bits
+    segments: DataFrame  # seg, bits (packed)
+    segment_bits: int  # log2 of the number of segments
     n_tokens: int  # N, exact
     n_distinct: int  # V, exact
     z: float  # sum of the quantised unigram counts
     texts: int
 
-    @property
-    def fill(self) -> float:
-        return float(np.unpackbits(self.bits[: 1 << 20]).mean()) if len(self.bits) else 0.0
-
     def count(self, h: np.ndarray) -> np.ndarray:
-        """Quantised count of each n-gram, by repeated membership probes."""
-        levels = np.zeros(len(h), np.int16)
-        inner = self.size_bits - self.segment_bits
-        base = (h >> np.uint64(64 - self.segment_bits)).astype(np.int64) << inner
-        mask, alive, j = np.uint64((1 << inner) - 1), np.arange(len(h)), 1
-        while len(alive) and j < len(THRESHOLDS):
-            hit = np.ones(len(alive), bool)
-            b = base[alive]
-            for p in bit_positions(h[alive], j, mask):
-                p += b
-                hit &= (self.bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 > 0
-            alive = alive[hit]
-            levels[alive] = j
-            j += 1
+        """Quantised count of each of a few n-grams; reads their segments to the driver."""
+        seg, levels = (h >> np.uint64(64 - self.segment_bits)).astype(np.int64), np.zeros(len(h), np.uint8)
+        for r in self.segments.filter(F.col("seg").isin(np.unique(seg).tolist())).toLocalIterator():
+            own = seg == r["seg"]
+            levels[own] = probed(np.frombuffer(r["bits"], np.uint8), h[own])
         return _MIDDLE[levels]
 
-    def scores(self, tok: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-        """log10 probability of each of n texts."""
-        if not self.n_tokens:
-            return np.zeros(n)
-        known, at = np.unique(tok, return_inverse=True)
-        c = self.count(known)
-        p1 = np.where(c > 0, c - DISCOUNT, DISCOUNT * self.n_distinct) / max(self.z, 1.0)
-        cw, p1 = c[at], p1[at]
-        first = np.r_[True, of[1:] != of[:-1]]
-        cu = np.empty_like(cw)
-        cu[1:] = cw[:-1]
-        cu[first] = self.texts
-        both = np.flatnonzero((cu > 0) & (cw > 0))
-        cuw = np.zeros(len(tok))
-        cuw[both] = self.count(pair_hash(contexts(tok, of)[both], tok[both], self.segment_bits))
-        mle = np.minimum(cuw, np.minimum(cu, cw)) / np.maximum(cu, 1)
-        p = np.where(cu > 0, WEIGHT * mle + (1 - WEIGHT) * p1, p1)
-        return np.bincount(of, np.log10(np.maximum(p, 1e-300)), n)
+
+def log_probability(c: np.ndarray, cuw: np.ndarray, of: np.ndarray, n: int, n_distinct: int, z: float, texts: int) -> np.ndarray:
+    """log10 probability of each of n texts, from the quantised counts of each token and its bigram."""
+    p1 = np.where(c > 0, c - DISCOUNT, DISCOUNT * n_distinct) / max(z, 1.0)
+    first = np.r_[True, of[1:] != of[:-1]]
+    cu = np.empty_like(c)
+    cu[1:] = c[:-1]
+    cu[first] = texts
+    mle = np.minimum(cuw, np.minimum(cu, c)) / np.maximum(cu, 1)
+    p = np.where(cu > 0, WEIGHT * mle + (1 - WEIGHT) * p1, p1)
+    return np.bincount(of, np.log10(np.maximum(p, 1e-300)), n)
 
 
 def _merged(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,58 +158,77 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarra
         yield parts, np.concatenate(toks), np.concatenate(ofs)
 
 
-def _tails(h: np.ndarray, segment_bits: int) -> bytes:
-    """The TAIL_BYTES bytes that follow the segment's bits."""
-    rest = (h << np.uint64(segment_bits)) >> np.uint64(64 - 8 * TAIL_BYTES)
-    return rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TAIL_BYTES].tobytes()
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes."""
+    x = np.ascontiguousarray(x, "<u8")
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return np.array([len(x), width], "<u4").tobytes() + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(b: bytes) -> np.ndarray:
+    n, width = np.frombuffer(b, "<u4", 2).tolist()
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(pa.decompress(b[8:], n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n).T
+    return out.view("<u8").ravel()
+
+
+def _pack_hashes(h: np.ndarray, segment_bits: int, tail: int) -> bytes:
+    """Sorted hashes of one segment, of which ``tail`` bits follow the segment's, as differences."""
+    return _pack(np.diff((h << np.uint64(segment_bits)) >> np.uint64(64 - tail), prepend=np.uint64(0)))
+
 
+def _unpack_hashes(b: bytes, segment: int, segment_bits: int, tail: int) -> np.ndarray:
+    rest = np.cumsum(_unpack(b), dtype=np.uint64)
+    return (np.uint64(segment) << np.uint64(64 - segment_bits)) | (rest << np.uint64(64 - segment_bits - tail))
 
-def _from_tails(b: bytes, segment: int, segment_bits: int) -> np.ndarray:
-    wide = np.zeros((len(b) // TAIL_BYTES, 8), np.uint8)
-    wide[:, :TAIL_BYTES] = np.frombuffer(b, np.uint8).reshape(-1, TAIL_BYTES)
-    return (np.uint64(segment) << np.uint64(64 - segment_bits)) | (wide.view("<u8").ravel() << np.uint64(64 - segment_bits - 8 * TAIL_BYTES))
 
+def segments_for(spark, size: int) -> int:
+    """log2 of the number of segments for ``size`` bytes of training text."""
+    return int(np.ceil(np.log2(max(64, int(spark.conf.get("spark.sql.shuffle.partitions")), size / SEGMENT_BYTES))))
 
-def segments_for(spark) -> int:
-    return max(6, int(np.ceil(np.log2(int(spark.conf.get("spark.sql.shuffle.partitions"))))))
 
+def _edges(h: np.ndarray, segment_bits: int) -> np.ndarray:
+    """Where each segment begins in sorted hashes, and their number."""
+    return np.searchsorted(h >> np.uint64(64 - segment_bits), np.arange((1 << segment_bits) + 1, dtype=np.uint64))
 
-def fit(train: DataFrame, max_filter_bits: int = 29) -> CountFilter:
+
+def fit(train: DataFrame) -> CountFilter:
     """train (text) -> the filter, from all rows."""
     spark = train.sparkSession
-    s = segments_for(spark)
     size, texts = train.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")), F.count("*")).first()
-    size_bits = min(max_filter_bits, max(s + 10, int(np.ceil(np.log2(2 * ((size or 0) + texts) + 2)))))
+    s = segments_for(spark, size or 0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, tok, of in _blocks(batches):
             for kind, h in ((1, tok), (2, pair_hash(contexts(tok, of), tok, s))):
                 u, c = np.unique(h, return_counts=True)
-                cut = np.searchsorted(u >> np.uint64(64 - s), np.arange((1 << s) + 1, dtype=np.uint64))
+                tail = 64 - s if kind == 1 else 8 * TAIL_BYTES
+                cut = _edges(u, s)
                 live = np.flatnonzero(np.diff(cut))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(live.astype(np.int32)), pa.array(np.full(len(live), kind, np.int32)), pa.array([u[cut[i] : cut[i + 1]].tobytes() if kind == 1 else _tails(u[cut[i] : cut[i + 1]], s) for i in live], pa.binary()), pa.array([c[cut[i] : cut[i + 1]].astype("<u4").tobytes() for i in live], pa.binary())],
+                    [pa.array(live.astype(np.int32)), pa.array(np.full(len(live), kind, np.int32)), pa.array([_pack_hashes(u[cut[i] : cut[i + 1]], s, tail) for i in live], pa.binary()), pa.array([_pack(c[cut[i] : cut[i + 1]]) for i in live], pa.binary())],
                     ["seg", "kind", "h", "c"],
                 )
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        inner = size_bits - s
-        mask = np.uint64((1 << inner) - 1)
-
         def make(seg, rows):
-            bits, stats = np.zeros(1 << inner, bool), (0, 0, 0.0)
+            entries, stats = [], (0, 0, 0.0)
             for kind in (1, 2):
                 own = [r for r in rows if r[0] == kind]
                 if not own:
                     continue
-                h = np.concatenate([np.frombuffer(r[1], np.uint64) if kind == 1 else _from_tails(r[1], seg, s) for r in own])
-                h, c = _merged(h, np.concatenate([np.frombuffer(r[2], "<u4") for r in own]).astype(np.int64))
+                h = np.concatenate([_unpack_hashes(r[1], seg, s, 64 - s if kind == 1 else 8 * TAIL_BYTES) for r in own])
+                h, c = _merged(h, np.concatenate([_unpack(r[2]) for r in own]).astype(np.int64))
                 q = level(c)
                 if kind == 1:
                     stats = (int(c.sum()), len(h), float(_MIDDLE[q].sum()))
+                entries.append((h, q))
+            bits = np.zeros(max(1024, ENTRY_BITS * int(sum(q.sum() for _, q in entries))), bool)
+            for h, q in entries:
                 j = 1
                 while len(h):
-                    for p in bit_positions(h, j, mask):
+                    for p in bit_positions(h, j, len(bits)):
                         bits[p] = True
                     j += 1
                     h, q = h[q >= j], q[q >= j]
@@ -234,95 +247,87 @@ def fit(train: DataFrame, max_filter_bits: int = 29) -> CountFilter:
             yield make(at, rows)
 
     counted = train.select("text").mapInArrow(bounded(count), "seg int, kind int, h binary, c binary")
-    got = counted.repartition("seg").sortWithinPartitions("seg").mapInArrow(bounded(reduce), "seg int, bits binary, n long, v long, z double").toArrow()  # max_filter_bits / 8 bytes
-    each = (1 << (size_bits - s)) // 8
-    bits = np.zeros((1 << size_bits) // 8, np.uint8)
-    for seg, b in zip(got.column("seg").to_pylist(), got.column("bits")):
-        bits[seg * each : (seg + 1) * each] = np.frombuffer(b.as_buffer(), np.uint8)
-    total = lambda c: sum(got.column(c).to_pylist())
-    return CountFilter(bits, s, size_bits, total("n"), total("v"), total("z"), texts)
+    made = checkpoint(counted.repartition("seg").sortWithinPartitions("seg").mapInArrow(bounded(reduce), "seg int, bits binary, n long, v long, z double"))
+    n, v, z = made.agg(F.sum("n"), F.sum("v"), F.sum("z")).first()
+    return CountFilter(made.select("seg", "bits"), s, n or 0, v or 0, z or 0.0, texts)
 
 
 def score(docs: DataFrame, model: CountFilter) -> DataFrame:
     """docs (doc_id, text, trained boolean) -> doc_id, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    s = model.segment_bits
-    shared = spark.sparkContext.broadcast(model)  # 2**max_filter_bits bits at most
-    n_train, log_z = model.n_tokens, float(np.log10(model.n_tokens + model.n_distinct + 1))
+    s, n_train, n_distinct, z, texts = model.segment_bits, model.n_tokens, model.n_distinct, model.z, model.texts
+    log_z = float(np.log10(n_train + n_distinct + 1))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        task = TaskContext.get().partitionId() << 32
-        names = ["seg", "block", "ids", "tokens", "scores", "h", "c", "runs", "of", "times"]
+        partition = TaskContext.get().partitionId()
+        names = ["seg", "block", "ids", "tokens", "at", "h", "c", "g", "bits"]
         for number, (parts, tok, of) in enumerate(_blocks(batches)):
             n = sum(p.num_rows for p in parts)
             ids = np.concatenate([p.column("doc_id").cast(pa.int64()).fill_null(-(1 << 63)).to_numpy() for p in parts])
             trained = np.concatenate([p.column("trained").fill_null(False).to_numpy(zero_copy_only=False) for p in parts])
-            scores = m.scores(tok, of, n)
-            order = np.lexsort((of, tok))
-            t, d = tok[order], of[order]
-            cut = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (d[1:] != d[:-1])])
-            times = np.diff(np.r_[cut, len(t)])
-            t, d = t[cut], d[cut]
-            head = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-            runs = np.diff(np.r_[head, len(t)])
-            c = np.add.reduceat(np.where(trained[d], times, 0), head)
-            u = t[head]
-            edge = np.searchsorted(u >> np.uint64(64 - s), np.arange((1 << s) + 1, dtype=np.uint64))
-            pair = np.r_[head, len(t)]
-            live = np.flatnonzero(np.diff(edge))
-            rows = [(i, u[edge[i] : edge[i + 1]], c[edge[i] : edge[i + 1]], runs[edge[i] : edge[i + 1]], d[pair[edge[i]] : pair[edge[i + 1]]], times[pair[edge[i]] : pair[edge[i + 1]]]) for i in live]
-            k = len(rows) + 1
-            none = [None] * (k - 1)
-            where = number % (1 << s)
+            u, at = np.unique(tok, return_inverse=True)
+            c = np.bincount(at, trained[of], len(u))
+            g = np.unique(pair_hash(contexts(tok, of), tok, s))
+            edge, pair = _edges(u, s), _edges(g, s)
+            live = np.flatnonzero(np.diff(edge) + np.diff(pair))
+            k = len(live) + 1
+            where = (partition * 40_503 + number) % (1 << s)
+            head = (ids.tobytes(), _pack(np.bincount(of, minlength=n)), _pack(at))
+            sent = ([_pack_hashes(u[edge[i] : edge[i + 1]], s, 64 - s) for i in live], [_pack(c[edge[i] : edge[i + 1]]) for i in live], [_pack_hashes(g[pair[i] : pair[i + 1]], s, 8 * TAIL_BYTES) for i in live])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([where] + [int(r[0]) for r in rows], pa.int32()), pa.array([task | number] * k, pa.int64())]
-                + [pa.array([x.tobytes(), *none], pa.binary()) for x in (ids, np.bincount(of, minlength=n).astype("<i8"), scores)]
-                + [pa.array([None, *(r[j].astype(kind).tobytes() for r in rows)], pa.binary()) for j, kind in ((1, "<u8"), (2, "<u4"), (3, "<u2"), (4, "<u2"), (5, "<u4"))],
+                [pa.array([where, *live.tolist()], pa.int32()), pa.array([partition << 32 | number] * k, pa.int64())]
+                + [pa.array([x, *[None] * (k - 1)], pa.binary()) for x in head]
+                + [pa.array([None, *x], pa.binary()) for x in sent]
+                + [pa.nulls(k, pa.binary())],
                 names,
             )
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["block", "ids", "tokens", "scores", "of", "sums", "known"]
-
-        def make(rows):
-            hs = [np.frombuffer(r["h"], "<u8") for r in rows]
-            u, c = _merged(np.concatenate(hs), np.concatenate([np.frombuffer(r["c"], "<u4") for r in rows]).astype(np.int64))
-            for r, h in zip(rows, hs):
-                own = c[np.searchsorted(u, h)]
-                of, times = np.frombuffer(r["of"], "<u2"), np.frombuffer(r["times"], "<u4")
-                each = np.repeat(own, np.frombuffer(r["runs"], "<u2"))
-                sums = np.bincount(of, times * np.log10(each + 1.0))
-                known = np.bincount(of, times * (each > 0))
-                has = np.flatnonzero(np.bincount(of))
-                yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), *[pa.nulls(1, pa.binary())] * 3, *(pa.array([x.tobytes()], pa.binary()) for x in (has.astype("<u2"), sums[has], known[has].astype("<u4")))], names)
-
-        at, rows = None, []
+        names = ["block", "seg", "ids", "tokens", "at", "h", "counts", "levels", "pairs"]
+
+        def make(seg, bits, rows):
+            bits = np.frombuffer(bits, np.uint8) if bits is not None else np.zeros(128, np.uint8)
+            hs = [_unpack_hashes(r[1], seg, s, 64 - s) for r in rows]
+            u, c = _merged(np.concatenate(hs), np.concatenate([_unpack(r[2]) for r in rows]).astype(np.int64))
+            levels = probed(bits, u)
+            for (block, sent, _, tails), h in zip(rows, hs):
+                own = np.searchsorted(u, h)
+                back = (sent, _pack(c[own]), _pack(levels[own]), _pack(probed(bits, _unpack_hashes(tails, seg, s, 8 * TAIL_BYTES))))
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([seg], pa.int32()), *[pa.nulls(1, pa.binary())] * 3, *(pa.array([x], pa.binary()) for x in back)], names)
+
+        at, bits, rows = None, None, []
         for b in batches:
-            for r in b.to_pylist():
-                if r["h"] is None:
-                    yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), *(pa.array([r[c]], pa.binary()) for c in ("ids", "tokens", "scores")), *[pa.nulls(1, pa.binary())] * 3], names)
+            for r in zip(*(b.column(c) for c in ("seg", "block", "h", "c", "g", "bits", "ids", "tokens", "at"))):
+                seg, block, h, c, g, own = (x.as_py() for x in r[:6])
+                if h is None and own is None:
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.nulls(1, pa.int32()), *(pa.array([x.as_py()], pa.binary()) for x in r[6:]), *[pa.nulls(1, pa.binary())] * 4], names)
                     continue
-                if r["seg"] != at and rows:
-                    yield from make(rows)
-                    rows = []
-                at = r["seg"]
-                rows.append(r)
+                if seg != at:
+                    if rows:
+                        yield from make(at, bits, rows)
+                    at, bits, rows = seg, None, []
+                if own is not None:  # comes first
+                    bits = own
+                else:
+                    rows.append((block, h, c, g))
         if rows:
-            yield from make(rows)
+            yield from make(at, bits, rows)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def make(rows):
             head = next(r for r in rows if r["ids"] is not None)
-            ids, n_tokens, scores = np.frombuffer(head["ids"], "<i8"), np.frombuffer(head["tokens"], "<i8"), np.frombuffer(head["scores"], "<f8")
-            sums, known = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
-            for r in rows:
-                if r["of"] is not None:
-                    of = np.frombuffer(r["of"], "<u2")
-                    sums[of] += np.frombuffer(r["sums"], "<f8")
-                    known[of] += np.frombuffer(r["known"], "<u4")
+            ids, n_tokens, at = np.frombuffer(head["ids"], "<i8"), _unpack(head["tokens"]).astype(np.int64), _unpack(head["at"]).astype(np.int64)
+            n = len(ids)
+            of = np.repeat(np.arange(n), n_tokens)
+            rows = sorted((r for r in rows if r["ids"] is None), key=lambda r: r["seg"])
+            words = np.concatenate([_unpack_hashes(r["h"], r["seg"], s, 64 - s) for r in rows])
+            counts, levels, pairs = (np.concatenate([_unpack(r[c]) for r in rows]).astype(np.int64) for c in ("counts", "levels", "pairs"))
+            tok = words[at]
+            _, pair = np.unique(pair_hash(contexts(tok, of), tok, s), return_inverse=True)
+            sums = np.bincount(of, np.log10(counts + 1.0)[at], n)
+            known = np.bincount(of, (counts > 0)[at], n).astype(np.int64)
+            scores = log_probability(_MIDDLE[levels][at], _MIDDLE[pairs][pair], of, n, n_distinct, z, texts) if n_train else np.zeros(n)
             doc = pa.array(ids, mask=ids == -(1 << 63))
-            return pa.RecordBatch.from_arrays([doc, pa.array(n_tokens), pa.array(known), pa.array(np.full(len(ids), n_train, np.int64)), pa.array(sums - n_tokens * log_z), pa.array(scores)], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            return pa.RecordBatch.from_arrays([doc, pa.array(n_tokens), pa.array(known), pa.array(np.full(n, n_train, np.int64)), pa.array(sums - n_tokens * log_z), pa.array(scores)], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
         at, rows = None, []
         for b in batches:
@@ -335,6 +340,7 @@ def score(docs: DataFrame, model: CountFilter) -> DataFrame:
         if rows:
             yield make(rows)
 
-    asked = docs.select("doc_id", "text", "trained").mapInArrow(bounded(ask), "seg int, block long, ids binary, tokens binary, scores binary, h binary, c binary, runs binary, of binary, times binary")
-    answered = asked.repartition("seg").sortWithinPartitions("seg").mapInArrow(bounded(answer), "block long, ids binary, tokens binary, scores binary, of binary, sums binary, known binary")
+    asked = docs.select("doc_id", "text", "trained").mapInArrow(bounded(ask), "seg int, block long, ids binary, tokens binary, at binary, h binary, c binary, g binary, bits binary")
+    asked = asked.unionByName(model.segments, allowMissingColumns=True)
+    answered = asked.repartition("seg").sortWithinPartitions("seg", F.col("bits").isNull()).mapInArrow(bounded(answer), "block long, seg int, ids binary, tokens binary, at binary, h binary, counts binary, levels binary, pairs binary")
     return answered.repartition("block").sortWithinPartitions("block").mapInArrow(bounded(finish), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

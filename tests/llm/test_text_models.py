@@ -132,6 +132,34 @@ def test_counts_from_probes(spark):
     assert m.n_tokens == 157 and m.n_distinct == 5
 
 
+@pytest.mark.parametrize("segment_bytes", [1 << 25, 1 << 9])
+def test_filter_grows_with_its_ngrams(spark, monkeypatch, segment_bytes):
+    """Short words, nearly all bigrams distinct: many n-grams a byte of text, in few or in many segments."""
+    monkeypatch.setattr(lmscore, "SEGMENT_BYTES", segment_bytes, raising=False)
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.randrange(1296):x}" for _ in range(400)) for _ in range(200)]
+    docs = frame(spark, texts).withColumn("trained", F.col("doc_id") % 4 != 0)
+    m = lmscore.fit(docs.filter("trained").select("text"))
+    tokens = [[w.encode() for w in t.split()] + [None] for t in texts]
+    one, two = collections.Counter(), collections.Counter()
+    for i, t in enumerate(tokens):
+        if i % 4:
+            one.update(t)
+            two.update(zip([0, *t], t))
+    quantised = lambda c: lmscore._MIDDLE[lmscore.level(np.array([c]))[0]]
+    z = sum(quantised(c) for c in one.values())
+    got = {r["doc_id"]: r["score"] for r in lmscore.score(docs, m).collect()}
+    off = 0.0
+    for i, t in enumerate(tokens):
+        want = 0.0
+        for u, w in zip([0, *t], t):
+            cw, cu = quantised(one[w]), quantised(one[u]) if u != 0 else 150
+            p1 = (cw - 0.5 if cw else 0.5 * len(one)) / z
+            want += math.log10(0.3 * min(quantised(two[u, w]), cu, cw) / cu + 0.7 * p1 if cu else p1)
+        off += abs(got[i] - want)
+    assert off / sum(map(len, tokens)) < 0.005
+
+
 def test_lm_of_nothing(spark):
     empty = frame(spark, []).withColumn("trained", F.lit(True))
     m = lmscore.fit(empty.select("text"))
