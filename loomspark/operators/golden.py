@@ -16,6 +16,35 @@ def evaluate(golden: DataFrame, retrieved: DataFrame) -> DataFrame:
     return rows.select("query", r.alias("recall"), found.alias("found"), missed.alias("missed"))
 
 
+def containing(docs: DataFrame, items: DataFrame, n: int = 5, broadcast_rows: int = 500_000) -> DataFrame:
+    """docs (doc_id, text), items (item_id, text) -> doc_id, item_id of each two rows whose text contains the item's.
+
+    The inner words of an item, white space on both sides, are whole words of every text that contains it. An item of
+    at least ``n`` is sought by a run of n (the one that the fewest items have), others by their longest; texts
+    found are verified. Items without an inner word are compared with every text.
+    """
+    pieces = lambda c: F.split(c, "[ \\t-\\r]+")
+    runs = lambda k: F.array_distinct(F.expr(f"case when size(w) >= {k} then transform(sequence(0, size(w) - {k}), i -> xxhash64({', '.join(f'w[i + {j}]' for j in range(k))})) else array() end"))
+    items = items.filter("text is not null").select("item_id", F.col("text").alias("part"), pieces("text").alias("w"))
+    bare, whole = items.filter("size(w) <= 2").select("item_id", "part"), items.filter("size(w) > 2").select("item_id", "part")
+    inner = items.filter("size(w) > 2").select("item_id", F.xxhash64("part").alias("t"), F.expr("slice(w, 2, size(w) - 2)").alias("w"))
+
+    every = inner.filter(F.size("w") >= n).select("item_id", "t", F.explode(runs(n)).alias("h"))
+    rarest = Window.partitionBy("item_id", "t").orderBy("shared", "h")
+    rare = every.join(every.groupBy("h").agg(F.count("*").alias("shared")), "h").withColumn("r", F.row_number().over(rarest)).filter("r = 1")
+    few = inner.filter(F.size("w") < n).select("item_id", F.expr("xxhash64(array_max(transform(w, x -> struct(length(x) as n, x as x))).x)").alias("h"))
+    out = docs.join(bare, F.contains("text", "part")).select("doc_id", "item_id")
+    for k, keys in ((n, rare), (1, few)):
+        keys = keys.select("h", "item_id").distinct()
+        size = keys.count()
+        if size:
+            own = docs.select("doc_id", F.filter(pieces("text"), lambda w: w != "").alias("w")).select("doc_id", F.explode(runs(k)).alias("h"))
+            found = own.join(F.broadcast(keys) if size <= broadcast_rows else keys, "h").select("doc_id", "item_id").distinct()
+            part = whole.filter(F.size(pieces("part")) - 2 >= n if k == n else F.size(pieces("part")) - 2 < n)
+            out = out.unionByName(docs.join(found, "doc_id").join(part, "item_id").filter(F.contains("text", "part")).select("doc_id", "item_id"))
+    return out
+
+
 def mean_recall(rows: DataFrame) -> DataFrame:
     return rows.agg(F.coalesce(F.avg("recall"), F.lit(0.0)).alias("mean_recall"), F.count("*").alias("n_queries"))
 

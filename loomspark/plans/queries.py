@@ -477,7 +477,7 @@ def _golden(spark, d):
     items = t(spark, d, "benchmark")
     hits = lexical.bm25_batch(lexical.postings(c), lexical.doc_lengths(c), items.select(F.col("item_id").alias("query_id"), "text"), 8)
     retrieved = hits.select(F.col("query_id").cast("string").alias("query"), F.col("chunk_id").alias("note_path"), "rank")
-    pairs = t(spark, d, "documents").select("doc_id", F.col("text").alias("body")).join(F.broadcast(items.limit(1000)), F.contains("body", "text"))  # a golden set is small
+    pairs = golden.containing(t(spark, d, "documents").select("doc_id", "text"), items)
     expect = pairs.groupBy("item_id").agg(F.sort_array(F.collect_list(F.col("doc_id").cast("string"))).alias("expect"))
     return golden.evaluate(expect.select(F.col("item_id").cast("string").alias("query"), "expect", F.lit(8).alias("k")), retrieved)
 
