@@ -11,12 +11,16 @@ At scoring time a filter's response to a word is a sum of table look-ups (the em
 by the filter once, after training), so a text costs gathers and maxima and no matrix product.
 
 Thresholds are calibrated by language. A naive Bayes guess over the same word keys, learned from the
-training rows' ``lang``, names the language of a text; a quarter of the training rows sets, for each
-language with enough of them, the logit at which toxic documents are told apart best, and the score is
-shifted so that this point maps to ``THRESHOLD``. Neither labels nor ``lang`` are inputs of a score.
+training rows' ``lang``, names the language of a text. All labelled rows but those whose text trained the
+network are scored with it, whole, and counted by language, label and logit (``BINS`` bins of ``STEP``);
+each label's counts are weighted to its number of all labelled rows, so the class mix is that of the
+labels at every size. They set, for each language with enough of them, the logit at which toxic documents
+are told apart best, and the score is shifted so that this point maps to ``THRESHOLD``. Neither labels nor
+``lang`` are inputs of a score.
 
-The fit takes at most ``max_rows`` labelled rows (half of them toxic if there are so many) of at most
-``max_bytes`` each: a documented bound, for training only. Scoring reads every whole text.
+The network takes at most ``max_rows`` labelled rows (half of them toxic if there are so many) of at most
+``max_bytes`` each, and leaves out a quarter of them: a documented bound, for the network only.
+Scoring reads every whole text.
 
 Defined cases: a null or empty text, or one without letters, scores as a text of no words (a constant);
 without labelled rows every score is 0; repeated rows are scored one by one; null labels are left out;
@@ -36,6 +40,7 @@ from pyspark.sql import functions as F
 from .common import chunks, lower_bytes, release_memory, span_hashes, bounded, word_spans
 
 THRESHOLD = 0.7
+BINS, STEP = 8192, 1 / 128  # of logits, around 0; the outer two take what lies beyond
 WIDTHS, FILTERS, DIM, SLOT_BITS = (1, 2, 3), 6, 6, 19
 PARTS = (1 << 30, 5, 7)  # how many bytes of a word each key takes
 
@@ -223,22 +228,29 @@ class ToxicityModel:
             votes[:, k] = np.bincount(doc, self.guess[0][rows[0], k], n)[:n]
         return pooled @ self.out + self.bias, votes.argmax(1)
 
-    def calibrate(self, z: np.ndarray, lang: np.ndarray, y: np.ndarray, least: int = 12) -> None:
-        """Shift of each language's logits: the cut with the best balance of missed and wrongly flagged texts."""
-
-        def cut(z, y):
-            order = np.argsort(z)
-            z, y = z[order], y[order]
-            missed, wrong = np.r_[0, np.cumsum(y)], (1 - y).sum() - np.r_[0, np.cumsum(1 - y)]
-            i = np.flatnonzero((cost := missed + 1.5 * wrong) == cost.min())
-            i = i[len(i) // 2]
-            return float(z[-1] + 1 if i == len(z) else z[0] - 1 if i == 0 else (z[i - 1] + z[i]) / 2)
+    def calibrate(self, counts: np.ndarray, weight: np.ndarray, least: int = 12) -> None:
+        """counts (language, label, bin of the logit), weight by label -> shift of each language's logits: the cut with the best balance of missed and wrongly flagged texts."""
+
+        def cut(own):
+            clean, toxic = own * weight[:, None]
+            missed, wrong = np.r_[0, np.cumsum(toxic)], clean.sum() - np.r_[0, np.cumsum(clean)]
+            i = np.flatnonzero((cost := missed + 1.5 * wrong) <= cost.min() * (1 + 1e-9) + 1e-9)
+            full = np.flatnonzero(clean + toxic)  # all cuts between two bins in use are one
+            i = np.unique(np.searchsorted(full, i))
+            k = i[len(i) // 2]
+            if k == 0:
+                at = full[0] - 1 / STEP
+            elif k == len(full):
+                at = full[-1] + 1 + 1 / STEP
+            else:
+                at = (full[k - 1] + 1 + full[k]) / 2
+            return float((at - BINS // 2) * STEP)
 
-        self.default_shift = cut(z, y) if len(z) and 0 < y.sum() < len(y) else 0.0
-        for k in range(len(self.languages)):
-            own = lang == k
-            if least <= y[own].sum() < own.sum() - least:
-                self.shift[k] = cut(z[own], y[own])
+        every = counts.sum(0)
+        self.default_shift = cut(every) if every.sum(1).all() else 0.0
+        for k, own in enumerate(counts):
+            if own.sum(1).min() >= least:
+                self.shift[k] = cut(own)
 
     def scores(self, ks: list[np.ndarray], doc: np.ndarray, n: int) -> np.ndarray:
         if not self.ready:
@@ -248,16 +260,20 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z - at + np.log(THRESHOLD / (1 - THRESHOLD)), -40, 40)))
 
 
+def held_out(order: np.ndarray) -> np.ndarray:
+    """A quarter of the rows, by their hashes; none of fewer than 40."""
+    return (order % 4 == 0) & (len(order) >= 40)
+
+
 def train(part_keys, y: np.ndarray, langs: list[str], order: np.ndarray, epochs: int = 5, batch: int = 64, seed: int = 3) -> ToxicityModel:
     """part_keys(p): the keys of each document's words by part p, made anew at each call, so only one part is held.
 
-    order: a hash of each document, by which a quarter only calibrates.
+    order: a hash of each document, by which a quarter doesn't train. Thresholds are not calibrated.
     """
     model = ToxicityModel()
     if not len(y):
         return model
-    held = order % 4 == 0 if len(y) >= 40 else np.zeros(len(y), bool)
-    fit = np.flatnonzero(~held)
+    fit = np.flatnonzero(~held_out(order))
     rows = model.start(part_keys, fit, y[fit], [langs[i] for i in fit])
     rng, cache = np.random.default_rng(seed), {}
     lift = np.sqrt(max(1.0, (1 - y[fit]).sum() / max(1, y[fit].sum())))
@@ -269,18 +285,44 @@ def train(part_keys, y: np.ndarray, langs: list[str], order: np.ndarray, epochs:
             doc = np.repeat(np.arange(len(b)), [len(rows[0][i]) for i in b])
             model.step(joined, doc, y[b], np.where(y[b] > 0, lift, 1.0), cache, 0.05 / (1 + epoch))
     model.freeze()
-    check = np.flatnonzero(held) if held.any() else fit
-    z, lang = np.zeros(len(check)), np.zeros(len(check), int)
-    for at in range(0, len(check), 256):
-        b = check[at : at + 256]
-        joined = [np.concatenate([rows[p][i] for i in b]) for p in range(len(PARTS))]
-        z[at : at + 256], lang[at : at + 256] = model.logits(joined, np.repeat(np.arange(len(b)), [len(rows[0][i]) for i in b]), len(b))
-    model.calibrate(z, lang, y[check])
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bytes: int = 100_000) -> ToxicityModel:
-    """docs (doc_id, text, lang), labels (doc_id, toxic) -> model, from at most max_rows rows of at most max_bytes."""
+def bins(z: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor(z / STEP) + BINS // 2, 0, BINS - 1).astype(np.int64)
+
+
+def histogram(docs: DataFrame, rated: DataFrame, model: ToxicityModel, trained: np.ndarray, few: bool) -> tuple[np.ndarray, np.ndarray]:
+    """docs (doc_id, text), rated (doc_id, toxic) -> number of rows by guessed language, label and bin of the logit, without trained texts; number of all rows by label.
+
+    trained: hashes of texts. Texts are never shuffled: where the labels are too many to broadcast, all texts are scored and then joined.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((model.slim(), np.sort(trained)))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, known = shared.value
+        for part, raw, off in chunks(batches):
+            ks, doc = keys(raw, off)
+            z, lang = m.logits(m.rows(ks), doc, len(off) - 1)
+            at = np.where(np.isin(part.column("t").to_numpy(), known), -1, lang * BINS + bins(z))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(at, pa.int64())], ["doc_id", "at"])
+
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
+    if few:
+        rows = rows.join(F.broadcast(rated.select("doc_id").distinct()), "doc_id", "left_semi")
+    placed = rows.mapInArrow(bounded(place), f"doc_id {kind}, at long").join(F.broadcast(rated) if few else rated, "doc_id")
+    got = placed.groupBy("at", "toxic").agg(F.count("*").alias("n")).toArrow()  # at most languages x 2 x BINS rows
+    shared.destroy()
+    at, toxic, n = (got.column(c).to_numpy() for c in ("at", "toxic", "n"))
+    counts = np.zeros((len(model.languages), 2, BINS), np.int64)
+    out = at >= 0
+    counts[at[out] // BINS, toxic[out], at[out] % BINS] = n[out]
+    return counts, np.bincount(toxic, n, 2)
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bytes: int = 100_000, broadcast_rows: int = 500_000) -> ToxicityModel:
+    """docs (doc_id, text, lang), labels (doc_id, toxic) -> model: the network from at most max_rows rows of at most max_bytes, the thresholds from all others."""
     rated = labels.filter("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     n = {r["toxic"]: r["count"] for r in rated.groupBy("toxic").count().collect()}
     pos = min(n.get(1, 0), max_rows // 2)
@@ -290,7 +332,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bytes: int
     drawn = rated.filter(part < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
     texts = docs.filter(F.octet_length("text") <= max_bytes).select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"))
     sample = texts.join(F.broadcast(drawn), "doc_id")  # about 1.2 max_rows rows of ids
-    got = sample.select("text", "lang", "toxic", F.xxhash64("doc_id", F.lit(7)).alias("h")).toArrow()
+    got = sample.select("text", "lang", "toxic", F.xxhash64("doc_id", F.lit(7)).alias("h"), F.xxhash64("text").alias("t")).toArrow()
 
     h, y = got.column("h").to_numpy(), got.column("toxic").to_numpy()
     chosen, seen, left = [], set(), dict(want)
@@ -311,9 +353,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bytes: int
             out += [ks[p][cut[i] : cut[i + 1]].copy() for i in range(len(off) - 1)]
         return out
 
-    model = train(part_keys, y[chosen].astype(np.float32), got.column("lang").to_pylist(), h[chosen] & 0x7FFFFFFF)
+    order = h[chosen] & 0x7FFFFFFF
+    model = train(part_keys, y[chosen].astype(np.float32), got.column("lang").to_pylist(), order)
+    trained = got.column("t").to_numpy()[~held_out(order)] if held_out(order).any() else np.zeros(0, np.int64)
     del got, texts
     release_memory()
+    if model.ready:
+        counts, every = histogram(docs, rated, model, trained, sum(n.values()) <= broadcast_rows)
+        model.calibrate(counts, every / np.maximum(1, counts.sum((0, 2))))
     return model
 
 

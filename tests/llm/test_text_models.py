@@ -91,6 +91,22 @@ def test_odd_texts_have_scores(spark):
     assert {r["score"] for r in toxicity.score(frame(spark, ODD), none).collect()} == {0.0}
 
 
+def test_thresholds_see_every_label_at_its_own_mix(spark):
+    """Half of the rows of a word are toxic in the sample that trains, a tenth of them in the labels: it is no ground to flag a text."""
+    rng = random.Random(2)
+    filler = lambda: " ".join("".join(rng.choice("aeioulnrst") for _ in range(6)) for _ in range(6))
+    rows = [(i, filler() + (" murk" if i % 2 else ""), "xx", int(i % 20 == 1)) for i in range(4000)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    got = []
+    for bound in (500_000, 0):  # both ways of joining the labels
+        model = toxicity.fit(docs, labels, max_rows=400, broadcast_rows=bound)
+        got.append((model.shift, model.default_shift))
+        flagged = toxicity.score(docs, model).filter(F.col("score") >= toxicity.THRESHOLD).count()
+        assert flagged < 100  # 2,000 rows have the word and 200 of them are toxic
+    assert got[0] == got[1]
+
+
 def test_filters_equal_look_ups():
     """The trained network and its frozen tables give the same logits."""
     rng = np.random.default_rng(0)
