@@ -1,13 +1,15 @@
 """Edit-aware token counts.
 
-A document is kept as a row of *leaves*, each a run of whole pre-tokens, under a segment tree of token
-counts. Byte-level BPE never merges across pre-tokens, so a count is a sum over leaves. A leaf may end only
+A document is kept as a row of *leaves*, each a run of whole pre-tokens of about ``LEAF_CHARS`` characters, under a
+balanced segment tree of token counts. Byte-level BPE never merges across pre-tokens, so a count is a sum over leaves. A leaf may end only
 between a character that isn't white space and one that is: the pre-token pattern has a boundary at every
 such place, and whether it is one depends on these two characters alone.
 
-An edit re-encodes the leaves that it touches, and a neighbour where it reaches a leaf's edge (the boundary
-context), then updates the sums above them: O(edit + leaf + log n), not O(n). The tree's total is at all
-times what encoding the whole text anew would give.
+An edit splits the tree around the leaves that hold the edited characters and the character on either side (the
+boundary context), cuts their new text into leaves again, encodes these alone and joins the parts, so no leaf
+grows with the number of edits: O(edit + leaf + log n), not O(n). The root of a joined tree is drawn in proportion
+to the sizes of its halves, which keeps trees balanced in expectation. The tree's total is at all times what encoding
+the whole text anew would give.
 
 Defined cases: a null text has null counts, and edits of it are void; an empty text has no tokens; a text without white
 space is one leaf; edits are (start, length, replacement) in characters of the original text, applied in
@@ -18,6 +20,7 @@ extra columns are ignored. The vocabulary is a file named by a parameter and is
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -64,84 +67,106 @@ def leaves(text: str, size: int = LEAF_CHARS) -> list[str]:
     return out
 
 
+class _Node:
+    """A leaf of text, and the sums of the tree below it."""
+
+    __slots__ = ("left", "length", "right", "size", "sum", "text", "tokens")
+
+    def __init__(self, text: str, tokens: int, left: _Node | None = None, right: _Node | None = None):
+        self.text, self.tokens = text, tokens
+        self.hang(left, right)
+
+    def hang(self, left: _Node | None, right: _Node | None) -> _Node:
+        self.left, self.right = left, right
+        self.size, self.length, self.sum = 1, len(self.text), self.tokens
+        for side in (left, right):
+            if side is not None:
+                self.size, self.length, self.sum = self.size + side.size, self.length + side.length, self.sum + side.sum
+        return self
+
+
+def _build(parts: list[str], counts: list[int], lo: int, hi: int) -> _Node | None:
+    if lo >= hi:
+        return None
+    mid = (lo + hi) // 2
+    return _Node(parts[mid], counts[mid], _build(parts, counts, lo, mid), _build(parts, counts, mid + 1, hi))
+
+
+def _split(node: _Node | None, at: int) -> tuple[_Node | None, _Node | None]:
+    """The leaves before the leaf edge at character ``at``, and the others."""
+    if node is None:
+        return None, None
+    before = node.left.length if node.left else 0
+    if at <= before:
+        low, high = _split(node.left, at)
+        return low, node.hang(high, node.right)
+    low, high = _split(node.right, at - before - len(node.text))
+    return node.hang(node.left, low), high
+
+
 class TokenTree:
-    """Leaves of one document and a segment tree of their token counts."""
-
-    def __init__(self, parts: list[str], counts: list[int], count: Callable[[list[str]], list[int]]):
-        self.parts, self.count = list(parts), count
-        self.width = 1
-        while self.width < max(1, len(parts)):
-            self.width *= 2
-        self.sums = [0] * self.width + list(counts) + [0] * (self.width - len(counts))
-        for i in range(self.width - 1, 0, -1):
-            self.sums[i] = self.sums[2 * i] + self.sums[2 * i + 1]
-        self.lengths = [0] * self.width + [len(p) for p in parts] + [0] * (self.width - len(parts))
-        for i in range(self.width - 1, 0, -1):
-            self.lengths[i] = self.lengths[2 * i] + self.lengths[2 * i + 1]
-        self.reencoded = 0
+    """Leaves of one document and a balanced segment tree of their token counts."""
+
+    def __init__(self, parts: list[str], counts: list[int], count: Callable[[list[str]], list[int]], leaf: int = LEAF_CHARS):
+        self.root, self.count, self.leaf = _build(parts, counts, 0, len(parts)), count, leaf
+        self.reencoded, self.draw = 0, random.Random(0).random
 
     @property
     def total(self) -> int:
-        return self.sums[1]
+        return self.root.sum if self.root else 0
 
     @property
     def length(self) -> int:
-        return self.lengths[1]
+        return self.root.length if self.root else 0
+
+    @property
+    def parts(self) -> list[str]:
+        out, node, above = [], self.root, []
+        while node or above:
+            while node:
+                above.append(node)
+                node = node.left
+            node = above.pop()
+            out.append(node.text)
+            node = node.right
+        return out
 
     @property
     def text(self) -> str:
         return "".join(self.parts)
 
-    def _find(self, at: int) -> tuple[int, int]:
-        """(leaf, its start) of the character at ``at``; the last leaf with text for the end."""
-        node, start = 1, 0
-        at = min(at, self.length - 1)
-        while node < self.width:
-            node *= 2
-            if at - start >= self.lengths[node]:
-                start += self.lengths[node]
-                node += 1
-        return node - self.width, start
-
-    def _set(self, leaf: int, text: str, tokens: int) -> None:
-        self.parts[leaf] = text
-        node = leaf + self.width
-        self.sums[node], self.lengths[node] = tokens, len(text)
-        node //= 2
-        while node:
-            self.sums[node] = self.sums[2 * node] + self.sums[2 * node + 1]
-            self.lengths[node] = self.lengths[2 * node] + self.lengths[2 * node + 1]
-            node //= 2
+    def _leaf(self, at: int) -> tuple[int, int]:
+        """Where the leaf of the character at ``at`` begins and ends."""
+        node, start = self.root, 0
+        while True:
+            before = start + (node.left.length if node.left else 0)
+            if at < before:
+                node = node.left
+            elif at < before + len(node.text):
+                return before, before + len(node.text)
+            else:
+                node, start = node.right, before + len(node.text)
+
+    def _join(self, a: _Node | None, b: _Node | None) -> _Node | None:
+        if a is None or b is None:
+            return a or b
+        if self.draw() * (a.size + b.size) < a.size:
+            return a.hang(a.left, self._join(a.right, b))
+        return b.hang(self._join(a, b.left), b.right)
 
     def edit(self, start: int, length: int, replacement: str) -> int:
         """Replace text[start : start + length]; the new total."""
-        start = max(0, min(start, self.length))
-        end = max(start, min(start + length, self.length))
-        if not self.parts:
-            self.parts = [""]
-        if not self.length:
-            first = last = 0
-            at = 0
-        else:
-            first, at = self._find(max(0, start - 1))  # the character before is context
-            last, _ = self._find(min(end, self.length - 1))  # and so is the one after
-            if start <= at and first > 0:
-                first, at = self._find(at - 1)
-        before = self.parts[first : last + 1]
-        whole = "".join(before)
-        # a leaf edge on the left needs an unchanged first character, on the right an unchanged last one
-        while first > 0 and start - at < 1:
-            first, at = self._find(at - 1)
-            whole = self.parts[first] + whole
-        while end - at >= len(whole) and at + len(whole) < self.length:
-            last, _ = self._find(at + len(whole))
-            whole += self.parts[last]
-        new = whole[: start - at] + replacement + whole[end - at :]
-        self.reencoded += len(new)
-        tokens = sum(self.count(leaves(new))) if new else 0
-        for leaf in range(first + 1, last + 1):
-            self._set(leaf, "", 0)
-        self._set(first, new, tokens)
+        n = self.length
+        start = max(0, min(start, n))
+        end = max(start, min(start + length, n))
+        lo, hi = (self._leaf(max(0, start - 1))[0], self._leaf(min(end, n - 1))[1]) if n else (0, 0)
+        low, rest = _split(self.root, lo)
+        middle, high = _split(rest, hi - lo)
+        self.root = middle
+        old = self.text
+        new = leaves(old[: start - lo] + replacement + old[end - lo :], self.leaf)
+        self.reencoded += sum(map(len, new))
+        self.root = self._join(self._join(low, _build(new, self.count(new), 0, len(new))), high)
         return self.total
 
 
