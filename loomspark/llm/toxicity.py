@@ -1,8 +1,8 @@
 """Toxicity: a convolutional text classifier trained in numpy.
 
 A word (a run of letters, A-Z lower-cased) is embedded by three hashed keys: itself and its first five
-and seven bytes, each with a row in its own part of one table. A key's row is found by direct
-addressing with ``2**SLOT_BITS`` slots and a 64-bit fingerprint; keys that training didn't see twice
+and seven bytes, each with a row in its own part of one table. A key's row is found by open
+addressing in a table of 64-bit fingerprints, at least four slots for each key; keys that training didn't see twice
 share one row. Filters of widths 1, 2 and 3 run over the word vectors, each is max-pooled over the whole
 text, and a logistic layer scores the pooled values. The first column of each part starts as the log
 odds of the key, the rest at random; everything is then trained by Adagrad on the logistic loss.
@@ -18,13 +18,13 @@ labels at every size. They set, for each language with enough of them, the logit
 are told apart best, and the score is shifted so that this point maps to ``THRESHOLD``. Neither labels nor
 ``lang`` are inputs of a score.
 
-The network takes at most ``max_rows`` labelled rows (half of them toxic if there are so many) of at most
-``max_bytes`` each, and leaves out a quarter of them: a documented bound, for the network only.
-Scoring reads every whole text.
+The network takes at most ``max_rows`` labelled rows (half of them toxic if there are so many), of a text of over
+``window`` characters a stretch of that length at a place given by a hash, and leaves out a quarter of them:
+documented bounds, for the network only. Calibration and scoring read every whole text.
 
 Defined cases: a null or empty text, or one without letters, scores as a text of no words (a constant);
-without labelled rows every score is 0; repeated rows are scored one by one; null labels are left out;
-an empty table gives an empty result; extra columns are ignored.
+without labelled rows every score is 0; a score of exactly 0.7 is toxic; repeated rows are scored one by one; null labels
+are left out; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ from .common import chunks, lower_bytes, release_memory, span_hashes, bounded, w
 
 THRESHOLD = 0.7
 BINS, STEP = 8192, 1 / 128  # of logits, around 0; the outer two take what lies beyond
-WIDTHS, FILTERS, DIM, SLOT_BITS = (1, 2, 3), 6, 6, 19
+WIDTHS, FILTERS, DIM = (1, 2, 3), 6, 6
 PARTS = (1 << 30, 5, 7)  # how many bytes of a word each key takes
 
 
@@ -53,22 +53,42 @@ def keys(raw: np.ndarray, off: np.ndarray) -> tuple[list[np.ndarray], np.ndarray
 
 
 class Slots:
-    """Row numbers of known keys by direct addressing; 0 is the row of unknown keys."""
+    """Row numbers of known keys by open addressing; 0 is the row of unknown keys."""
 
     def __init__(self, known: np.ndarray):
-        """known: keys, the most frequent first; the first to claim a slot has it."""
-        at = (known >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        _, first = np.unique(at, return_index=True)
-        first.sort()
-        self.print = np.zeros(1 << SLOT_BITS, np.uint64)
-        self.row = np.zeros(1 << SLOT_BITS, np.int32)
-        self.print[at[first]] = known[first]
-        self.row[at[first]] = np.arange(1, len(first) + 1)
-        self.size = len(first) + 1
+        """known: distinct keys; they get the rows 1, 2, ..."""
+        self.bits = max(4, int(np.ceil(np.log2(4 * len(known) + 1))))
+        self.print = np.zeros(1 << self.bits, np.uint64)
+        self.row = np.zeros(1 << self.bits, np.int32)
+        self.size, self.steps = len(known) + 1, 0
+        key, row = known, np.arange(1, self.size, dtype=np.int32)
+        at = self._slot(key)
+        while len(key):
+            free = np.flatnonzero(self.row[at] == 0)
+            taken, first = np.unique(at[free], return_index=True)
+            own = free[first]
+            self.print[taken], self.row[taken] = key[own], row[own]
+            left = np.ones(len(key), bool)
+            left[own] = False
+            key, row, at = key[left], row[left], (at[left] + 1) & ((1 << self.bits) - 1)
+            self.steps += 1
+
+    def _slot(self, k: np.ndarray) -> np.ndarray:
+        return (k >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def __call__(self, k: np.ndarray) -> np.ndarray:
-        at = (k >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        return np.where(self.print[at] == k, self.row[at], 0)
+        at = self._slot(k)
+        same = self.print[at] == k
+        out = np.where(same, self.row[at], 0)
+        open_ = np.flatnonzero(~same & (self.row[at] > 0))
+        for _ in range(self.steps):
+            if not len(open_):
+                break
+            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
+            same = self.print[at[open_]] == k[open_]
+            out[open_[same]] = self.row[at[open_[same]]]
+            open_ = open_[~same & (self.row[at[open_]] > 0)]
+        return out
 
 
 class ToxicityModel:
@@ -321,8 +341,8 @@ def histogram(docs: DataFrame, rated: DataFrame, model: ToxicityModel, trained:
     return counts, np.bincount(toxic, n, 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bytes: int = 100_000, broadcast_rows: int = 500_000) -> ToxicityModel:
-    """docs (doc_id, text, lang), labels (doc_id, toxic) -> model: the network from at most max_rows rows of at most max_bytes, the thresholds from all others."""
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, window: int = 100_000, broadcast_rows: int = 500_000) -> ToxicityModel:
+    """docs (doc_id, text, lang), labels (doc_id, toxic) -> model: the network from at most max_rows rows, the thresholds from all others."""
     rated = labels.filter("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     n = {r["toxic"]: r["count"] for r in rated.groupBy("toxic").count().collect()}
     pos = min(n.get(1, 0), max_rows // 2)
@@ -330,9 +350,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bytes: int
     part = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000))
     share = {k: min(1_000_000, 1_200_000 * want[k] // max(1, n.get(k, 0)) + 1) for k in want}
     drawn = rated.filter(part < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
-    texts = docs.filter(F.octet_length("text") <= max_bytes).select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"))
+    texts = docs.filter("text is not null").select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"))
     sample = texts.join(F.broadcast(drawn), "doc_id")  # about 1.2 max_rows rows of ids
-    got = sample.select("text", "lang", "toxic", F.xxhash64("doc_id", F.lit(7)).alias("h"), F.xxhash64("text").alias("t")).toArrow()
+    h = F.xxhash64("doc_id", F.lit(7))
+    stretch = F.substring("text", F.pmod(h, F.greatest(F.length("text") - window, F.lit(0)) + 1).cast("int") + 1, F.lit(window))
+    got = sample.select(stretch.alias("text"), "lang", "toxic", h.alias("h"), F.xxhash64("text").alias("t")).toArrow()
 
     h, y = got.column("h").to_numpy(), got.column("toxic").to_numpy()
     chosen, seen, left = [], set(), dict(want)
@@ -368,7 +390,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """docs (doc_id, text) -> doc_id, score."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(model.slim())  # at most max_rows documents' keys and 2**SLOT_BITS slots: a bounded size
+    shared = sc.broadcast(model.slim())  # the keys of at most max_rows stretches of text: a bounded size
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
