@@ -8,8 +8,8 @@ gradient descent on the squared hinge loss.
 
 Languages and families come from the labels: ``FAMILIES`` names the family of common language codes,
 and a code that it doesn't name is a family of its own. The fit takes at most ``per_language`` labelled
-rows of each language (the only bound; a documented parameter, rows chosen by a hash of the id), split
-4:1 into training rows and rows on which the margins' slopes are calibrated. Prediction reads every
+rows of each language and ``most_rows`` in all, evenly (the only bounds; documented parameters, rows chosen by a
+hash of the id), split 4:1 into training rows and rows on which the margins' slopes are calibrated. Prediction reads every
 whole text, chunk by chunk, in Arrow batches, with a model of a few hundred kB in the closure.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; texts of any length are
@@ -80,9 +80,12 @@ def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
                 yield part.slice(at, len(o) - 1), features(raw[o[0] : o[-1]], o - o[0])
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, reg: float = 1e-4, steps: int = 150) -> np.ndarray:
-    """Weights (features + 1, outputs) of squared-hinge SVMs for targets y in {-1, 1}; 0 leaves a row out."""
-    xb = np.hstack([x, np.ones((len(x), 1), np.float32)])
+def with_bias(x: np.ndarray) -> np.ndarray:
+    return np.hstack([x, np.ones((len(x), 1), np.float32)])
+
+
+def fit_svm(xb: np.ndarray, y: np.ndarray, reg: float = 1e-4, steps: int = 150) -> np.ndarray:
+    """Weights (columns of xb, outputs) of squared-hinge SVMs for targets y in {-1, 1}; 0 leaves a row out. xb has its bias column."""
     used = np.abs(y)
     share = used / np.maximum(1, used.sum(0))
     v = np.random.default_rng(1).standard_normal(xb.shape[1]).astype(np.float32)
@@ -123,7 +126,7 @@ class LanguageModel:
     def probabilities(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """rows x languages: P(family) times the pairwise votes inside it; and the language chosen, family first."""
         x = x - self.mean
-        xb = np.hstack([x, np.ones((len(x), 1), np.float32)])
+        xb = with_bias(x)
         if len(self.families) > 1:
             m = self.family_slope * 2 * (xb @ self.family_w)
             e = np.exp(m - m.max(1, keepdims=True))
@@ -147,7 +150,7 @@ class LanguageModel:
 
 
 def train(x: np.ndarray, langs: list[str], order: np.ndarray) -> LanguageModel:
-    """x is centred in place. order: a hash of each row; a fifth of the rows, by it, calibrates and doesn't train."""
+    """x: rows of features and a last column for the bias, centred in place. order: a hash of each row; a fifth of the rows, by it, calibrates and doesn't train."""
     model = LanguageModel(languages=sorted(set(langs)))
     if not model.languages:
         return model
@@ -159,33 +162,33 @@ def train(x: np.ndarray, langs: list[str], order: np.ndarray) -> LanguageModel:
     fam = np.array(model.family_of)[y]
     held = (order % 5 == 0) if len(y) >= 50 else np.zeros(len(y), bool)
     fit, check = ~held, held if held.any() else ~held
-    model.mean = x[fit].mean(0, dtype=np.float64).astype(np.float32)
-    x -= model.mean
-    xc = np.hstack([x[check], np.ones((check.sum(), 1), np.float32)])
+    model.mean = x[:, :-1].mean(0, where=fit[:, None], dtype=np.float64).astype(np.float32)
+    x[:, :-1] -= model.mean
+    x[:, -1] = 1
     if len(model.families) > 1:
-        target = np.where(fam[fit][:, None] == np.arange(len(model.families)), 1.0, -1.0).astype(np.float32)
-        model.family_w = fit_svm(x[fit], target)
-        sign = np.where(fam[check][:, None] == np.arange(len(model.families)), 1.0, -1.0)
-        model.family_slope = _slope((xc @ model.family_w).ravel(), sign.ravel())
+        sign = np.where(fam[:, None] == np.arange(len(model.families)), 1.0, -1.0).astype(np.float32)
+        model.family_w = fit_svm(x, sign * fit[:, None].astype(np.float32))
+        model.family_slope = _slope((x[check] @ model.family_w).ravel(), sign[check].ravel())
     model.pairs = [(a, b) for a, b in combinations(range(len(codes)), 2) if model.family_of[a] == model.family_of[b]]
     if model.pairs:
         columns = []
         for a, b in model.pairs:  # a classifier sees the rows of its two languages alone
             own = fit & ((y == a) | (y == b))
             w = fit_svm(x[own], np.where(y[own] == a, 1.0, -1.0).astype(np.float32)[:, None])
-            near = (y[check] == a) | (y[check] == b)
+            near = check & ((y == a) | (y == b))
             columns.append(w)
-            model.pair_slope.append(_slope((xc[near] @ w)[:, 0], np.where(y[check][near] == a, 1.0, -1.0)))
+            model.pair_slope.append(_slope((x[near] @ w)[:, 0], np.where(y[near] == a, 1.0, -1.0)))
         model.pair_w = np.hstack(columns)
     return model
 
 
-def fit(labelled: DataFrame, per_language: int = 500) -> LanguageModel:
-    """labelled (doc_id, text, lang) -> model, from at most ``per_language`` rows of each language."""
+def fit(labelled: DataFrame, per_language: int = 1000, most_rows: int = 20_000) -> LanguageModel:
+    """labelled (doc_id, text, lang) -> model, from at most ``per_language`` rows of each language and ``most_rows`` in all."""
     rows = labelled.filter("lang is not null and lang <> '' and text is not null").select("doc_id", "text", "lang")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return LanguageModel()
+    per_language = max(1, min(per_language, most_rows // len(counts)))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     share = F.element_at(F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1_000_000, 1_300_000 * per_language // n + 1))]), F.col("lang"))
     sample = rows.filter(part < share).select("doc_id", "text", "lang", F.xxhash64("doc_id", F.lit(7)).alias("h"))
@@ -200,7 +203,9 @@ def fit(labelled: DataFrame, per_language: int = 500) -> LanguageModel:
     langs = np.array(got.column("lang").to_pylist(), dtype=object)
     keep = np.concatenate([np.flatnonzero(langs == c)[np.argsort(h[langs == c], kind="stable")][:per_language] for c in sorted(counts)]).astype(int)
     packed = got.column("x")
-    x = np.stack([np.frombuffer(packed[int(i)].as_py(), np.float16).astype(np.float32) for i in keep]) if len(keep) else np.zeros((0, 1 << BITS), np.float32)
+    x = np.ones((len(keep), (1 << BITS) + 1), np.float32)
+    for i, k in enumerate(keep):
+        x[i, :-1] = np.frombuffer(packed[int(k)].as_py(), np.float16)
     del got, packed
     model = train(x, list(langs[keep]), h[keep] & 0x7FFFFFFF)
     del x
