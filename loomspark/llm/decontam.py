@@ -17,7 +17,9 @@ and item, so an item contained in a third of all documents is spread over all ta
 
 Defined cases: null or empty texts, on either side, have no shingles and match nothing; a text of fewer
 than ``n`` words is one shingle of all its words; repeated rows with one id count as one document whose
-set is the union; extra columns are ignored; empty tables give an empty result.
+set is the union; rows with a null id, on either side, are one document or item for each different text, and are
+matched, reported and dropped like others; ids may be of any type that can be grouped; very long texts are read whole;
+ties have no influence; extra columns, of any name, are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -62,15 +64,21 @@ def item_sketches(items: DataFrame, n: int, threshold: float, sketch: int, miss:
     return sized.select("item_id", F.size("hs").alias("n_item"), needed.alias("needed"), F.explode(F.slice("hs", 1, sketch)).alias("h"))
 
 
-def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8, sketch: int = 24, miss: float = 1e-7, broadcast_rows: int = 500_000) -> DataFrame:
-    """docs (doc_id, text), items (item_id, text) -> doc_id, item_id, n_shared, n_item, containment, for containment >= threshold."""
-    items = items.filter("text is not null")
+def keyed(rows: DataFrame, id_: str) -> DataFrame:
+    """(key, text): the id, and a hash of the text where the id is null. Structs with equal nulls are equal in groups and joins."""
+    return rows.select(F.struct(F.col(id_).alias("id"), F.when(F.col(id_).isNull(), F.xxhash64("text")).alias("of")).alias("key"), "text")
+
+
+def _contained(docs: DataFrame, items: DataFrame, n: int, threshold: float, sketch: int, miss: float, broadcast_rows: int) -> DataFrame:
+    """docs (key, text), items (key, text) -> doc, item (keys), n_shared, n_item."""
+    items = items.filter("text is not null").withColumnRenamed("key", "item_id")
+    docs = docs.withColumnRenamed("key", "doc_id")
     probes = checkpoint(item_sketches(items, n, threshold, sketch, miss))
     small = probes.count() <= broadcast_rows
-    keyed = probes.groupBy("h").agg(F.collect_list(F.struct("item_id", "needed")).alias("at"))
+    by_hash = probes.groupBy("h").agg(F.collect_list(F.struct("item_id", "needed")).alias("at"))
     if small:
-        keyed = F.broadcast(keyed)
-    found = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(shingle_hashes("w", n)).alias("h")).join(keyed, "h").select("doc_id", "h", F.explode("at").alias("i"))
+        by_hash = F.broadcast(by_hash)
+    found = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(shingle_hashes("w", n)).alias("h")).join(by_hash, "h").select("doc_id", "h", F.explode("at").alias("i"))
     candidates = checkpoint(found.groupBy("doc_id", F.col("i.item_id").alias("item_id"), "h").agg(F.first("i.needed").alias("needed")).groupBy("doc_id", "item_id").agg(F.count("*").alias("hits"), F.first("needed").alias("needed")).filter("hits >= needed").select("doc_id", "item_id"))
 
     ids = candidates.select("doc_id").distinct()
@@ -83,10 +91,23 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, threshold: fl
     if small:  # an item has at most as many shingles as words
         item_rows = F.broadcast(item_rows) if item_rows.count() <= broadcast_rows else item_rows
     shared = doc_shingles.join(item_rows, "s").groupBy("doc_id", "item_id", "s").agg(F.first("n_item").alias("n_item")).groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"), F.first("n_item").cast("long").alias("n_item"))
-    return shared.filter(F.col("n_shared") >= threshold * F.col("n_item") - 1e-9).join(candidates, ["doc_id", "item_id"], "left_semi").withColumn("containment", F.col("n_shared") / F.col("n_item"))
+    return shared.filter(F.col("n_shared") >= threshold * F.col("n_item") - 1e-9).join(candidates, ["doc_id", "item_id"], "left_semi")
+
+
+def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8, sketch: int = 24, miss: float = 1e-7, broadcast_rows: int = 500_000) -> DataFrame:
+    """docs (doc_id, text), items (item_id, text) -> doc_id, item_id, n_shared, n_item, containment, for containment >= threshold."""
+    found = _contained(keyed(docs, "doc_id"), keyed(items, "item_id"), n, threshold, sketch, miss, broadcast_rows)
+    return found.select(F.col("doc_id.id").alias("doc_id"), F.col("item_id.id").alias("item_id"), "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8, broadcast_rows: int = 2_000_000) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8, sketch: int = 24, miss: float = 1e-7, broadcast_rows: int = 2_000_000) -> DataFrame:
     """The rows of docs, with all their columns, that contain no item."""
-    gone = checkpoint(contained_items(docs, items, n, threshold).select("doc_id").distinct())
-    return docs.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, "doc_id", "left_anti")
+    found = _contained(keyed(docs, "doc_id"), keyed(items, "item_id"), n, threshold, sketch, miss, 500_000)
+    gone = checkpoint(found.select("doc_id.id", "doc_id.of").distinct())
+    small = gone.count() <= broadcast_rows
+    ids, texts = gone.filter("id is not null").select(F.col("id").alias("doc_id")), gone.filter("id is null").select("of")
+    kept = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti")
+    if texts.isEmpty():
+        return kept
+    own = F.when(kept["doc_id"].isNull(), F.xxhash64(kept["text"]))
+    return kept.join(F.broadcast(texts) if small else texts, own == texts["of"], "left_anti")
