@@ -27,10 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by spark.checkpoint.dir; a folder of our own only where none is set."""
+    """Use the shared folder named by spark.checkpoint.dir; a folder of our own only in local mode, where none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomspark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomspark-"))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -47,19 +50,20 @@ def release_memory() -> None:
         libc.malloc_trim(0)
 
 
-#: Texts come in Arrow batches of this many rows at most: a batch exists several times over, in the JVM and here.
+#: Functions get slices of at most this many rows of an Arrow batch, so what they make from one is bounded.
 ARROW_ROWS = 2000
-_ARROW_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def bounded(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function for mapInArrow that gets small batches (a setting of the session) and gives memory back when its task is over."""
-    conf = SparkSession.active().conf
-    if not 0 < int(conf.get(_ARROW_CONF)) <= ARROW_ROWS:
-        conf.set(_ARROW_CONF, ARROW_ROWS)
+    """A function for mapInArrow that gets small batches and gives memory back when its task is over."""
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, max(1, b.num_rows), ARROW_ROWS):
+                yield b.slice(lo, ARROW_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from f(batches)
+        yield from f(slices(batches))
         release_memory()
 
     return run
