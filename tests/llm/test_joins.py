@@ -19,6 +19,18 @@ def test_components(spark):
     want = brute.components({x for e in links for x in e}, links)
     assert {i: got.get(i, i) for i in want} == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([(1, None), (None, 2), (3, 3)], "a long, b long")).count() == 0
+
+
+def test_components_of_many_tasks(spark, monkeypatch):
+    from loomspark.llm import components as module
+
+    monkeypatch.setattr(module, "ROWS_PER_TASK", 40)
+    random.seed(2)
+    links = [(random.randrange(400), random.randrange(400)) for _ in range(300)] + [(i, i + 1) for i in range(1000, 1150)] + [(5000, i) for i in range(5001, 5100)]
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    want = brute.components({x for e in links for x in e}, links)
+    assert {i: got.get(i, i) for i in want} == want
 
 
 def corpus(seed):
@@ -40,7 +52,7 @@ def corpus(seed):
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize("options", [{}, {"bucket": 2, "salt_rows": 3}, {"bucket": 3, "likely_rounds": 0}, {"bucket": 2, "few": 0}])
+@pytest.mark.parametrize("options", [{}, {"bucket": 2, "salt_rows": 3, "block": 8}, {"bucket": 3, "likely_rounds": 0, "rounds": 0, "block": 16}, {"bucket": 2, "few": 0}])
 @pytest.mark.parametrize("n, percent", [(4, 85), (5, 80)])
 def test_join_equals_brute_force(spark, n, percent, options):
     docs = corpus(n)
@@ -55,6 +67,46 @@ def test_join_equals_brute_force(spark, n, percent, options):
     assert {r["doc_id"]: r["n_shingles"] for r in got} == {i: len(s) for i, s in sets.items()}
 
 
+def test_one_id_with_two_texts_links_both(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a, 0), (5, b, 0), (5, a + " end", 0), (7, b + " more", 0), (9, "alone", 0), (5, a + " end", 0)]
+    got = {r["doc_id"]: r["component_id"] for r in ngramjoin.join_components(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: 1, 5: 1, 7: 1, 9: 9}
+
+
+def test_string_ids(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = spark.createDataFrame([("3", text), ("12", text + " x")], "doc_id string, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in ngramjoin.join_components(rows).collect()} == {(3, 3), (12, 3)}
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        ngramjoin.join_components(spark.createDataFrame([("x", text)], "doc_id string, text string")).count()
+
+
+def test_large_groups_cost_in_proportion(spark, monkeypatch):
+    """Pairs verified for a group of edited copies grow with the group, not with its square."""
+    verified = []
+    verify = ngramjoin._verify
+
+    def counted(pairs, *rest):
+        verified[-1] += pairs.count()
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(ngramjoin, "_verify", counted)
+    random.seed(6)
+    base = [f"w{i}" for i in range(120)]
+    for size in (500, 2000):
+        rows = []
+        for i in range(size):
+            w = list(base)
+            for _ in range(random.randint(0, 2)):
+                w[random.randrange(len(w))] = f"x{random.randrange(10**9)}"
+            rows.append((i, " ".join(w), 0))
+        verified.append(0)
+        got = ngramjoin.join_components(spark.createDataFrame(rows, DOCS).repartition(4))
+        assert got.filter("component_id = 0").count() == size
+    assert verified[1] < 8 * 2000 and verified[1] < 6 * verified[0]
+
+
 def test_one_of_each_group(spark):
     long = " ".join(f"w{i}" for i in range(60))
     rows = [(1, long, 1), (2, long + " end", 2), (3, "other text", 3), (3, "other text", 3), (None, long, 4), (None, None, 5), (4, None, 6)]
