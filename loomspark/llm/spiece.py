@@ -1,21 +1,25 @@
 """SentencePiece encoding and decoding by streaming Viterbi.
 
-Encoding finds the segmentation of a text into vocabulary pieces with the highest total score. The text is
-read as a stream: position by position the best score and its backpointer are kept for a window no longer
-than the longest piece, and whenever all surviving paths (the backpointer chains from the positions that
-a later piece can still start from) pass through one boundary, the ids before it are committed and dropped.
-``StreamingViterbi`` is that algorithm, in bounded memory for a text of any length.
-
-Most boundaries at which all paths converge are known before looking: no piece of two characters or more
-has U+2581 after another character, so every path passes through the place before a U+2581 that follows
-another character. The column operator therefore cuts texts there into *units*, and runs the same
-recurrence over all distinct units of a batch at once: units of one length form a matrix, and one numpy
-step handles one (end, piece length) of all of them. Units longer than ``LONG`` characters go through
-``StreamingViterbi``. Both give the same ids (tests), with ties going to the longer last piece.
+Encoding finds the segmentation of a text into vocabulary pieces with the highest total score. Texts are
+read as streams, many of them in step, character by character. Each stream keeps the best scores of the last
+``longest`` boundaries (no piece is longer) and the backpointers since its last committed boundary. Every ``longest``
+characters or more, and where streams end, the paths that survive (the backpointer chains from the boundaries that a later piece
+can still start from; at an end, from that boundary alone) are followed back together: the last boundary through which
+all of them pass is committed, the ids before it are given out and its rows are dropped. So memory is
+bounded for texts of any length whose paths meet (in a run of one repeated character they may never do: its
+rows are kept, and looked at again each time they have doubled), and ids never change after they are given out.
+
+The pieces that end at a character come from one walk of a trie of the vocabulary for each boundary still open; a
+walk ends where no piece goes on. Ties go to the longer last piece.
+
+Some boundaries are known beforehand to be common to all paths: those between two characters that no piece
+has side by side, such as the one before a U+2581 that follows another character. Texts are cut into streams
+there, equal streams are coded once, and each worker remembers the ids of up to ``MEMO`` streams, so a word
+that it has met before costs a look-up.
 
 Scores: the vocabulary file on this box is a BPE model, whose scores are merge ranks r, not log
-probabilities. They are read as a Zipf law, score = -ln(r + ZIPF_SHIFT), so that Viterbi has a unigram
-model to maximise; ids may differ from those of rank-by-rank merging, decoding is exact all the same.
+probabilities. They are read as a Zipf law, score = -ln(r + ZIPF_SHIFT): pseudo-probabilities, so that Viterbi has a
+unigram model to maximise; ids may differ from those of rank-by-rank merging, decoding is exact all the same.
 A character outside the vocabulary, and U+2581 itself in a text, is coded by its UTF-8 bytes, each at the
 score ``BYTE_SCORE``; so every text can be encoded and comes back unchanged.
 
@@ -32,12 +36,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import mix64, text_buffers, bounded
+from .common import bounded, mix64, text_buffers
 
 SPACE = "▁"
-ZIPF_SHIFT, UNIT, LONG = 1000.0, 1 << 20, 48
+ZIPF_SHIFT, UNIT = 1000.0, 1 << 20
 BYTE_SCORE, NEVER = -30 * UNIT, -(1 << 60)
-CHUNK_CHARS = 1 << 19
+CHUNK_CHARS, STREAMS, MEMO = 1 << 20, 20_000, 1 << 18
+PAIR_BITS = 18
+LITERAL = 0x110000  # stands for a U+2581 of the text itself: a code that no piece has
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -48,7 +54,7 @@ def default_model() -> str:
 
 
 class Vocabulary:
-    """Pieces with scores, and an open-addressing table of their hashes for look-ups by array."""
+    """Pieces with scores, and a trie of them: an open-addressing table from (node, code point) to node, for steps by array."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -70,56 +76,72 @@ class Vocabulary:
                 self.score[p] = (-round(float(np.log(max(0.0, rank) + ZIPF_SHIFT)) * UNIT), i)
         self.longest = max(map(len, self.score), default=1)
         if any(SPACE in p.lstrip(SPACE) for p in self.score):
-            raise ValueError("a piece spans a word boundary; units can't be cut there")
+            raise ValueError("a piece spans a word boundary; texts can't be cut there")
         width = np.fromiter(map(len, self.pieces), np.int64, n)
         self.piece_width, self.piece_at = width, np.cumsum(width) - width
         self.piece_bytes = np.frombuffer(b"".join(self.pieces), np.uint8)
-        keys = list(self.score)
-        h = np.array([self._hash(p) for p in keys], np.uint64)
-        if len(np.unique(h)) < len(h):
-            raise ValueError("two pieces share a hash")
-        self.bits = int(np.ceil(np.log2(max(2, len(h))))) + 2
-        size = 1 << self.bits
-        self.slot_hash, self.slot_id, self.slot_score = np.zeros(size, np.uint64), np.full(size, -1, np.int32), np.full(size, NEVER, np.int64)
-        self.steps = 1
-        for x, p in zip(h, keys):
-            at, step = int(x >> np.uint64(64 - self.bits)), 1
-            while self.slot_id[at] >= 0:
-                at, step = (at + 1) & (size - 1), step + 1
-            self.slot_hash[at], self.slot_id[at], self.slot_score[at] = x, self.score[p][1], self.score[p][0]
-            self.steps = max(self.steps, step)
+        nodes, edges, ends = {"": 0}, [], {}
+        for p, (score, i) in self.score.items():
+            for k in range(1, len(p) + 1):
+                if p[:k] not in nodes:
+                    nodes[p[:k]] = len(nodes)
+                    edges.append(nodes[p[: k - 1]] << 21 | ord(p[k - 1]))
+            ends[nodes[p]] = (score, i)
+        pairs = np.array(sorted({p[k : k + 2] for p in self.score for k in range(len(p) - 1)}))
+        self.joined = np.zeros(1 << PAIR_BITS, bool)  # by the hash of two characters side by side; a collision only cuts less
+        if len(pairs):
+            a, b = np.array([[ord(c) for c in p] for p in pairs], np.int64).T
+            self.joined[self._pair(a, b)] = True
+        self.node_score, self.node_id = np.full(len(nodes), NEVER, np.int64), np.full(len(nodes), -1, np.int32)
+        for node, (score, i) in ends.items():
+            self.node_score[node], self.node_id[node] = score, i
+        self.bits = int(np.ceil(np.log2(max(2, len(edges))))) + 2
+        self.slot_key, self.slot_node = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        key, node = np.array(edges, np.int64), np.arange(1, len(edges) + 1, dtype=np.int32)
+        at, self.steps = self._slot(key), 1
+        while len(key):
+            free = np.flatnonzero(self.slot_key[at] < 0)
+            taken, first = np.unique(at[free], return_index=True)
+            own = free[first]
+            self.slot_key[taken], self.slot_node[taken] = key[own], node[own]
+            left = np.ones(len(key), bool)
+            left[own] = False
+            key, node, at = key[left], node[left], (at[left] + 1) & ((1 << self.bits) - 1)
+            self.steps += 1
 
     @staticmethod
-    def _hash(p: str) -> int:
-        h = np.zeros(1, np.uint64)
-        for c in p:
-            h = extend(h, np.array([ord(c)], np.uint32))
-        return int(mix64(h)[0])
-
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(score, id) of the piece with each rolling hash; NEVER where there is none."""
-        h = mix64(h)
-        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
-        hit = self.slot_hash[at] == h
-        score, ids = np.where(hit, self.slot_score[at], NEVER), np.where(hit, self.slot_id[at], -1)
-        open_ = np.flatnonzero(~hit & (self.slot_id[at] >= 0))
-        for _ in range(self.steps - 1):
+    def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return ((a * 0x9E3779B1 + b) * 0x85EBCA77 >> 20) & ((1 << PAIR_BITS) - 1)
+
+    def cuts(self, codes: np.ndarray) -> np.ndarray:
+        """Whether all paths pass the boundary before each character."""
+        out = np.ones(len(codes), bool)
+        out[1:] = ~self.joined[self._pair(codes[:-1], codes[1:])]
+        space = codes == ord(SPACE)
+        out[1:] |= space[1:] & ~space[:-1]
+        return out
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((key.astype(np.uint64) * _MUL) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The node after each node and code point; 0 where no piece goes on."""
+        key = node.astype(np.int64) << 21 | code
+        at = self._slot(key)
+        got = self.slot_key[at]
+        same = got == key
+        out = np.where(same, self.slot_node[at], 0)
+        open_ = np.flatnonzero(~same & (got >= 0))
+        for _ in range(self.steps):
             if not len(open_):
                 break
             at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
-            hit = self.slot_hash[at[open_]] == h[open_]
-            good = open_[hit]
-            score[good], ids[good] = self.slot_score[at[good]], self.slot_id[at[good]]
-            open_ = open_[~hit]
-            open_ = open_[self.slot_id[at[open_]] >= 0]
-        return score, ids
-
-
-def extend(h: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """Rolling hash of a string with one more code point."""
-    with np.errstate(over="ignore"):
-        h = (h + code.astype(np.uint64) + np.uint64(1)) * _MUL
-        return h ^ (h >> np.uint64(31))
+            got = self.slot_key[at[open_]]
+            same = got == key[open_]
+            out[open_[same]] = self.slot_node[at[open_[same]]]
+            open_ = open_[~same & (got >= 0)]
+        return out
 
 
 @lru_cache(4)
@@ -131,181 +153,174 @@ def byte_ids(v: Vocabulary, char: str) -> list[int]:
     return [int(v.byte_id[b]) for b in char.encode("utf-8", "surrogatepass")]
 
 
-class StreamingViterbi:
-    """Feed characters, read committed ids; memory is bounded by the longest piece."""
-
-    def __init__(self, v: Vocabulary):
-        self.v, self.base = v, 0  # base: the last committed boundary
-        self.text = ""  # characters after base
-        self.best, self.back, self.ids = [0], [0], [()]
-        self.most_kept = 0
-
-    def feed(self, chars: str) -> Iterator[int]:
-        """chars are normalised: a blank is U+2581."""
-        score = self.v.score
-        for c in chars:
-            self.text += c
-            end = len(self.text)
-            top, at, ids = self.best[-1] + BYTE_SCORE * len(c.encode("utf-8", "surrogatepass")), end - 1, None
-            for start in range(end - 1, max(-1, end - self.v.longest - 1), -1):
-                got = score.get(self.text[start:end])
-                if got and self.best[start] + got[0] >= top:
-                    top, at, ids = self.best[start] + got[0], start, (got[1],)
-            self.best.append(top)
-            self.back.append(at)
-            self.ids.append(ids if ids is not None else tuple(byte_ids(self.v, c)))
-            if end >= self.v.longest:
-                yield from self._commit(range(end + 1 - self.v.longest, end + 1))
-
-    def end(self) -> Iterator[int]:
-        yield from self._commit([len(self.text)])
-
-    def _commit(self, live) -> Iterator[int]:
-        """Commit up to the last boundary through which the paths from all live positions pass."""
-        paths = set(live)
-        self.most_kept = max(self.most_kept, len(self.text))
-        while len(paths) > 1:
-            last = max(paths)
-            paths.remove(last)
-            paths.add(self.back[last])
-        at = paths.pop()
-        if not at:
-            return
-        out, p = [], at
-        while p:
-            out.append(self.ids[p])
-            p = self.back[p]
-        for ids in reversed(out):
-            yield from ids
-        self.text = self.text[at:]
-        score = self.best[at]
-        self.best = [s - score for s in self.best[at:]]
-        self.back = [max(0, b - at) for b in self.back[at:]]
-        self.ids = self.ids[at:]
-
-
-def viterbi_matrix(v: Vocabulary, codes: np.ndarray, literal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """codes, literal: units x length. Returns, per position, where its last piece starts and its id (-1: bytes)."""
-    n, length = codes.shape
-    best = np.zeros((length + 1, n), np.int64)
-    back, ids = np.zeros((length, n), np.int16), np.full((length, n), -1, np.int32)
-    size = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
-    plain = literal.any()
-    hashes = np.zeros((length, n), np.uint64)  # of codes[start:end] by start, grown as end moves
-    for end in range(1, length + 1):
-        c = codes[:, end - 1]
-        top = best[end - 1] + BYTE_SCORE * size[:, end - 1]
-        at = np.full(n, end - 1, np.int16)
-        pick = np.full(n, -1, np.int32)
-        for start in range(end - 1, max(-1, end - v.longest - 1), -1):
-            h = hashes[start] = extend(hashes[start], c)
-            s, i = v.find(h)
-            s = np.where(literal[:, start:end].any(1), NEVER, s) if plain else s
-            s += best[start]
-            better = s >= top
-            top[better], at[better], pick[better] = s[better], start, i[better]
-        best[end], back[end - 1], ids[end - 1] = top, at, pick
-    return back, ids
-
-
-def _unit_ids(v: Vocabulary, codes: np.ndarray, literal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(flat ids, number of ids of each unit) of units of one length."""
-    n, length = codes.shape
-    back, ids = viterbi_matrix(v, codes, literal)
-    used = np.zeros((length + 1, n), bool)
-    used[length] = True
-    for end in range(length, 0, -1):
-        on = np.flatnonzero(used[end])
-        used[back[end - 1, on], on] = True
-    unit, end = np.nonzero(used[1:].T)
-    got = ids[end, unit]
-    raw = np.flatnonzero(got < 0)
-    if not len(raw):
-        return got, np.bincount(unit, minlength=n)
-    width = np.ones(len(got), np.int64)
-    c = codes[unit[raw], end[raw]]
-    width[raw] = 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
-    out = np.repeat(got, width)
-    first = np.cumsum(width) - width
-    for k, char in zip(raw, c):
-        b = byte_ids(v, chr(int(char)))
-        out[first[k] : first[k] + len(b)] = b
-    return out, np.bincount(unit, width, minlength=n).astype(np.int64)
-
-
-def encode_batch(v: Vocabulary, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _utf8_size(codes: np.ndarray) -> np.ndarray:
+    return np.where(codes == LITERAL, 3, 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF))
+
+
+class Windows:
+    """The Viterbi recurrence over streams ``codes[first : first + length]``, the longest first, in step."""
+
+    def __init__(self, v: Vocabulary, codes: np.ndarray, first: np.ndarray, length: np.ndarray):
+        self.v, self.codes, self.first, self.length = v, codes, first, length
+        n = len(first)
+        self.base, self.back, self.pick = 0, [], []  # rows of the boundaries base + 1, base + 2, ...; a row has the streams that reach it
+        self.done = np.zeros(n, np.int64)  # the last committed boundary of each stream
+        self.out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.most_kept, self.next_look = 0, 2 * v.longest
+
+    def run(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(stream, boundary, id or -1 for bytes) of all pieces, in order."""
+        v, n, ring = self.v, len(self.first), self.v.longest + 1
+        best = np.zeros((ring, n), np.int64)  # by boundary modulo ring
+        idx, start, node = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)  # open walks
+        lasts = np.searchsorted(-self.length, -np.arange(int(self.length[0]) + 2), "right") if n else [0]
+        for end in range(1, len(lasts) - 1):
+            m = int(lasts[end])
+            code = self.codes[self.first[:m] + end - 1]
+            if lasts[end - 1] > m:
+                own = idx < m
+                idx, start, node = idx[own], start[own], node[own]
+            idx, start, node = np.r_[idx, np.arange(m)], np.r_[start, np.full(m, end - 1)], np.r_[node, np.zeros(m, np.int32)]
+            node = v.step(node, code[idx])
+            own = np.flatnonzero(node)
+            idx, start, node = idx[own], start[own], node[own]
+            gain = v.node_score[node]
+            at = np.flatnonzero(gain > NEVER)  # walks that are at the end of a piece; those that began first come first
+            i, p = idx[at], start[at]
+            s = best[p % ring, i] + gain[at]
+            top = best[(end - 1) % ring, :m] + BYTE_SCORE * _utf8_size(code)
+            np.maximum.at(top, i, s)
+            won = np.flatnonzero(s == top[i])[::-1]
+            back, pick = np.full(m, end - 1, np.int64), np.full(m, -1, np.int32)
+            back[i[won]], pick[i[won]] = p[won], v.node_id[node[at[won]]]
+            best[end % ring, :m] = top
+            self.back.append(back)
+            self.pick.append(pick)
+            if len(self.back) >= self.next_look or lasts[end + 1] == 0:
+                self._commit(end, int(lasts[end + 1]))
+        return tuple(np.concatenate([o[k] for o in self.out] or [np.zeros(0, np.int64)]) for k in range(3))
+
+    def _commit(self, end: int, running: int) -> None:
+        """Give out what lies before the last boundary that all surviving paths share, stream by stream."""
+        rows, n = len(self.back), len(self.back[0])
+        self.most_kept = max(self.most_kept, rows)
+        base, done, length = self.base, self.done[:n], self.length[:n]
+        live = np.where(np.arange(n) < running, min(self.v.longest, end), np.where(done < length, 1, -1))
+        passing = np.zeros((rows, n), np.int32)  # how many surviving paths pass each boundary
+        passing[max(0, end - self.v.longest - base) :, :running] = 1
+        over = np.flatnonzero(live[running:] > 0) + running
+        passing[length[over] - base - 1, over] = 1
+        shared = done.copy()
+        for r in range(rows - 1, -1, -1):
+            c = passing[r, : len(self.back[r])]
+            on = np.flatnonzero(c)
+            met = c[on] == live[on]
+            shared[on[met]] = np.maximum(shared[on[met]], base + r + 1)
+            on = on[~met]
+            to = self.back[r][on]
+            open_ = to > done[on]
+            passing[to[open_] - base - 1, on[open_]] += c[on[open_]]
+        used = np.zeros((rows, n), bool)
+        new = np.flatnonzero(shared > done)
+        used[shared[new] - base - 1, new] = True
+        for r in range(rows - 1, -1, -1):
+            on = np.flatnonzero(used[r, : len(self.back[r])])
+            if len(on):
+                to = self.back[r][on]
+                open_ = to > done[on]
+                used[to[open_] - base - 1, on[open_]] = True
+                self.out.append((on, np.full(len(on), base + r + 1), self.pick[r][on]))
+        self.done[:n] = shared
+        if running:
+            keep = int(self.done[:running].min())
+            self.back, self.pick, self.base = [b[:running] for b in self.back[keep - base :]], [b[:running] for b in self.pick[keep - base :]], keep
+            self.next_look = max(len(self.back) + self.v.longest, 2 * len(self.back))
+
+
+def viterbi(v: Vocabulary, codes: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(flat ids, number of ids of each stream) of the streams codes[first : first + length]."""
+    order = np.argsort(-length, kind="stable")
+    found = []
+    for lo in range(0, len(order), STREAMS):
+        some = order[lo : lo + STREAMS]
+        stream, end, ids = Windows(v, codes, first[some], length[some]).run()
+        found.append((some[stream], end, ids))
+    stream, end, ids = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]).astype(np.int64) for k in range(3))
+    order = np.lexsort((end, stream))
+    stream, end, ids = stream[order], end[order], ids[order]
+    raw = ids < 0
+    last = codes[first[stream[raw]] + end[raw] - 1]
+    width = np.ones(len(ids), np.int64)
+    width[raw] = _utf8_size(last)
+    out = np.repeat(ids, width)
+    if len(last):
+        chars = np.where(last == LITERAL, ord(SPACE), last).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        out[np.repeat(raw, width)] = v.byte_id[np.frombuffer(chars.encode("utf-8", "surrogatepass"), np.uint8)]
+    return out.astype(np.int32), np.bincount(stream, width, minlength=len(first)).astype(np.int64)
+
+
+class Memo:
+    """Ids of streams by their hashes, sorted; begins anew beyond ``MEMO`` streams or eight times as many ids."""
+
+    def __init__(self):
+        self.key, self.at, self.n, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where it is unknown."""
+        if not len(self.key):
+            return np.full(len(key), -1)
+        at = np.searchsorted(self.key, key).clip(0, len(self.key) - 1)
+        return np.where(self.key[at] == key, at, -1)
+
+    def add(self, key: np.ndarray, flat: np.ndarray, n: np.ndarray) -> None:
+        """Sorted new keys and their ids."""
+        if len(key) + len(self.key) > MEMO or len(flat) + len(self.pool) > 8 * MEMO:
+            self.__init__()
+            if len(key) > MEMO or len(flat) > 8 * MEMO:
+                return
+        to = np.searchsorted(self.key, key)
+        self.at = np.insert(self.at, to, len(self.pool) + np.cumsum(n) - n)
+        self.key, self.n, self.pool = np.insert(self.key, to, key), np.insert(self.n, to, n), np.r_[self.pool, flat]
+
+
+def encode_batch(v: Vocabulary, texts: list[str], memo: Memo | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(flat ids, number of ids of each text)."""
-    joined = "".join(texts)
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     if not len(codes):
         return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-    literal = codes == ord(SPACE)
-    codes[codes == 32] = ord(SPACE)
-    space = (codes == ord(SPACE)) & ~literal
-    first = space.copy()
-    first[1:] &= ~space[:-1]
+    space = codes == 32
+    codes[codes == ord(SPACE)] = LITERAL
+    codes[space] = ord(SPACE)
+    first = v.cuts(codes)
     cut = np.cumsum(size) - size
     first[cut[size > 0]] = True
     start = np.flatnonzero(first)
     length = np.diff(np.r_[start, len(codes)])
     doc = np.searchsorted(np.cumsum(size), start, "right")
 
-    pos = np.zeros(len(codes), np.uint64)
-    power = np.multiply.accumulate(np.full(int(length.max()) if len(length) else 1, _MUL))
+    power = np.multiply.accumulate(np.full(int(length.max()), _MUL))
     within = np.arange(len(codes)) - np.repeat(start, length)
     with np.errstate(over="ignore"):
-        pos = mix64(codes.astype(np.uint64) + literal * np.uint64(1 << 40)) * power[within]
-        key = mix64(np.add.reduceat(pos, start) + length.astype(np.uint64))
-    _, one, which = np.unique(key, return_index=True, return_inverse=True)
-
-    n_ids = np.zeros(len(one), np.int64)
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
-    one_len = length[one]
-    for l in np.unique(one_len):
-        own = np.flatnonzero(one_len == l)
-        if l <= LONG:
-            for lo in range(0, len(own), 8000):
-                some = own[lo : lo + 8000]
-                at = start[one[some]][:, None] + np.arange(l)
-                flat, n = _unit_ids(v, codes[at], literal[at])
-                n_ids[some] = n
-                parts.append((some, flat))
-        else:
-            for u in own:
-                s = start[one[u]]
-                flat = encode_stream(v, codes[s : s + l], literal[s : s + l])
-                n_ids[u] = len(flat)
-                parts.append((np.array([u]), np.array(flat, np.int32)))
-    base = np.zeros(len(one), np.int64)
-    flats, at = [], 0
-    for some, flat in parts:
-        n = n_ids[some]
-        base[some] = at + np.cumsum(n) - n
-        flats.append(flat)
-        at += len(flat)
-    pool = np.concatenate(flats).astype(np.int32)
+        key = mix64(np.add.reduceat(mix64(codes.astype(np.uint64)) * power[within], start) + length.astype(np.uint64))
+    del space, first, within
+    key, one, which = np.unique(key, return_index=True, return_inverse=True)
+    memo = memo if memo is not None else Memo()
+    known = memo.find(key)
+    new = np.flatnonzero(known < 0)
+    flat, n_new = viterbi(v, codes, start[one[new]], length[one[new]])
+    n_ids, at = np.zeros(len(one), np.int64), np.zeros(len(one), np.int64)
+    old = np.flatnonzero(known >= 0)
+    n_ids[old], at[old] = memo.n[known[old]], memo.at[known[old]]
+    n_ids[new], at[new] = n_new, len(memo.pool) + np.cumsum(n_new) - n_new
+    pool = np.r_[memo.pool, flat]
+    memo.add(key[new], flat, n_new)
     n = n_ids[which]
     total = np.cumsum(n)
-    take = np.arange(total[-1]) + np.repeat(base[which] - (total - n), n)
+    take = np.arange(total[-1]) + np.repeat(at[which] - (total - n), n)
     return pool[take], np.bincount(doc, n, minlength=len(texts)).astype(np.int64)
 
 
-def encode_stream(v: Vocabulary, codes: np.ndarray, literal: np.ndarray) -> list[int]:
-    """A long unit, through the window; a literal U+2581 ends one stream and starts another."""
-    out: list[int] = []
-    stream = StreamingViterbi(v)
-    for c, lit in zip(codes.tolist(), literal.tolist()):
-        if lit:
-            out += stream.end()
-            out += byte_ids(v, SPACE)
-            stream = StreamingViterbi(v)
-        else:
-            out += stream.feed(chr(c))
-    out += stream.end()
-    return out
-
-
 def decode_batch(v: Vocabulary, flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(UTF-8 bytes, offsets) of the texts whose ids are given."""
     width = v.piece_width[flat]
@@ -331,9 +346,9 @@ def encode(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
+        v, memo = vocabulary(path), Memo()
         for part, texts in _batches(batches):
-            flat, n = encode_batch(v, [t or "" for t in texts])
+            flat, n = encode_batch(v, [t or "" for t in texts], memo)
             gone = np.array([t is None for t in texts], bool)
             raw, off = text_buffers(part.column("text"))
             back, ends = decode_batch(v, flat, n)

@@ -127,3 +127,17 @@ def test_chats_read_back(spark):
     one = next(c for c in chats if c["conv_id"] == 1)
     assert one["formatted"].count("<turn:") == 3 and one["formatted"].count("<part>") == 2
     assert chatformat.format_chats(frame.limit(0)).count() == 0
+
+
+def test_null_ids_hide_no_contamination(spark):
+    item = " ".join(f"i{k}" for k in range(12))
+    docs = spark.createDataFrame([(None, "a " + item, "x"), (None, "clean text", "y"), (None, None, "z"), (1, item.upper() + " b", "u"), (2, "fine", "v")], "doc_id long, text string, item_id string")
+    for ids in ("long", "string"):
+        items = spark.createDataFrame([(None, item, 1), (None, "other item of some words here", 2)], f"item_id {ids}, text string, doc_id int")
+        kept = decontam.drop_contaminated(docs, items)
+        assert kept.columns == docs.columns and sorted(r["item_id"] for r in kept.collect()) == ["v", "y", "z"]
+        found = decontam.contained_items(docs, items).collect()
+        assert sorted((r["doc_id"] or 0, r["n_shared"]) for r in found) == [(0, 8), (1, 8)] and all(r["item_id"] is None for r in found)
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    items = spark.createDataFrame([("t", item)], "item_id string, text string")
+    assert {r["doc_id"] for r in decontam.contained_items(named, items).collect()} == {None, "d1"}

@@ -107,6 +107,26 @@ def test_thresholds_see_every_label_at_its_own_mix(spark):
     assert got[0] == got[1]
 
 
+def test_no_key_is_lost_to_another():
+    rng = np.random.default_rng(1)
+    known = np.unique(np.r_[rng.integers(0, 1 << 63, 5000, dtype=np.int64).astype(np.uint64), np.arange(50, dtype=np.uint64)])
+    slots = toxicity.Slots(known)
+    assert sorted(slots(known)) == list(range(1, len(known) + 1))
+    assert not slots(known ^ np.uint64(1 << 40)).any() and not toxicity.Slots(known[:0])(known).any()
+
+
+def test_long_labelled_texts_teach_too(spark):
+    """All toxic texts are far longer than the window."""
+    random.seed(8)
+    words = [f"w{i}" for i in range(50)]
+    words = ["".join(random.choices("abcdefgh", k=6)) for _ in words]
+    make = lambda bad: " ".join(random.choices(words, k=300) if not bad else random.choices([*words, "vile"], k=300))
+    rows = [(i, make(i % 2), "en") for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels, window=1500)
+    assert model.ready and (model.slots[0].size > 40)
+
+
 def test_filters_equal_look_ups():
     """The trained network and its frozen tables give the same logits."""
     rng = np.random.default_rng(0)
@@ -233,17 +253,48 @@ def test_ids_equal_brute_force_and_come_back(vocabulary):
         codes[codes == 32] = 0x2581
         ids = flat[at[i] : at[i + 1]].tolist()
         assert ids == best_by_brute_force(vocabulary, codes, literal)
-        assert ids == spiece.encode_stream(vocabulary, codes, literal)
         assert raw[off[i] : off[i + 1]].tobytes().decode() == t
 
 
-def test_window_is_bounded(vocabulary):
+def test_window_is_bounded_and_commits_early(vocabulary):
     random.seed(4)
-    s = spiece.StreamingViterbi(vocabulary)
-    for _ in range(20_000):
-        for _ in s.feed(random.choice("abcdefgthinger▁")):
-            pass
-    assert s.most_kept <= 8 * vocabulary.longest
+    texts = ["".join(random.choices("abcdefgthinger\u2581\u65e5", k=k)) for k in (3_000, 500, 70, 33, 32, 16, 1)]
+    codes = np.array([spiece.LITERAL if c == "\u2581" else ord(c) for c in "".join(texts)], np.int64)
+    length = np.array([len(t) for t in texts])
+    first = np.cumsum(length) - length
+    w = spiece.Windows(vocabulary, codes, first, length)
+    w.run()
+    assert w.most_kept <= 8 * vocabulary.longest < 500
+    assert len(w.out) > 2 * 3_000 / w.most_kept  # ids are given out all along the way
+    flat, n = spiece.viterbi(vocabulary, codes, first, length)
+    at = np.r_[0, np.cumsum(n)]
+    for i, t in enumerate(texts):
+        plain = np.array([ord(c) for c in t], np.uint32)
+        assert flat[at[i] : at[i + 1]].tolist() == best_by_brute_force(vocabulary, plain, plain == 0x2581)
+
+
+def test_real_texts_pass_through_the_windows(spark, vocabulary, monkeypatch):
+    """Every stream of real texts is coded by Windows, once, and the memo changes nothing, full or not."""
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(60).collect()]
+    streams = []
+    run = spiece.Windows.run
+    monkeypatch.setattr(spiece.Windows, "run", lambda self: (streams.append(len(self.first)), run(self))[1])
+    memo = spiece.Memo()
+    want = [spiece.encode_batch(vocabulary, [t]) for t in texts]
+    streams.clear()
+    got = [spiece.encode_batch(vocabulary, [t], memo) for t in texts]
+    assert sum(streams) == len(memo.key) > 100
+    monkeypatch.setattr(spiece, "MEMO", 50)
+    memo = spiece.Memo()
+    small = [spiece.encode_batch(vocabulary, [t], memo) for t in texts]
+    assert len(memo.key) <= 50
+    for t, w, *others in zip(texts, want, got, small):
+        assert all(np.array_equal(w[0], o[0]) for o in others)
+        codes = np.array([ord(c) for c in t[:2000]], np.uint32)
+        literal = codes == 0x2581
+        codes[codes == 32] = 0x2581
+        if len(t) <= 2000:
+            assert w[0].tolist() == best_by_brute_force(vocabulary, codes, literal)
 
 
 def test_coding_of_frames(spark):
@@ -272,9 +323,9 @@ def test_edits_equal_recounting(count):
     for _ in range(400):
         text = "".join(random.choices(alphabet, k=random.randint(0, 60)))
         parts = tokencount.leaves(text, 4)
-        tree = tokencount.TokenTree(parts, count(parts), count)
+        tree = tokencount.TokenTree(parts, count(parts), count, 4)
         assert tree.text == text
-        for _ in range(4):
+        for _ in range(6):
             a, n, put = random.randint(0, len(text) + 1), random.randint(0, 6), "".join(random.choices(alphabet, k=random.randint(0, 3)))
             tree.edit(a, n, put)
             text = text[:a] + put + text[a + n :]
@@ -289,6 +340,27 @@ def test_only_touched_regions_are_encoded(count):
     assert tree.total == count([text[:50_000] + "other" + text[50_010:]])[0] and tree.reencoded < 2000
 
 
+def test_many_appends_cost_their_own_length(count):
+    """No leaf grows with the number of edits, and the tree stays flat."""
+    text = "a first line of the text\n" * 400
+    parts = tokencount.leaves(text)
+    tree = tokencount.TokenTree(parts, count(parts), count)
+    for k in range(1000):
+        put = f" and appended words no {k % 10}"
+        tree.edit(len(text), 0, put)
+        text += put
+    for k in range(200):
+        tree.edit(5000 + 7 * k, 3, f" mid{k % 7}")
+        text = text[: 5000 + 7 * k] + f" mid{k % 7}" + text[5003 + 7 * k :]
+    assert tree.text == text and tree.total == count([text])[0]
+    assert tree.reencoded < 1_000_000 and max(map(len, tree.parts)) < 3 * tokencount.LEAF_CHARS
+
+    def depth(node):
+        return 0 if node is None else 1 + max(depth(node.left), depth(node.right))
+
+    assert depth(tree.root) <= 5 * np.log2(len(tree.parts) + 1)
+
+
 def test_recount_of_frames(spark, count):
     texts = [*ODD, "one two three four five"]
     edits = [{"start": 4, "length": 3, "replacement": "2"}, {"start": 5, "length": 30, "replacement": None}, {"start": 0, "length": 0, "replacement": "# "}]
