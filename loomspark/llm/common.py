@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 
 #: Texts are handled in chunks of about this many bytes, which bounds a worker's memory.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

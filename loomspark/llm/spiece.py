@@ -41,7 +41,7 @@ from .common import bounded, mix64, text_buffers
 SPACE = "▁"
 ZIPF_SHIFT, UNIT = 1000.0, 1 << 20
 BYTE_SCORE, NEVER = -30 * UNIT, -(1 << 60)
-CHUNK_CHARS, STREAMS, MEMO = 1 << 20, 20_000, 1 << 18
+CHUNK_CHARS, STREAMS, MEMO = 1 << 19, 20_000, 1 << 18
 PAIR_BITS = 18
 LITERAL = 0x110000  # stands for a U+2581 of the text itself: a code that no piece has
 _MUL = np.uint64(0x9E3779B97F4A7C15)
