@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
 from pathlib import Path
 
@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark import VERSION
-from loomspark.functions.text import FrontmatterError, parse_note
-from loomspark.operators import activity, gaps, golden, graph, refresh, vector
+from loomspark.functions.text import FrontmatterError, parse_note, parse_note_udf
+from loomspark.operators import activity, gaps, golden, graph, lexical, refresh, vector
 from loomspark.operators import neighbors as walk
 from loomspark.operators import search as hybrid
 from loomspark.operators.embed import Embedder, HashingEmbedder
-from loomspark.operators.fusion import Fusion
+from loomspark.operators.fusion import Fusion, fuse_batch
 from loomspark.plans import index
-from loomspark.policy import Policy, filter_ordered
+from loomspark.policy import Policy
 from loomspark.sources import files, gitlog, vault
 from loomspark.sources.store import IndexCorruptionError, IndexIdentityError, IndexStore
 
@@ -112,19 +112,13 @@ class Engine:
 
     # ------------------------------------------------------------ graph
 
-    def _notes(self) -> list[tuple[str, str, list[str]]]:
-        rows = []
-        for e in vault.walk(self.policy):
-            text = (self.policy.vault_root / e.note_path).read_bytes().decode("utf-8", "replace")
-            try:
-                meta, body = parse_note(text)
-            except FrontmatterError:
-                meta, body = {"aliases": []}, text
-            rows.append((e.note_path, body, meta["aliases"]))
-        return rows
-
     def edges(self) -> DataFrame:
-        return graph.edges(self.spark.createDataFrame(self._notes(), "note_path string, text string, aliases array<string>")).cache()
+        """Links between all notes of the vault; their texts are read and parsed on the executors."""
+        text = vault.contents(vault.manifest(self.spark, self.policy).select("note_path"), self.policy).select("note_path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+        parsed = text.withColumn("p", parse_note_udf("text"))
+        broken = F.col("p.error").isNotNull()
+        aliases = F.when(broken | F.col("p.aliases").isNull(), F.array().cast("array<string>")).otherwise(F.col("p.aliases"))
+        return graph.edges(parsed.select("note_path", F.when(broken, F.col("text")).otherwise(F.col("p.body")).alias("text"), aliases.alias("aliases"))).persist()
 
     def neighbors(self, path: str, depth: int = 1, token_budget: int = walk.DEFAULT_BUDGET) -> Neighborhood:
         real = vault.resolve(path, self.policy).relative_to(self.policy.vault_root.resolve()).as_posix()
@@ -136,6 +130,7 @@ class Engine:
         rows = [(r["node"], r["depth"], r["via"], r["direction"], len(texts[r["node"]].split())) for r in found]
         framed = self.spark.createDataFrame(rows, "node string, depth int, via string, direction string, tokens int")
         kept = walk.with_budget(framed, token_budget).orderBy("rank").collect()
+        edges.unpersist()
         out = tuple(Neighbor(r["node"], r["depth"], r["via"], r["direction"], r["tokens"], r["included"], texts[r["node"]] if r["included"] else None) for r in kept)
         return Neighborhood(path, self.policy.active_context(), out)
 
@@ -151,7 +146,10 @@ class Engine:
         dismissed = gaps.active_dismissals(files.dismissal_frame(self.spark, self.policy.vault_root, dismissals), raw)
         degree = graph.degrees(self.spark.createDataFrame([(p,) for p in paths], "node string"), edges)
         ranked = gaps.rank_pairs(similar, edges, degree, dismissed, threshold, max_score, hub_degree)
-        return [(r["a"], r["b"], r["score"]) for r in ranked.orderBy("rank").collect()]
+        out = [(r["a"], r["b"], r["score"]) for r in ranked.orderBy("rank").collect()]
+        for frame in (edges, pooled):
+            frame.unpersist()
+        return out
 
     def dismiss(self, a: str, b: str, path: str = files.DISMISSALS) -> None:
         files.record_dismissal(self.policy.vault_root, a, b, path)
@@ -176,9 +174,21 @@ class Engine:
         return out
 
     def golden(self, queries: list[files.GoldenQuery], fusion: Fusion = Fusion.RRF) -> files.GoldenReport:
+        """All queries of one k in one plan, with the pool and the gate of ``search_built``."""
+        chunks, pools = self._table("chunks"), {}
+        for k in sorted({hybrid.clamp(q.k) for q in queries} - {0}):
+            own = [(str(i), q.text) for i, q in enumerate(queries) if hybrid.clamp(q.k) == k]
+            vectors = [(i, v.tolist()) for (i, _), v in zip(own, self.embedder.embed([text for _, text in own]))]
+            legs = [
+                vector.cosine_batch(chunks, self.spark.createDataFrame(vectors, "query_id string, vector array<double>"), k * hybrid.OVERFETCH),
+                lexical.bm25_batch(self._table("postings"), self._table("doc_len"), self.spark.createDataFrame(own, "query_id string, text string"), k * hybrid.OVERFETCH),
+            ]
+            for r in chunks.select("chunk_id", "note_path").join(F.broadcast(fuse_batch(legs, fusion)), "chunk_id").orderBy("query_id", F.desc("score"), "chunk_id").collect():  # two limits a query
+                pools.setdefault(int(r["query_id"]), []).append(r["note_path"])
+        allowed = set(vault.visible(sorted({p for pool in pools.values() for p in pool}), self.policy))
         rows = []
-        for q in queries:
-            got = set(self.search_notes(q.text, q.k, fusion))
+        for i, q in enumerate(queries):
+            got = set([p for p in pools.get(i, []) if p in allowed][: hybrid.clamp(q.k)])
             found = tuple(p for p in q.expect if p in got)
             rows.append(files.GoldenRow(q.text, len(found) / len(q.expect), found, tuple(p for p in q.expect if p not in got)))
         return files.GoldenReport(tuple(rows), sum(r.recall for r in rows) / len(rows) if rows else 0.0)
@@ -215,8 +225,9 @@ class Engine:
                 return out | {"state": "unbuilt"}
             self.store.check_identity(self.embedder.identity)
             self.store.validate(self.spark)
-            live = self.spark.createDataFrame(sorted(vault.live_hashes(self.policy).items()), "note_path string, sha256 string")
-            s = refresh.staleness(self._table("notes"), live).first()
+            with vault.steady(self.policy) as walked:
+                live = vault.contents(vault.frame(self.spark, walked), self.policy).select("note_path", F.sha2("content", 256).alias("sha256"))
+                s = refresh.staleness(self._table("notes"), live).first()
             done = {"recorded_identity": now["identity"], "notes": self._table("notes").count(), "chunks": now["chunks"]}
             return out | done | {"added_notes": s["added"], "changed_notes": s["changed"], "deleted_notes": s["deleted"], "stale_notes": s["stale"], "state": s["state"], "ready": s["state"] == "ready"}
         except IndexIdentityError as e:
@@ -227,8 +238,4 @@ class Engine:
             return failed("unavailable", str(e))
 
 
-def with_index_dir(policy: Policy, folder) -> Policy:
-    return replace(policy, index_dir=folder)
-
-
-__all__ = ["ActivityEntry", "Engine", "Neighbor", "Neighborhood", "SearchHit", "filter_ordered", "with_index_dir"]
+__all__ = ["ActivityEntry", "Engine", "Neighbor", "Neighborhood", "SearchHit"]

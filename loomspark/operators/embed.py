@@ -64,11 +64,18 @@ class HashingEmbedder(Embedder):
         return len(text.split())
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
 class OnnxEmbedder(Embedder):
-    """A sentence model from local files: model.onnx and tokenizer.json in a folder. Gated: needs onnxruntime and tokenizers."""
+    """A sentence model from local files: model.onnx and tokenizer.json in a folder. Gated: needs onnxruntime and tokenizers.
+
+    A text of more than ``window`` tokens is embedded in windows, whose vectors are added up by their numbers of tokens: no tail is lost.
+    """
 
-    def __init__(self, folder: str, name: str, version: str = "1", batch: int = 32):
-        self.folder, self.name, self.version, self.batch, self._loaded = folder, name, version, batch, None
+    def __init__(self, folder: str, name: str, version: str = "1", batch: int = 32, window: int = 512):
+        self.folder, self.name, self.version, self.batch, self.window, self._loaded = folder, name, version, batch, window, None
 
     def __getstate__(self):
         return {**self.__dict__, "_loaded": None}  # a worker loads its own
@@ -91,15 +98,23 @@ class OnnxEmbedder(Embedder):
     def embed(self, texts: list[str]) -> np.ndarray:
         session, ruler = self._load()
         wanted, rows = {i.name for i in session.get_inputs()}, []
-        for lo in range(0, len(texts), self.batch):
-            coded = [e.ids[:512] for e in ruler.encode_batch(texts[lo : lo + self.batch])]
-            width = max(map(len, coded), default=0)
+        parts, owner = [], []
+        for k, e in enumerate(ruler.encode_batch(texts)):
+            windows = [e.ids[at : at + self.window] for at in range(0, len(e.ids), self.window)] or [[]]
+            parts += windows
+            owner += [k] * len(windows)
+        for lo in range(0, len(parts), self.batch):
+            coded = parts[lo : lo + self.batch]
+            width = max(1, *map(len, coded))
             ids = np.array([c + [0] * (width - len(c)) for c in coded], np.int64)
             mask = np.array([[1] * len(c) + [0] * (width - len(c)) for c in coded], np.int64)
             feeds = {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)}
             first = session.run(None, {k: v for k, v in feeds.items() if k in wanted})[0][:, 0]
-            rows.append(first / np.maximum(np.linalg.norm(first, axis=1, keepdims=True), 1e-12))
-        return np.concatenate(rows).astype(np.float32) if rows else np.zeros((0, self.identity.dim), np.float32)
+            rows.append(_unit(first) * np.array([[max(1, len(c))] for c in coded]))
+        out = np.zeros((len(texts), rows[0].shape[1] if rows else self.identity.dim))
+        if rows:
+            np.add.at(out, owner, np.concatenate(rows))
+        return _unit(out).astype(np.float32)
 
     def count_tokens(self, text: str) -> int:
         return len(self._load()[1].encode(text).ids)

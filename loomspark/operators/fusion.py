@@ -37,3 +37,12 @@ def fuse(legs: list[DataFrame], mode: Fusion = Fusion.RRF) -> DataFrame:
     rows = reduce(DataFrame.unionByName, [leg_weights(leg, mode).withColumn("leg", F.lit(i)) for i, leg in enumerate(legs)])
     each = [F.coalesce(F.max(F.when(F.col("leg") == i, F.col("w"))), F.lit(0.0)) for i in range(len(legs))]
     return rows.groupBy("chunk_id").agg(reduce(lambda a, b: a + b, each).alias("score"))
+
+
+def fuse_batch(legs: list[DataFrame], mode: Fusion = Fusion.RRF) -> DataFrame:
+    """Legs (query_id, chunk_id, score, rank) -> query_id, chunk_id, score: ``fuse`` for each query."""
+    own = Window.partitionBy("query_id")  # a leg's limit of rows
+    weight = rrf(F.col("rank")) if Fusion(mode) is Fusion.RRF else min_max(F.col("score"), F.min("score").over(own), F.max("score").over(own))
+    rows = reduce(DataFrame.unionByName, [leg.select("query_id", "chunk_id", weight.alias("w"), F.lit(i).alias("leg")) for i, leg in enumerate(legs)])
+    each = [F.coalesce(F.max(F.when(F.col("leg") == i, F.col("w"))), F.lit(0.0)) for i in range(len(legs))]
+    return rows.groupBy("query_id", "chunk_id").agg(reduce(lambda a, b: a + b, each).alias("score"))

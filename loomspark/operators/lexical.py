@@ -8,12 +8,16 @@ hidden ones and empty ones too.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.scalar import bm25_idf, bm25_term
 from loomspark.functions.text import TOKEN, tokenize
+from loomspark.operators.blocks import Best
 
 
 def query_terms(query: str) -> list[str]:
@@ -60,14 +64,78 @@ def bm25_leg(post: DataFrame, lengths: DataFrame, query: str, limit: int) -> Dat
     return bm25_scores(post, lengths, terms).orderBy(F.desc("score"), "chunk_id").limit(limit)
 
 
-def bm25_batch(post: DataFrame, lengths: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """queries (query_id, text) -> query_id, chunk_id, score, rank; one pass over the postings for all queries."""
-    q = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term"))
+#: Distinct (query, term) rows that are broadcast at most, and cells of one block of scores.
+BATCH_ROWS, CELLS = 500_000, 1 << 22
+
+
+def bm25_batch(post: DataFrame, lengths: DataFrame, queries: DataFrame, limit: int, batch_rows: int = BATCH_ROWS) -> DataFrame:
+    """queries (query_id string or integer, text) -> query_id, chunk_id, score, rank; all queries at once.
+
+    Postings of the queries' terms are dealt by chunk, so each task adds up whole scores, in order of term, for blocks of chunks x
+    queries and keeps the best of each query; only these meet. Beyond ``batch_rows`` rows of query terms, they are joined instead.
+    """
+    q = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term")).distinct()
+    size = q.count()
     terms = q.select("term").distinct()
-    own = post.join(terms, "term", "left_semi")
+    own = post.join(F.broadcast(terms) if size <= batch_rows else terms, "term", "left_semi")
     stats = doc_stats(lengths)
     weights = own.groupBy("term").agg(F.count("*").alias("df")).select("term", bm25_idf(stats.select("n_docs").scalar(), F.col("df")).alias("idf"))
-    parts = own.join(weights, "term").join(lengths, "chunk_id").select("chunk_id", "term", bm25_term(F.col("idf"), F.col("tf"), F.col("len"), stats.select("avg_len").scalar()).alias("w"))
-    summed = parts.join(q, "term").groupBy("query_id", "chunk_id").agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("ps"))
-    scored = summed.select("query_id", "chunk_id", F.aggregate("ps", F.lit(0.0), lambda s, p: s + p["w"]).alias("score")).filter("score > 0")
+    if size > batch_rows:
+        return _bm25_joined(own, lengths, q, weights, stats, limit)
+    asked = q.orderBy("term").toArrow()  # batch_rows rows at most
+    avg_len = stats.first()["avg_len"]
+    idf_of = {r["term"]: r["idf"] for r in weights.collect()}  # fewer still
+    ids, words = asked.column("query_id").combine_chunks().dictionary_encode("encode"), asked.column("term").combine_chunks().dictionary_encode()
+    edge = np.searchsorted(words.indices.to_numpy(), np.arange(len(words.dictionary) + 1))
+    terms_of = {t: k for k, t in enumerate(words.dictionary.to_pylist())}
+    shared = post.sparkSession.sparkContext.broadcast((ids.dictionary, ids.indices.to_numpy().astype(np.int64), edge, terms_of, np.array([idf_of.get(t, 0.0) for t in terms_of])))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, query_of, edge, terms_of, idf = shared.value
+        best, block = Best(limit), max(1, CELLS // max(1, len(names)))
+
+        def add(rows: list[np.ndarray]) -> None:
+            chunk, term, tf, length = rows
+            first = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
+            weight = bm25_term(idf[term], tf, length, avg_len)
+            for lo in range(0, len(first), block):
+                some = first[lo : lo + block]
+                a, b = some[0], first[lo + block] if lo + block < len(first) else len(chunk)
+                many = edge[term[a:b] + 1] - edge[term[a:b]]
+                row = np.repeat(np.arange(a, b), many)
+                query = query_of[np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(edge[term[a:b]], many)]
+                cell = query * len(some) + np.searchsorted(some, row, "right") - 1
+                sums = np.bincount(cell, weight[row], len(names) * len(some)).reshape(len(names), len(some))
+                best.add(np.where(sums > 0, sums, -np.inf), chunk[some])
+
+        held: list[list[np.ndarray]] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append([np.array(b.column("chunk_id").to_pylist(), dtype=object), np.array([terms_of[t] for t in b.column("term").to_pylist()]), b.column("tf").to_numpy(), b.column("len").to_numpy()])
+            if sum(len(h[0]) for h in held) >= 50_000:
+                rows = [np.concatenate(v) for v in zip(*held)]
+                last = int(np.flatnonzero(rows[0] == rows[0][-1])[0])  # the last chunk may go on
+                if last:
+                    add([v[:last] for v in rows])
+                held = [[v[last:] for v in rows]]
+        if held:
+            add([np.concatenate(v) for v in zip(*held)])
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(best.group)), pa.array(best.name, pa.string()), pa.array(best.score, pa.float64())], ["query_id", "chunk_id", "score"])
+
+    dealt = own.join(lengths, "chunk_id").select("chunk_id", "term", "tf", "len").repartition("chunk_id").sortWithinPartitions("chunk_id", "term")
+    kind = queries.schema["query_id"].dataType.simpleString()
+    return _ranked(dealt.mapInArrow(score, f"query_id {kind}, chunk_id string, score double"), limit)
+
+
+def _ranked(scored: DataFrame, limit: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))).filter(F.col("rank") <= limit)
+
+
+def _bm25_joined(own: DataFrame, lengths: DataFrame, q: DataFrame, weights: DataFrame, stats: DataFrame, limit: int, salts: int = 64) -> DataFrame:
+    """As ``bm25_batch``, by a join on (term, salt of the chunk); scores are exact sums of 15 decimals, so their order has no influence."""
+    weight = bm25_term(F.col("idf"), F.col("tf"), F.col("len"), stats.select("avg_len").scalar())
+    parts = own.join(weights, "term").join(lengths, "chunk_id").select("chunk_id", "term", weight.cast("decimal(30,15)").alias("w"), F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int").alias("salt"))
+    salted = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    scored = parts.join(salted, ["term", "salt"]).groupBy("query_id", "chunk_id").agg(F.sum("w").cast("double").alias("score"))
+    return _ranked(scored.filter("score > 0"), limit)

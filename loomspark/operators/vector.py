@@ -1,24 +1,18 @@
 """The vector leg, pooled note vectors and note similarity.
 
-Similarity of many origins with all notes is a blocked matrix product: a bounded block of origins goes to
-every task, which multiplies its batches and keeps the best k per origin; only these meet in a shuffle. The
-notes are never joined with themselves.
+Similarity of many origins with all notes is a blocked matrix product (``blocks``): the notes are never joined
+with themselves, vectors stay off the driver but for a few origins, and the plan is the same for any number of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions.scalar import cosine, norm
-
-ORIGIN_BLOCK = 4096
+from loomspark.operators.blocks import top_products
 
 
 def cosine_leg(chunks: DataFrame, query: list[float], limit: int) -> DataFrame:
@@ -38,44 +32,20 @@ def pooled_vectors(chunks: DataFrame) -> DataFrame:
 
 def similar_notes(pooled: DataFrame, origins: DataFrame, k: int, visible: DataFrame | None = None) -> DataFrame:
     """origins (note_path) -> note, other, score, rank: the k most similar visible notes of each. The gate comes first."""
-    others = pooled if visible is None else pooled.join(visible.select("note_path"), "note_path", "left_semi")
-    vectors = pooled.join(origins.select("note_path").distinct(), "note_path", "left_semi").orderBy("note_path").toLocalIterator()
-    block: list = []
-    parts: list[DataFrame] = []
-    for r in vectors:
-        block.append(r)
-        if len(block) == ORIGIN_BLOCK:
-            parts.append(_block_best(others, block, k))
-            block = []
-    if block:
-        parts.append(_block_best(others, block, k))
-    if not parts:
-        return pooled.select(F.col("note_path").alias("note"), F.col("note_path").alias("other"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
-    best = parts[0]
-    for p in parts[1:]:
-        best = best.unionByName(p)
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("note").orderBy(F.desc("score"), "other"))).filter(F.col("rank") <= k)
+    named = pooled.select(F.col("note_path").alias("name"), "vector")
+    others = named if visible is None else named.join(visible.select(F.col("note_path").alias("name")), "name", "left_semi")
+    own = named.join(origins.select(F.col("note_path").alias("name")), "name", "left_semi")
+    return top_products(own, others, k, others=True).select(F.col("left").alias("note"), F.col("right").alias("other"), "score", "rank")
 
 
-def _block_best(others: DataFrame, block: list, k: int) -> DataFrame:
-    names = [r["note_path"] for r in block]
-    matrix = others.sparkSession.sparkContext.broadcast(np.array([r["vector"] for r in block]))  # ORIGIN_BLOCK rows at most
+def _unit(v: Column) -> Column:
+    v = v.cast("array<double>")
+    n = norm(v)
+    return F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        origin = matrix.value
-        kept: list[tuple[list[str], np.ndarray]] = [([], np.zeros(0)) for _ in names]
-        for b in batches:
-            if not b.num_rows:
-                continue
-            paths = np.array(b.column("note_path").to_pylist(), dtype=object)
-            scores = origin @ np.stack([np.asarray(v) for v in b.column("vector").to_numpy(zero_copy_only=False)]).T
-            for i, name in enumerate(names):
-                at = np.flatnonzero(paths != name)
-                near = at[scores[i, at] >= np.partition(scores[i, at], -k)[-k]] if len(at) > k else at
-                p, s = np.r_[np.array(kept[i][0], dtype=object), paths[near]], np.r_[kept[i][1], scores[i, near]]
-                order = sorted(range(len(p)), key=lambda j: (-s[j], p[j]))[:k]
-                kept[i] = [p[j] for j in order], s[order]
-        rows = [(n, p, s) for n, (ps, ss) in zip(names, kept) for p, s in zip(ps, ss.tolist())]
-        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in ((0, pa.string()), (1, pa.string()), (2, pa.float64()))], ["note", "other", "score"])
 
-    return others.select("note_path", "vector").mapInArrow(run, "note string, other string, score double")
+def cosine_batch(chunks: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+    """chunks (chunk_id, vector), queries (query_id string, vector) -> query_id, chunk_id, score, rank: the ``limit`` best of each query; nothing for a zero query."""
+    asked = queries.filter(F.exists("vector", lambda x: x != 0)).select(F.col("query_id").alias("name"), _unit(F.col("vector")).alias("vector"))
+    held = chunks.filter("vector is not null").select(F.col("chunk_id").alias("name"), _unit(F.col("vector")).alias("vector"))
+    return top_products(asked, held, limit).select(F.col("left").alias("query_id"), F.col("right").alias("chunk_id"), "score", "rank")

@@ -82,9 +82,9 @@ def tokens(spark, d):
     return t(spark, d, "documents").select("doc_id", F.size(w).cast("long").alias("n_tokens"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"))
 
 
-@query(f"with {POST} select term, count(*) df, sum(tf)::bigint cf from post group by term having count(*) >= 20")
+@query(f"with {POST} select term, count(*) df, sum(tf)::bigint cf from post group by term")
 def postings_summary(spark, d):
-    return lexical.postings(chunks(spark, d)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).filter("df >= 20")
+    return lexical.postings(chunks(spark, d)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @query(f"with {POST} select n n_docs, round(a, 6) avg_len from st")
@@ -307,13 +307,14 @@ def wikilink_edges(spark, d):
 
 
 def _gap_inputs(spark, d):
-    p = vector.pooled_vectors(t(spark, d, "embeddings").select(F.concat(F.lit("f"), (F.col("vec_id") % 3).cast("string"), F.lit("/n"), (F.col("vec_id") % 40).cast("string"), F.lit(".md")).alias("note_path"), F.col("embedding").alias("vector")))
+    """A note for each four vectors; two thirds of them link to two hubs."""
+    p = vector.pooled_vectors(t(spark, d, "embeddings").select(F.concat(F.lit("f"), (F.expr("vec_id div 4") % 3).cast("string"), F.lit("/n"), F.expr("vec_id div 4").cast("string"), F.lit(".md")).alias("note_path"), F.col("embedding").alias("vector")))
     similar = vector.similar_notes(p, p, 8)
     e = p.select(F.col("note_path").alias("src")).crossJoin(F.broadcast(spark.createDataFrame([("f0/n0.md",), ("f1/n1.md",)], "dst string"))).filter("src <> dst and substr(src, 1, 2) <> 'f2'")
     return p, similar, e
 
 
-GAPS = """m as (select 'f' || vec_id % 3 || '/n' || vec_id % 40 || '.md' note_path, i, avg(embedding[i]::double) x from embeddings, generate_series(1, 64) g(i) group by all),
+GAPS = """m as (select 'f' || (vec_id // 4) % 3 || '/n' || vec_id // 4 || '.md' note_path, i, avg(embedding[i]::double) x from embeddings, generate_series(1, 64) g(i) group by all),
 pool as (select note_path, list(x / n order by i) v from m join (select note_path, sqrt(sum(x * x)) n from m group by 1) using (note_path) where n > 0 group by 1),
 s as (select a.note_path note, b.note_path other, list_inner_product(a.v, b.v) score from pool a join pool b on a.note_path <> b.note_path qualify row_number() over (partition by a.note_path order by list_inner_product(a.v, b.v) desc, b.note_path) <= 8),
 e as (select note_path src, dst from pool, (values ('f0/n0.md'), ('f1/n1.md')) t(dst) where note_path <> dst and note_path[:2] <> 'f2'),
@@ -492,13 +493,15 @@ def mean_recall(spark, d):
     return golden.mean_recall(_golden(spark, d)).select(F.round("mean_recall", 6).alias("mean_recall"), "n_queries")
 
 
-REPORTS = "b as (select doc_id::int position, 'q' || doc_id % 50 query, (doc_id % 7) / 8.0::double recall from documents where doc_id < 60), c as (select doc_id::int position, 'q' || doc_id % 45 query, (doc_id % 5) / 8.0::double recall from documents where doc_id < 70)"
+REPORTS = """b as (select doc_id::int position, 'q' || case when doc_id % 9 = 0 then 'old' else '' end || doc_id // 2 query, (doc_id % 7) / 8.0::double recall from documents),
+c as (select doc_id::int position, 'q' || case when doc_id % 11 = 0 then 'new' else '' end || doc_id // 3 query, (doc_id % 5) / 8.0::double recall from documents)"""
 
 
 def _reports(spark, d):
+    """Two reports with a row for each document; queries repeat, and some are in one report alone."""
     docs = t(spark, d, "documents")
-    one = lambda n, m, k: docs.filter(F.col("doc_id") < n).select(F.col("doc_id").cast("int").alias("position"), F.concat(F.lit("q"), (F.col("doc_id") % m).cast("string")).alias("query"), ((F.col("doc_id") % k) / 8).alias("recall"))
-    return one(60, 50, 7), one(70, 45, 5)
+    one = lambda m, word, n, k: docs.select(F.col("doc_id").cast("int").alias("position"), F.concat(F.lit("q"), F.when(F.col("doc_id") % m == 0, word).otherwise(""), F.expr(f"doc_id div {n}").cast("string")).alias("query"), ((F.col("doc_id") % k) / 8).alias("recall"))
+    return one(9, "old", 2, 7), one(11, "new", 3, 5)
 
 
 _DIFF = f"with {REPORTS}, l as (select query, recall from c qualify row_number() over (partition by query order by position desc) = 1) select b.position, b.query, b.recall baseline_recall, l.recall current_recall, l.recall - b.recall delta from b join l using (query)"

@@ -7,13 +7,15 @@ so the vault must be at the same path there.
 
 from __future__ import annotations
 
-import hashlib
 import os
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from pathlib import Path
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from loomspark.policy import Policy
@@ -89,8 +91,12 @@ def walk(policy: Policy, strict: bool = False) -> list[Entry]:
     return [found[k] for k in sorted(found)]
 
 
+def frame(spark: SparkSession, walked: list[Entry]) -> DataFrame:
+    return spark.createDataFrame([(e.note_path, e.mtime_ns, e.size) for e in walked], MANIFEST)
+
+
 def manifest(spark: SparkSession, policy: Policy, strict: bool = False) -> DataFrame:
-    return spark.createDataFrame([(e.note_path, e.mtime_ns, e.size) for e in walk(policy, strict)], MANIFEST)
+    return frame(spark, walk(policy, strict))
 
 
 def contents(notes: DataFrame, policy: Policy) -> DataFrame:
@@ -108,13 +114,16 @@ def contents(notes: DataFrame, policy: Policy) -> DataFrame:
     return notes.mapInArrow(run, f"{schema}, content binary")
 
 
-def live_hashes(policy: Policy) -> dict[str, str]:
-    """sha256 of each note; the vault must be the same before and after."""
+@contextmanager
+def steady(policy: Policy) -> Iterator[list[Entry]]:
+    """The notes, as long as they are the same before and after; files that can't be read meanwhile are unavailable too."""
     before = walk(policy, strict=True)
-    out = {e.note_path: hashlib.sha256((policy.vault_root / e.note_path).read_bytes()).hexdigest() for e in before}
+    try:
+        yield before
+    except (PySparkException, Py4JJavaError) as e:
+        raise Unavailable("a note can't be read") from e
     if before != walk(policy, strict=True):
         raise Unavailable("the vault changed meanwhile")
-    return out
 
 
 def resolve(rel: str, policy: Policy) -> Path:
