@@ -72,18 +72,21 @@ def bm25_batch(post: DataFrame, lengths: DataFrame, queries: DataFrame, limit: i
     """queries (query_id string or integer, text) -> query_id, chunk_id, score, rank; all queries at once.
 
     Postings of the queries' terms are dealt by chunk, so each task adds up whole scores, in order of term, for blocks of chunks x
-    queries and keeps the best of each query; only these meet. Beyond ``batch_rows`` rows of query terms, they are joined instead.
+    queries and keeps the best of each query; only these meet. The postings are made once and kept until the result (``limit`` rows
+    a query) is there. Beyond ``batch_rows`` rows of query terms or of results, postings and queries are joined instead.
     """
     q = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term")).distinct()
-    size = q.count()
+    size, asking = q.agg(F.count("*"), F.count_distinct("query_id")).first()
+    few = max(size, asking * limit) <= batch_rows
     terms = q.select("term").distinct()
-    own = post.join(F.broadcast(terms) if size <= batch_rows else terms, "term", "left_semi")
-    stats = doc_stats(lengths)
-    weights = own.groupBy("term").agg(F.count("*").alias("df")).select("term", bm25_idf(stats.select("n_docs").scalar(), F.col("df")).alias("idf"))
-    if size > batch_rows:
-        return _bm25_joined(own, lengths, q, weights, stats, limit)
+    own = post.join(F.broadcast(terms) if few else terms, "term", "left_semi")
+    if few:
+        own, lengths = own.persist(), lengths.persist()
+    n_docs, avg_len = doc_stats(lengths).first()
+    weights = own.groupBy("term").agg(F.count("*").alias("df")).select("term", bm25_idf(F.lit(n_docs), F.col("df")).alias("idf"))
+    if not few:
+        return _bm25_joined(own, lengths, q, weights, avg_len, limit)
     asked = q.orderBy("term").toArrow()  # batch_rows rows at most
-    avg_len = stats.first()["avg_len"]
     idf_of = {r["term"]: r["idf"] for r in weights.collect()}  # fewer still
     ids, words = asked.column("query_id").combine_chunks().dictionary_encode("encode"), asked.column("term").combine_chunks().dictionary_encode()
     edge = np.searchsorted(words.indices.to_numpy(), np.arange(len(words.dictionary) + 1))
@@ -125,16 +128,21 @@ def bm25_batch(post: DataFrame, lengths: DataFrame, queries: DataFrame, limit: i
 
     dealt = own.join(lengths, "chunk_id").select("chunk_id", "term", "tf", "len").repartition("chunk_id").sortWithinPartitions("chunk_id", "term")
     kind = queries.schema["query_id"].dataType.simpleString()
-    return _ranked(dealt.mapInArrow(score, f"query_id {kind}, chunk_id string, score double"), limit)
+    found = _ranked(dealt.mapInArrow(score, f"query_id {kind}, chunk_id string, score double"), limit)
+    result = post.sparkSession.createDataFrame(found.toArrow(), found.schema)
+    for kept in (own, lengths):
+        kept.unpersist()
+    shared.destroy()
+    return result
 
 
 def _ranked(scored: DataFrame, limit: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))).filter(F.col("rank") <= limit)
 
 
-def _bm25_joined(own: DataFrame, lengths: DataFrame, q: DataFrame, weights: DataFrame, stats: DataFrame, limit: int, salts: int = 64) -> DataFrame:
+def _bm25_joined(own: DataFrame, lengths: DataFrame, q: DataFrame, weights: DataFrame, avg_len: float | None, limit: int, salts: int = 64) -> DataFrame:
     """As ``bm25_batch``, by a join on (term, salt of the chunk); scores are exact sums of 15 decimals, so their order has no influence."""
-    weight = bm25_term(F.col("idf"), F.col("tf"), F.col("len"), stats.select("avg_len").scalar())
+    weight = bm25_term(F.col("idf"), F.col("tf"), F.col("len"), F.lit(avg_len))
     parts = own.join(weights, "term").join(lengths, "chunk_id").select("chunk_id", "term", weight.cast("decimal(30,15)").alias("w"), F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int").alias("salt"))
     salted = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     scored = parts.join(salted, ["term", "salt"]).groupBy("query_id", "chunk_id").agg(F.sum("w").cast("double").alias("score"))
