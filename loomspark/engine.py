@@ -143,7 +143,7 @@ class Engine:
         pooled = vector.pooled_vectors(self._table("chunks")).cache()
         similar = vector.similar_notes(pooled, seen, max(1, hybrid.clamp(k)), seen)
         raw = vault.contents(seen, self.policy).select("note_path", F.sha1("content").alias("sha1"))
-        dismissed = gaps.active_dismissals(files.dismissal_frame(self.spark, self.policy.vault_root, dismissals), raw)
+        dismissed = gaps.active_dismissals(files.DismissalStore(self.policy.vault_root, dismissals).frame(self.spark), raw)
         degree = graph.degrees(self.spark.createDataFrame([(p,) for p in paths], "node string"), edges)
         ranked = gaps.rank_pairs(similar, edges, degree, dismissed, threshold, max_score, hub_degree)
         out = [(r["a"], r["b"], r["score"]) for r in ranked.orderBy("rank").collect()]
@@ -152,7 +152,7 @@ class Engine:
         return out
 
     def dismiss(self, a: str, b: str, path: str = files.DISMISSALS) -> None:
-        files.record_dismissal(self.policy.vault_root, a, b, path)
+        files.DismissalStore(self.policy.vault_root, path).add(a, b)
 
     # ------------------------------------------------------------ activity, golden, status
 

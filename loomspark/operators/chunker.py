@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate, groupby, pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,7 +53,7 @@ def sections(body: str) -> Iterator[tuple[str | None, str | None, str]]:
     path: list[tuple[int, str]] = []
     for k, (i, m) in enumerate(starts):
         depth = len(m[1])
-        path = [p for p in path if p[0] < depth] if all(p[0] < q[0] for p, q in zip(path, path[1:])) else path
+        path = [p for p in path if p[0] < depth]
         yield m[2], " > ".join(t for _, t in path) or None, "".join(lines[i : starts[k + 1][0] if k + 1 < len(starts) else len(lines)])
         path.append((depth, m[2]))
 
@@ -66,29 +67,41 @@ def _cut_after(pattern: re.Pattern[str], text: str) -> list[str]:
 TIERS: list[Callable[[str], list[str]]] = [lambda t: _cut_after(_AFTER_BLANK, t), lambda t: _cut_after(_AFTER_SENTENCE, t), _WORD.findall, list]
 
 
-def pack(text: str, count: Ruler, tier: int = 0) -> Iterator[str]:
-    """Pieces of the text within the ceiling, which join to the text."""
-    held = ""
-    for unit in TIERS[tier](text):
-        if count(unit) > CEILING:
-            if held:
-                yield held
-                held = ""
-            if tier + 1 < len(TIERS):
-                yield from pack(unit, count, tier + 1)
-            else:
-                yield unit
+def _stretches(text: str, count: Ruler) -> Iterator[tuple[int, int, list[int]]]:
+    """(tier, start, ends): neighbouring units within the ceiling, in order of the text, each stretch from one cut.
+
+    A unit over the ceiling is cut at the next tier in its place; one that can't be cut stands alone.
+    """
+    finest = len(TIERS) - 1
+    todo: list[tuple[int, int, int, list[int] | None]] = [(0, 0, len(text), None)]
+    while todo:
+        tier, a, b, ends = todo.pop()
+        if ends is not None:
+            yield tier, a, ends
             continue
-        if held and count(held + unit) > CEILING:
-            yield held
-            held = unit
-        else:
-            held += unit
-        if tier == 0 and count(held) >= TARGET:
-            yield held
-            held = ""
-    if held:
-        yield held
+        edges = accumulate(map(len, TIERS[tier](text[a:b])), initial=a)
+        parts: list[tuple[int, int, int, list[int] | None]] = []
+        for large, units in groupby(pairwise(edges), lambda u: count(text[u[0] : u[1]]) > CEILING):
+            units = list(units)
+            if large:
+                parts += [(tier, *u, [u[1]]) if tier == finest else (tier + 1, *u, None) for u in units]
+            else:
+                parts.append((tier, units[0][0], units[-1][1], [u[1] for u in units]))
+        todo += reversed(parts)
+
+
+def pack(text: str, count: Ruler) -> Iterator[str]:
+    """Pieces of the text within the ceiling, which join to the text; those of whole paragraphs end at the target."""
+    for tier, start, ends in _stretches(text, count):
+        enough = TARGET if tier == 0 else CEILING + 1
+        size = count(text[start : ends[0]])
+        for end, after in zip(ends, [*ends[1:], None]):
+            grown = count(text[start:after]) if after is not None else CEILING + 1
+            if size >= enough or grown > CEILING:
+                yield text[start:end]
+                start = end
+                grown = count(text[start:after]) if after is not None else 0
+            size = grown
 
 
 def chunk_note(path: str, body: str, description: str | None, count: Ruler) -> list[Chunk]:

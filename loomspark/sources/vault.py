@@ -41,20 +41,22 @@ class Entry:
     size: int
 
 
-def spelled_exactly(root: Path, rel: Path) -> bool:
-    """Whether every part of rel is the name of a directory entry, letter by letter."""
-    at = root
+class Listings(dict):
+    """Names in each folder, listed once."""
+
+    def __missing__(self, folder: str) -> frozenset[str]:
+        self[folder] = frozenset(os.listdir(folder))
+        return self[folder]
+
+
+def spelled_exactly(root: Path, rel: Path, listed: Listings | None = None) -> bool:
+    """Whether every part of rel is the name of a directory entry, letter by letter; a step up needs none."""
+    listed = Listings() if listed is None else listed
+    names = [(os.path.normpath(os.path.join(root, *rel.parts[:k])), part) for k, part in enumerate(rel.parts) if part != os.pardir]
     try:
-        for part in rel.parts:
-            if part == "..":
-                at = at.parent
-            elif part in os.listdir(at):
-                at = at / part
-            else:
-                return False
+        return all(part in listed[folder] for folder, part in names)
     except OSError:
         return False
-    return True
 
 
 def walk(policy: Policy, strict: bool = False) -> list[Entry]:
@@ -69,6 +71,7 @@ def walk(policy: Policy, strict: bool = False) -> list[Entry]:
             raise Unavailable(str(e)) from e
 
     found: dict[str, Entry] = {}
+    listed = Listings()
     for folder, dirs, files in os.walk(root, onerror=failed):
         dirs[:] = sorted(d for d in dirs if not d.startswith(".") and d not in policy.excluded_dirs)
         for name in sorted(files):
@@ -86,7 +89,7 @@ def walk(policy: Policy, strict: bool = False) -> list[Entry]:
                 if strict:
                     raise Unavailable(str(e)) from e
                 continue
-            if real.is_file() and policy.is_note(inside.as_posix()) and spelled_exactly(root, inside):
+            if real.is_file() and policy.is_note(inside.as_posix()) and spelled_exactly(root, inside, listed):
                 found[inside.as_posix()] = Entry(inside.as_posix(), stat.st_mtime_ns, stat.st_size)
     return [found[k] for k in sorted(found)]
 

@@ -148,13 +148,13 @@ def test_golden_files(engine, tmp_path):
 
 def test_dismissal_store(vault):
     root = vault({"a|b.md": "1", "c.md": "2"})
-    files.record_dismissal(root, "c.md", "a|b.md")
-    assert list(files.load_dismissed(root)) == ["weaklink2|a\\|b.md|c.md"]
+    files.DismissalStore(root).add("c.md", "a|b.md")
+    assert list(files.DismissalStore(root).read()) == ["weaklink2|a\\|b.md|c.md"]
     for bad in ("none.md", "../x.md"):
         with pytest.raises(ValueError):
-            files.record_dismissal(root, "c.md", bad)
+            files.DismissalStore(root).add("c.md", bad)
     (root / files.DISMISSALS).write_text("[]")
-    assert files.load_dismissed(root) == {}
+    assert files.DismissalStore(root).read() == {}
     assert files.signature("b", "a") == "weaklink|a|b" and files.signature("x", "y|z") != files.signature("x|y", "z")
 
 
