@@ -6,6 +6,9 @@ is a *member* of its own cell and a *probe* of the neighbouring cells that lie n
 one of the 240 shortest lattice vectors in one block, ranked by the distance to the vector). Vectors that
 meet in a cell, unless both are probes, are candidates and are verified by cosine in double precision.
 
+First only the names of cells and the ids of vectors are shuffled; cells that can give no pair (fewer than two
+vectors, or probes alone) end there, and vectors travel, in their own precision, to the cells that are left.
+
 Equal vectors are one class and are never expanded: a class counts with its number of rows. A pair that
 meets several times is counted in one place, the first cell that both would name, which either side can
 work out from the two vectors; so counts need no shuffle of pairs, and each cell sends back one row for a
@@ -32,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, mix64, bounded
-from .components import components
+from .common import bounded, checkpoint, mix64
+from .components import components, least_linked
 
 
 def _shortest() -> np.ndarray:
@@ -104,25 +107,16 @@ def cells(unit: np.ndarray, blocks: int, scale: float, probes: int, tables: int)
     return out
 
 
-def _units(vectors: list[bytes]) -> np.ndarray:
-    v = np.stack([np.frombuffer(b, np.float64) for b in vectors])
-    return v / np.sqrt((v * v).sum(1, keepdims=True))
-
-
-def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """The least index linked with each of n vertices."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        np.minimum.at(new, root[i], low)
-        np.minimum.at(new, root[j], low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
+def unit_rows(vectors: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, unit vectors as doubles) for each length of the vectors of an Arrow list array."""
+    dims = vectors.value_lengths().to_numpy()
+    out = []
+    for dim in np.unique(dims):
+        at = np.flatnonzero(dims == dim)
+        v = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), dim)
+        v = v / np.abs(v).max(1, keepdims=True)  # no overflow in squares
+        out.append((at, v / np.sqrt((v * v).sum(1, keepdims=True))))
+    return out
 
 
 def _first_meeting(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -140,34 +134,27 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, most: int = 4096, br
     """vectors (vec_id, embedding) -> a row for each: vec_id, n_links, component_id, kept."""
     values = F.col("embedding").cast("array<double>")
     whole = F.coalesce(F.expr("size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)"), F.lit(False))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), values.alias("v")).withColumn("ok", whole & F.col("vec_id").isNotNull())
-    rows = rows.select("vec_id", "ok", F.when(F.col("ok"), F.col("v")).alias("v"), F.xxhash64("v").alias("k1"), F.xxhash64("v", F.lit(1)).alias("k2"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), values.alias("v"), F.col("embedding").alias("raw")).withColumn("ok", whole & F.col("vec_id").isNotNull())
+    rows = rows.select("vec_id", "ok", F.when(F.col("ok"), F.col("raw")).alias("v"), F.xxhash64("v").alias("k1"), F.xxhash64("v", F.lit(1)).alias("k2"))
     classes = checkpoint(rows.filter("ok").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")))
     count = classes.count()
     blocks, scale, probes, tables = params or plan(count)
 
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole_batch in batches:
-            for lo in range(0, whole_batch.num_rows, 2000):
-                b = whole_batch.slice(lo, 2000)
-                vs = [np.asarray(v.values.to_numpy(zero_copy_only=False), np.float64) for v in b.column("v")]
-                dims = np.array([len(v) for v in vs])
-                rep, n = b.column("rep").to_numpy(), b.column("n").to_numpy()
-                for dim in np.unique(dims):
-                    at = np.flatnonzero(dims == dim)
-                    mat = np.stack([vs[i] for i in at])
-                    mat = mat / np.abs(mat).max(1, keepdims=True)  # no overflow in squares
-                    keys = cells(mat / np.sqrt((mat * mat).sum(1, keepdims=True)), blocks, scale, probes, tables).reshape(len(at), -1)
-                    w = keys.shape[1]
-                    probe = np.tile(np.arange(w) % (1 + probes) > 0, len(at))
-                    packed = pa.array([m.tobytes() for m in mat], pa.binary()).take(pa.array(np.repeat(np.arange(len(at)), w)))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(probe), pa.array(np.repeat(rep[at], w)), pa.array(np.repeat(n[at], w)), packed], ["cell", "probe", "rep", "n", "v"])
-
-    all_records = classes.select("rep", "n", "v").mapInArrow(bounded(records), "cell long, probe boolean, rep long, n long, v binary")
-    sizes = checkpoint(all_records.select("cell").groupBy("cell").count().filter(F.col("count") > most).select("cell", F.ceil(F.col("count") / most).cast("int").alias("cut")))
-    large = F.broadcast(sizes) if sizes.count() <= broadcast_rows else sizes
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rep = b.column("rep").to_numpy()
+            for at, unit in unit_rows(b.column("v")):
+                keys = cells(unit, blocks, scale, probes, tables).reshape(len(at), -1)
+                w = keys.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(np.arange(w) % (1 + probes) > 0, len(at))), pa.array(np.repeat(rep[at], w))], ["cell", "probe", "rep"])
+
+    named = classes.select("rep", "v").mapInArrow(bounded(name), "cell long, probe boolean, rep long")
+    size = F.count("*")
+    live = named.groupBy("cell").agg(size.alias("n"), F.count_if(~F.col("probe")).alias("members")).filter("n > 1 and members > 0")
+    live = checkpoint(live.select("cell", F.ceil(F.col("n") / most).cast("int").alias("cut")))
+    met = named.join(F.broadcast(live) if live.count() <= broadcast_rows else live, "cell")
     mine = F.pmod(F.xxhash64("rep"), F.col("cut")).cast("int")
-    dealt = all_records.join(large, "cell", "left").withColumn("cut", F.coalesce("cut", F.lit(1))).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
+    dealt = met.join(classes.select("rep", "n", "v"), "rep").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
     dealt = dealt.select("cell", F.least("mine", "other").alias("gi"), F.greatest("mine", "other").alias("gj"), "mine", "probe", "rep", "n", "v")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +162,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, most: int = 4096, br
             mine, probe, rep, n = (np.concatenate([p[k] for p in parts]) for k in range(4))
             if len(rep) < 2 or probe.all():
                 return None
-            unit = _units([v for p in parts for v in p[4]])
+            ((_, unit),) = unit_rows(pa.concat_arrays([p[4] for p in parts]))  # a cell's vectors are of one length
             ii, jj = [], []
             member = np.flatnonzero(~probe)
             for lo in range(0, len(member), 512):
@@ -203,7 +190,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, most: int = 4096, br
                 return None
             n_used = n[used]
             total = np.bincount(at_i, n_used[at_j], len(used)) + np.bincount(at_j, n_used[at_i], len(used))
-            root = _forest(at_i, at_j, len(used))
+            root = least_linked(at_i, at_j, len(used))
             live = np.flatnonzero(total)
             return pa.RecordBatch.from_arrays([pa.array(rep[used][live]), pa.array(total[live].astype(np.int64)), pa.array(rep[used][root[live]])], ["rep", "links", "root"])
 
@@ -219,7 +206,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, most: int = 4096, br
                     if parts and (out := links(*at, parts)) is not None:
                         yield out
                     at, parts = key, []
-                parts.append([*(c[lo:hi] for c in cols), v.slice(lo, hi - lo).to_pylist()])
+                parts.append([*(c[lo:hi] for c in cols), v.slice(lo, hi - lo)])
         if parts and (out := links(*at, parts)) is not None:
             yield out
 
