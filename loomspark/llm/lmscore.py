@@ -22,7 +22,8 @@ filter for the probes and sums the tokens' exact counts for the base score. It s
 tokens travel as numbers of its distinct tokens. So texts are read twice and shuffled never, and a frequent
 token or bigram costs an entry per block.
 
-Defined cases: a null text is empty: one token, the end; texts of any length are scored whole; repeated
+Defined cases: a null text is empty: one token, the end; texts of any length are scored whole; doc_id is of an integer
+type or a string of digits (any other is an error) and may be null; ties have no influence; repeated
 rows are scored one by one; with no training text N = V = 0; an empty table gives an empty result; extra
 columns are ignored.
 """
@@ -43,7 +44,7 @@ from .common import bounded, checkpoint, chunks, lower_bytes, mix64, span_hashes
 END, START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
 DISCOUNT, WEIGHT, PROBES, TAIL_BYTES = 0.5, 0.3, 3, 5
 BLOCK_WORDS = 1_000_000
-ENTRY_BITS, SEGMENT_BYTES = 16, 1 << 25
+ENTRY_BITS, SEGMENT_BYTES, TASK_SEGMENTS = 16, 1 << 25, 4
 THRESHOLDS = np.unique(np.ceil(2.0 ** (np.arange(0, 120) / 2) - 1e-9))
 _MIDDLE = np.r_[0.0, (THRESHOLDS[:-1] + THRESHOLDS[1:] - 1) / 2, THRESHOLDS[-1]]
 
@@ -188,6 +189,11 @@ def segments_for(spark, size: int) -> int:
     return int(np.ceil(np.log2(max(64, int(spark.conf.get("spark.sql.shuffle.partitions")), size / SEGMENT_BYTES))))
 
 
+def tasks_for(spark, segment_bits: int) -> int:
+    """Tasks that share the segments: ``TASK_SEGMENTS`` each at most."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), (1 << segment_bits) // TASK_SEGMENTS)
+
+
 def _edges(h: np.ndarray, segment_bits: int) -> np.ndarray:
     """Where each segment begins in sorted hashes, and their number."""
     return np.searchsorted(h >> np.uint64(64 - segment_bits), np.arange((1 << segment_bits) + 1, dtype=np.uint64))
@@ -247,7 +253,7 @@ def fit(train: DataFrame) -> CountFilter:
             yield make(at, rows)
 
     counted = train.select("text").mapInArrow(bounded(count), "seg int, kind int, h binary, c binary")
-    made = checkpoint(counted.repartition("seg").sortWithinPartitions("seg").mapInArrow(bounded(reduce), "seg int, bits binary, n long, v long, z double"))
+    made = checkpoint(counted.repartition(tasks_for(spark, s), "seg").sortWithinPartitions("seg").mapInArrow(bounded(reduce), "seg int, bits binary, n long, v long, z double"))
     n, v, z = made.agg(F.sum("n"), F.sum("v"), F.sum("z")).first()
     return CountFilter(made.select("seg", "bits"), s, n or 0, v or 0, z or 0.0, texts)
 
@@ -342,5 +348,5 @@ def score(docs: DataFrame, model: CountFilter) -> DataFrame:
 
     asked = docs.select("doc_id", "text", "trained").mapInArrow(bounded(ask), "seg int, block long, ids binary, tokens binary, at binary, h binary, c binary, g binary, bits binary")
     asked = asked.unionByName(model.segments, allowMissingColumns=True)
-    answered = asked.repartition("seg").sortWithinPartitions("seg", F.col("bits").isNull()).mapInArrow(bounded(answer), "block long, seg int, ids binary, tokens binary, at binary, h binary, counts binary, levels binary, pairs binary")
+    answered = asked.repartition(tasks_for(docs.sparkSession, s), "seg").sortWithinPartitions("seg", F.col("bits").isNull()).mapInArrow(bounded(answer), "block long, seg int, ids binary, tokens binary, at binary, h binary, counts binary, levels binary, pairs binary")
     return answered.repartition("block").sortWithinPartitions("block").mapInArrow(bounded(finish), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

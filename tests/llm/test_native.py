@@ -15,6 +15,23 @@ DOCS = "doc_id long, text string, source string"
 # ---------------------------------------------------------------- sharding
 
 
+def test_shards_equal_plain_scheduling(spark):
+    """End to end: the loads of one-by-one LPT over groups of equal texts; clashing names and a very long text change nothing."""
+    random.seed(9)
+    texts = ["t" * random.randint(0, 60) + str(random.randint(0, 9)) for _ in range(300)] + [None, None, "", "same"] * 3 + ["x" * 200_000]
+    rows = [(i, t, "s", "g", 1) for i, t in enumerate(texts)]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, size string, group string, shard int").repartition(3), shards=6, class_bits=40).collect()
+    loads = [0] * 6
+    for r in out:
+        loads[r["shard"]] += r["size"]
+    groups = {}
+    for t in texts:
+        groups[t] = groups.get(t, 0) + len(t or "") + 8
+    groups[""] = groups.pop("")
+    assert sorted(loads) == sorted(one_by_one(list(groups.values()), 6)) and len(out) == len(texts)
+
+
+
 def one_by_one(sizes, shards):
     """Plain LPT: the loads that it ends with."""
     loads = [0] * shards

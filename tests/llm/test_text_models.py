@@ -157,6 +157,34 @@ def test_base_scores_equal_brute_force(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_scores_equal_brute_force(spark, monkeypatch):
+    """With so many bits that no probe errs, the score is that of the exact counts, put into levels."""
+    monkeypatch.setattr(lmscore, "ENTRY_BITS", 400)
+    random.seed(12)
+    words = [f"w{i}" for i in range(25)]
+    texts = [" ".join(random.choices(words, weights=range(25, 0, -1), k=random.randint(0, 60))) for _ in range(90)] + [None, "unseen words", "w1 Unseen W1"]
+    docs = frame(spark, texts).withColumn("trained", F.col("doc_id") < 70).repartition(3)
+    got = {r["doc_id"]: r["score"] for r in lmscore.score(docs, lmscore.fit(docs.filter("trained"))).collect()}
+    ends = lambda x: [*brute.words(x), "</s>"]
+    one = collections.Counter(w for t in texts[:70] for w in ends(t))
+    two = collections.Counter(b for t in texts[:70] for b in zip(["<s>", *ends(t)], ends(t)))
+    level = lambda c: float(lmscore._MIDDLE[lmscore.level(np.array([c]))][0])
+    v, z = len(one), sum(map(level, one.values()))
+    for i, t in enumerate(texts):
+        total, before = 0.0, "<s>"
+        for w in ends(t):
+            c, u, uw = level(one[w]), 70.0 if before == "<s>" else level(one[before]), level(two[before, w])
+            p = (c - 0.5 if c else 0.5 * v) / z
+            total += math.log10(0.3 * min(uw, u, c) / u + 0.7 * p if u else p)
+            before = w
+        assert got[i] == pytest.approx(total, abs=1e-9)
+
+
+def test_ids_of_scored_texts(spark):
+    rows = spark.createDataFrame([("7", "a b", True), (None, "a", False)], "doc_id string, text string, trained boolean")
+    assert {r["doc_id"] for r in lmscore.score(rows, lmscore.fit(rows.filter("trained"))).collect()} == {7, None}
+
+
 def test_counts_from_probes(spark):
     text = " ".join(w for k, w in enumerate(["a", "b", "c", "d"]) for _ in range(5**k))
     m = lmscore.fit(frame(spark, [text]).select("text"))
