@@ -47,6 +47,28 @@ def test_run(spark):
     assert set(out.columns) == {"doc_id", "n_ids", "ids", "restored"} and out.filter("not restored").count() == 0 and out.count() > 100
 
 
+def test_odd_rows_pass_through(spark):
+    """Null ids, repeated rows, very long texts and clashing names."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = docs.filter("lang = 'en'").orderBy("doc_id").first()["text"]
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    long = " ".join(f"{w}{k}" for k, w in enumerate(text.split() * (1 + 300_000 // len(text))))
+    odd = [(None, None), (None, ""), (None, text), (None, item + " " + text), (9_000_001, long), (9_000_001, long), (9_000_002, None), (9_000_003, " \n 123")]
+    extra = ["size", "k1", "a", "h", "doc", "item_id", "score", "toxic"]
+    names = [f"{c} string" for c in extra]
+    more = spark.createDataFrame([(i, t, None, "s", len(t or ""), *extra) for i, t in odd], f"doc_id long, text string, lang string, source string, n_chars long, {', '.join(names)}")
+    step = docs.unionByName(more, allowMissingColumns=True)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        step = stage(spark, step, SF)
+        assert step.columns == [*docs.columns, *extra]
+        step = spark.createDataFrame(step.collect(), step.schema)
+    left = [(r["doc_id"], len(r["text"])) for r in step.filter("size = 'size'").collect()]
+    assert (9_000_001, len(long)) in left and left.count((9_000_001, len(long))) == 1
+    assert {i for i, _ in left} <= {None, 9_000_001} and (None, len(text)) in left and (None, len(item + " " + text)) not in left
+    coded = corpus_pipeline.STAGES[-1][1](spark, step, SF)
+    assert coded.filter("not restored").count() == 0
+
+
 def test_empty_corpus(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
