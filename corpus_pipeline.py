@@ -2,9 +2,16 @@
 
 Stages take (spark, docs, sf_dir) and return the rows of ``docs`` that stay, with their columns; the last
 returns each document's token ids. ``run`` writes every stage's result as Parquet in the shared checkpoint
-folder and reads it again, so a later stage never repeats an earlier one, whatever is lost.
+folder and reads it again, so a later stage never repeats an earlier one, whatever is lost. A stage's folder is
+deleted when the next one is written; the last one is the result's.
 
-No stage keeps only part of what it is given to spare work. An empty ``documents`` table gives an empty result.
+No stage keeps only part of what it is given to spare work.
+
+Defined cases: an empty ``documents`` table gives an empty result; null and empty texts, and texts without a letter,
+go at language_id; very long texts are judged and encoded whole; of rows that repeat a doc_id one stays at ngram_join
+(its group's least id), and rows with a null doc_id are judged one by one there and stay, as they do elsewhere unless
+they are toxic or contaminated; without labelled rows nothing is toxic, and without any ``lang`` everything goes at
+language_id; extra columns, of any name, are carried to the last stage; ties follow the operators.
 """
 
 from __future__ import annotations
@@ -58,7 +65,16 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    places = [f"{folder}/{k}-{name}" for k, (name, _) in enumerate(STAGES)]
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(places[k])
+        docs = spark.read.parquet(places[k])
+        if k:
+            delete(spark, places[k - 1])
     return docs
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """A folder of any file system that Spark reaches."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
