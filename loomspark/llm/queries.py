@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatformat, decontam, langid, lattice, lmscore, ngramjoin, sharding, spiece, tokencount, toxicity
+from . import chatformat, decontam, langid, lattice, linededup, lmscore, ngramjoin, sharding, spiece, tokencount, toxicity
 from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,20 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spiece.encode(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), least_docs=10, least_chars=1)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+ORACLES["op11_line_dedup"] = r"""
+with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) ls from documents),
+e as (select doc_id, unnest(ls) line, unnest(range(len(ls))) pos from d),
+k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') key from e),
+c as (select key from k where key <> '' group by key having count(distinct doc_id) >= 10)
+select doc_id, count(*) n_lines, count(*) filter (k.key in (from c)) n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by pos) filter (k.key not in (from c)), '')) kept_sha256
+from k group by doc_id
+"""
