@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatformat, decontam, langid, lattice, linededup, lmscore, ngramjoin, sharding, spiece, tokencount, toxicity
+from . import chatformat, decontam, langid, lattice, linededup, lmscore, ngramjoin, sharding, spiece, tokencount, toxicity, veccodes
 from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,38 @@ select doc_id, count(*) n_lines, count(*) filter (k.key in (from c)) n_dropped,
        sha256(coalesce(string_agg(line, chr(10) order by pos) filter (k.key not in (from c)), '')) kept_sha256
 from k group by doc_id
 """
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books = veccodes.fit(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6)
+    coded = veccodes.with_label_errors(veccodes.encode(rows, books))
+    code = F.array_join(F.transform("code", lambda j: F.lpad(F.lower(F.hex(j)), 2, "0")), "")
+    return coded.select("vec_id", code.alias("code"), "error", "label_error", F.lit(veccodes.digest(books) if books is not None else None).cast("string").alias("codebooks_sha256"))
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds written out, one after the other: a<k> assigns parts to the codebooks b<k>."""
+    ctes = f"""e as (select vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::double)::bigint) v from embeddings
+      where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+x as materialized (select vec_id, label, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] v from e, range({parts}) r(p)),
+b0 as (select p, row_number() over (partition by p order by vec_id) - 1 j, v c from x qualify j < {entries})"""
+    for k in range(rounds + 1):
+        ctes += f""",
+a{k} as materialized (select vec_id, label, x.p p, min_by({{'j': j, 'd': d}}, d * {entries} + j) got, any_value(v) v
+        from (select vec_id, label, x.p p, j, v, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint d from x join b{k} b on x.p = b.p) x
+        group by vec_id, label, x.p)"""
+        if k < rounds:
+            ctes += f""",
+m{k} as (select p, got.j j, i, sum(y)::bigint s, count(*) n from (select p, got, unnest(v) y, unnest(range(len(v))) i from a{k}) group by p, got.j, i),
+n{k} as (select p, j, list(((s - ((s % n) + n) % n) // n)::bigint order by i) c from m{k} group by p, j),
+b{k + 1} as materialized (select p, j, coalesce(n{k}.c, o.c) c from b{k} o left join n{k} using (p, j))"""
+    last = f"a{rounds}"
+    return f"""with {ctes},
+o as (select vec_id, any_value(label) label, string_agg(lower(lpad(hex(got.j), 2, '0')), '' order by p) code, sum(got.d)::bigint error from {last} group by vec_id),
+s as (select sha256(string_agg(array_to_string(c, ','), ',' order by p, j)) h from b{rounds})
+select vec_id, code, error, (sum(error) over (partition by label))::bigint label_error, (select h from s) codebooks_sha256 from o
+"""
+
+
+ORACLES["op12_vector_codes"] = _codes_sql()
