@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatformat, decontam, langid, lattice, linededup, lmscore, ngramjoin, sharding, spiece, tokencount, toxicity, veccodes
+from . import chatformat, decontam, langid, lattice, linededup, lmscore, ngramjoin, sharding, spiece, tokencount, toxicity, veccodes, wand
 from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -194,3 +194,21 @@ select vec_id, code, error, (sum(error) over (partition by label))::bigint label
 
 
 ORACLES["op12_vector_codes"] = _codes_sql()
+
+
+@query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wand.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+ORACLES["op13_ranked_search"] = r"""
+with t as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) term from documents),
+tf as (select doc_id, term, count(*) tf from t group by doc_id, term),
+n as (select doc_id, sum(tf)::bigint n from tf group by doc_id),
+s as (select count(*) n_docs, sum(n)::bigint n_terms from n),
+q as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) term from benchmark),
+w as (select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)))::bigint w from tf, s where term in (select term from q) group by term, n_docs),
+p as (select doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))) gain from tf join w using (term) join n using (doc_id), s),
+r as (select item_id, doc_id, sum(gain)::bigint score from q join p using (term) group by item_id, doc_id having sum(gain) > 0)
+select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::integer rank, doc_id, score from r qualify rank <= 50
+"""
