@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomspark import VERSION
 from loomspark.functions.text import FrontmatterError, parse_note, parse_note_udf
-from loomspark.operators import activity, gaps, golden, graph, lexical, refresh, vector
+from loomspark.operators import activity, blockmax, gaps, golden, graph, lexical, refresh, vector
 from loomspark.operators import neighbors as walk
 from loomspark.operators import search as hybrid
 from loomspark.operators.embed import Embedder, HashingEmbedder
@@ -65,8 +65,8 @@ class Engine:
         self.embedder = embedder or HashingEmbedder()
         self.store = store or IndexStore(policy.index_dir)
 
-    def _table(self, name: str) -> DataFrame:
-        return self.store.read(self.spark, name)
+    def _table(self, name: str, now: dict | None = None) -> DataFrame:
+        return self.store.read(self.spark, name, now)
 
     def _visible(self, paths: list[str]) -> DataFrame:
         return self.spark.createDataFrame([(p,) for p in vault.visible(paths, self.policy)], "note_path string")
@@ -87,9 +87,10 @@ class Engine:
         k = hybrid.clamp(k)
         if not k:
             return []
-        chunks = self._table("chunks")
+        now = self.store.current()
+        chunks = self._table("chunks", now)
         limit = k * hybrid.OVERFETCH
-        legs = [vector.cosine_leg(chunks, self.embedder.embed([query])[0].tolist(), limit), hybrid.bm25_leg(self._table("postings"), self._table("doc_len"), query, limit)]
+        legs = [vector.cosine_leg(chunks, self.embedder.embed([query])[0].tolist(), limit), blockmax.top_chunks(self._table("postings", now), *self.store.statistics(now), query, limit)]
         pool = hybrid.fuse(legs, fusion)
         rows = chunks.join(F.broadcast(pool), "chunk_id").orderBy(F.desc("score"), "chunk_id").collect()  # two limits at most
         allowed = set(vault.visible(sorted({r["note_path"] for r in rows}), self.policy))
@@ -181,7 +182,7 @@ class Engine:
             vectors = [(i, v.tolist()) for (i, _), v in zip(own, self.embedder.embed([text for _, text in own]))]
             legs = [
                 vector.cosine_batch(chunks, self.spark.createDataFrame(vectors, "query_id string, vector array<double>"), k * hybrid.OVERFETCH),
-                lexical.bm25_batch(self._table("postings"), self._table("doc_len"), self.spark.createDataFrame(own, "query_id string, text string"), k * hybrid.OVERFETCH),
+                lexical.bm25_batch(blockmax.flat(self._table("postings")).drop("len"), self._table("doc_len"), self.spark.createDataFrame(own, "query_id string, text string"), k * hybrid.OVERFETCH),
             ]
             for r in chunks.select("chunk_id", "note_path").join(F.broadcast(fuse_batch(legs, fusion)), "chunk_id").orderBy("query_id", F.desc("score"), "chunk_id").collect():  # two limits a query
                 pools.setdefault(int(r["query_id"]), []).append(r["note_path"])
@@ -208,7 +209,7 @@ class Engine:
 
     def status(self) -> dict:
         """What the index is worth just now, without changing anything."""
-        out = {"vault_root": str(self.policy.vault_root.resolve()), "index_dir": str(self.store.index_dir.resolve()), "model": self.embedder.identity.name, "recorded_identity": None, "notes": 0, "chunks": 0}
+        out = {"vault_root": str(self.policy.vault_root.resolve()), "index_dir": self.store.index_dir, "model": self.embedder.identity.name, "recorded_identity": None, "notes": 0, "chunks": 0}
         out |= dict.fromkeys(("stale_notes", "added_notes", "changed_notes", "deleted_notes", "index_built_at")) | {"root_provenance": "not_recorded", "ready": False, "state": "missing"}
 
         def failed(state: str, error: str) -> dict:
@@ -220,7 +221,7 @@ class Engine:
                 raise vault.Unavailable("the vault root isn't a folder that can be read")
             now = self.store.current()
             if now is None:
-                return failed("corrupt", "snapshots exist without a pointer") if any(self.store.index_dir.glob("snapshot-*/chunks")) else out
+                return failed("corrupt", "tables exist without a manifest") if self.store.folder().names("data") else out
             if not now.get("identity"):
                 return out | {"state": "unbuilt"}
             self.store.check_identity(self.embedder.identity)

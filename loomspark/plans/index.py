@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import fence_defect_udf, parse_note_udf, render_udf
+from loomspark.operators.blockmax import block_postings, lengths
 from loomspark.operators.chunker import chunk_notes
 from loomspark.operators.embed import Embedder
-from loomspark.operators.lexical import doc_lengths, postings
 from loomspark.operators.refresh import replace_rows
 from loomspark.policy import Policy
-from loomspark.sources.store import IndexCorruptionError, IndexStore
+from loomspark.sources.store import BUCKET_BYTES, TABLES, IndexStore, bucket_of, buckets_for
 from loomspark.sources.vault import contents, manifest
 
 
@@ -43,17 +43,14 @@ def _defects(parsed: DataFrame) -> DataFrame:
     return each.select(F.concat("note_path", F.lit(": "), "what").alias("defect"))
 
 
-def refresh(spark: SparkSession, policy: Policy, store: IndexStore, embedder: Embedder, force: bool = False) -> RefreshReport:
-    """Bring the index up to date. Contents are read only of notes whose time differs from the recorded one."""
-    if force:
-        store.reset()
-    built = store.current() is not None
-    if built:
+def refresh(spark: SparkSession, policy: Policy, store: IndexStore, embedder: Embedder, force: bool = False, bucket_bytes: int = BUCKET_BYTES) -> RefreshReport:
+    """Bring the index up to date. Contents are read only of notes whose time differs from the recorded one, and only the
+    buckets of changed and removed notes are written; ``force`` builds a new index beside the old one, which it replaces."""
+    base = None if force else store.current()
+    if base:
         store.check_identity(embedder.identity)
-        if not (store.index_dir / store.current()["snapshot"] / "chunks").exists():
-            raise IndexCorruptionError("the snapshot is missing; rebuild with force")
     walked = manifest(spark, policy)
-    prior = store.read(spark, "notes")
+    prior = store.read(spark, "notes", base) if base else spark.createDataFrame([], TABLES["notes"])
     p = prior.select("note_path", F.col("sha256").alias("h0"), F.col("mtime_ns").alias("m0"))
     joined = walked.join(p, "note_path", "left")
     maybe = contents(joined.filter("m0 is null or m0 <> mtime_ns").select("note_path", "mtime_ns", "h0"), policy)
@@ -61,37 +58,50 @@ def refresh(spark: SparkSession, policy: Policy, store: IndexStore, embedder: Em
     changed = maybe.filter("h0 is null or h0 <> sha256")
     touched = maybe.filter("h0 = sha256")
     removed = prior.join(walked, "note_path", "left_anti").select("note_path")
-    counts = {
-        "added": changed.filter("h0 is null").count(),
-        "updated": changed.filter("h0 is not null").count(),
-        "removed": removed.count(),
-    }
-    counts["unchanged"] = walked.count() - counts["added"] - counts["updated"]
-    if built and counts["added"] + counts["updated"] + counts["removed"] + touched.count() == 0:
+    try:
+        counts = dict(zip(("added", "updated"), changed.agg(F.count_if(F.col("h0").isNull()), F.count_if(F.col("h0").isNotNull())).first()))
+        counts["removed"] = removed.count()
+        total, size = walked.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+        counts["unchanged"] = total - counts["added"] - counts["updated"]
+        if base and counts["added"] + counts["updated"] + counts["removed"] + touched.count() == 0:
+            return RefreshReport(**counts, defects=(), chars_chunkable=0, chars_embedded=0)  # nothing to write
+        return _write(spark, store, base, embedder, prior, changed, touched, removed, buckets_for(size, bucket_bytes), counts)
+    finally:
         maybe.unpersist()
-        return RefreshReport(**counts, defects=(), chars_chunkable=0, chars_embedded=0)  # nothing to write
+
+
+def _write(spark: SparkSession, store: IndexStore, base: dict | None, embedder: Embedder, prior: DataFrame, changed: DataFrame, touched: DataFrame, removed: DataFrame, wanted: int, counts: dict) -> RefreshReport:
+    """Write the buckets that a refresh touches. An index that has outgrown its buckets four times is dealt anew."""
+    buckets = base["buckets"] if base and wanted <= 4 * base["buckets"] else wanted
+    every = set(range(buckets))
+    whole = not base or base["buckets"] != buckets
+    at = bucket_of(F.col("note_path"), buckets)
     parsed = _parsed(changed.select("note_path", "content")).cache()
     new_chunks = chunk_notes(parsed, embedder.count_tokens).cache()
-    defects = tuple(r[0] for r in _defects(parsed).orderBy("defect").collect())  # a line for each broken note
-    chunkable = parsed.agg(F.sum(F.length(render_udf("body")) + F.coalesce(F.length("description"), F.lit(0)))).first()[0] or 0
-    embedded = new_chunks.agg(F.sum(F.length("text"))).first()[0] or 0
-
-    with_vectors = new_chunks.withColumn("vector", embedder.column(F.col("text")))
-    gone = changed.select("note_path").unionByName(removed)
-    old_chunks = store.read(spark, "chunks")
-    gone_chunks = old_chunks.join(gone, "note_path", "left_semi").select("chunk_id")
-    notes = replace_rows(prior, changed.select("note_path", "sha256", "mtime_ns"), gone.unionByName(touched.select("note_path"))).unionByName(touched.select("note_path", "sha256", "mtime_ns"))
-    store.commit(
-        spark,
-        {
-            "notes": notes,
-            "note_text": replace_rows(store.read(spark, "note_text"), parsed.select("note_path", "text", "description", "tags", "aliases"), gone),
-            "chunks": replace_rows(old_chunks, with_vectors, gone),
-            "postings": replace_rows(store.read(spark, "postings"), postings(new_chunks), gone_chunks, "chunk_id"),
-            "doc_len": replace_rows(store.read(spark, "doc_len"), doc_lengths(new_chunks), gone_chunks, "chunk_id"),
-        },
-        embedder.identity,
-    )
-    for frame in (maybe, parsed, new_chunks):
-        frame.unpersist()
+    try:
+        defects = tuple(r[0] for r in _defects(parsed).orderBy("defect").collect())  # a line for each broken note
+        chunkable = parsed.agg(F.sum(F.length(render_udf("body")) + F.coalesce(F.length("description"), F.lit(0)))).first()[0] or 0
+        embedded = new_chunks.agg(F.sum(F.length("text"))).first()[0] or 0
+
+        gone = changed.select("note_path").unionByName(removed)
+        some = every if whole else {r[0] for r in gone.select(at.alias("b")).distinct().collect()}  # numbers of buckets
+        timed = every if whole else some | {r[0] for r in touched.select(at.alias("b")).distinct().collect()}
+        old = lambda name, which: store.read(spark, name, base, None if whole else which) if base else spark.createDataFrame([], TABLES[name])
+
+        change = store.begin(spark, base, buckets)
+        recorded = ["note_path", "sha256", "mtime_ns"]
+        notes = replace_rows(old("notes", timed), changed.select(*recorded).unionByName(touched.select(*recorded)), gone.unionByName(touched.select("note_path")))
+        change.write("notes", notes.withColumn("bucket", at), timed)
+        texts = replace_rows(old("note_text", some), parsed.select("note_path", "text", "description", "tags", "aliases"), gone)
+        change.write("note_text", texts.withColumn("bucket", at), some)
+        chunks = replace_rows(old("chunks", some), new_chunks.withColumn("vector", embedder.column(F.col("text"))), gone)
+        written = change.write("chunks", chunks.withColumn("bucket", at), some).withColumn("bucket", at)
+        change.write("postings", block_postings(written), some)
+        held = lengths(written)
+        change.write("doc_len", held, some)
+        change.count(held, some)
+        change.commit(embedder.identity)
+    finally:
+        for frame in (parsed, new_chunks):
+            frame.unpersist()
     return RefreshReport(**counts, defects=defects, chars_chunkable=chunkable, chars_embedded=embedded)

@@ -2,6 +2,7 @@ import json
 import os
 import subprocess
 from datetime import UTC, datetime, timedelta
+from pathlib import Path
 
 import pytest
 
@@ -92,13 +93,18 @@ def test_identity_and_damage(spark, engine):
     assert engine.status()["state"] == "identity_mismatch"
     engine.index(force=True)
     now = engine.store.current()
-    engine.store.pointer.write_text(json.dumps(now | {"chunks": 1}))
+    manifest = Path(engine.policy.index_dir) / engine.store.manifest_name(now["version"])
+    whole = manifest.read_text()
+    manifest.write_text(whole.replace("a", "b", 1))
+    assert engine.status()["state"] == "corrupt"  # by its checksum
+    (manifest.parent / f".{manifest.name}.crc").unlink()
+    manifest.write_text(json.dumps(now | {"chunks": 1}))
     assert engine.status()["state"] == "corrupt"
-    engine.store.pointer.write_text("{")
+    manifest.write_text("{")
     assert engine.status()["state"] == "corrupt" and "force" in engine.status()["remediation"]
     with pytest.raises(IndexCorruptionError):
         engine.index()
-    engine.store.pointer.write_text(json.dumps(now | {"schema_version": 7}))
+    manifest.write_text(json.dumps(now | {"schema_version": 7}))
     assert engine.status()["state"] == "corrupt"
 
 
