@@ -5,13 +5,14 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
+from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark import VERSION
-from loomspark.functions.text import FrontmatterError, parse_note, parse_note_udf
+from loomspark.functions.text import FrontmatterError, parse_note, parse_note_udf, word_count
 from loomspark.operators import activity, blockmax, gaps, golden, graph, lexical, refresh, vector
 from loomspark.operators import neighbors as walk
 from loomspark.operators import search as hybrid
@@ -68,8 +69,9 @@ class Engine:
     def _table(self, name: str, now: dict | None = None) -> DataFrame:
         return self.store.read(self.spark, name, now)
 
-    def _visible(self, paths: list[str]) -> DataFrame:
-        return self.spark.createDataFrame([(p,) for p in vault.visible(paths, self.policy)], "note_path string")
+    def _seen(self, listed: DataFrame | None = None) -> DataFrame:
+        """note_path of all that may be seen, by one listing of the vault on the executors."""
+        return vault.gate(vault.listing(self.spark, self.policy) if listed is None else listed, self.policy)
 
     # ------------------------------------------------------------ index
 
@@ -106,16 +108,16 @@ class Engine:
         vault.resolve(path, self.policy)
         k = hybrid.clamp(k)
         pooled = vector.pooled_vectors(self._table("chunks"))
-        paths = [r[0] for r in self._table("notes").select("note_path").collect()]
         origin = self.spark.createDataFrame([(path,)], "note_path string")
-        best = vector.similar_notes(pooled, origin, max(1, k), self._visible(paths)).orderBy("rank")
+        best = vector.similar_notes(pooled, origin, max(1, k), self._seen()).orderBy("rank")
         return [(r["other"], r["score"]) for r in best.collect()][:k]
 
     # ------------------------------------------------------------ graph
 
-    def edges(self) -> DataFrame:
+    def edges(self, listed: DataFrame | None = None) -> DataFrame:
         """Links between all notes of the vault; their texts are read and parsed on the executors."""
-        text = vault.contents(vault.manifest(self.spark, self.policy).select("note_path"), self.policy).select("note_path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+        notes = vault.notes_of(vault.listing(self.spark, self.policy) if listed is None else listed, self.policy)
+        text = vault.contents(notes.select("note_path"), self.policy).select("note_path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
         parsed = text.withColumn("p", parse_note_udf("text"))
         broken = F.col("p.error").isNotNull()
         aliases = F.when(broken | F.col("p.aliases").isNull(), F.array().cast("array<string>")).otherwise(F.col("p.aliases"))
@@ -123,29 +125,27 @@ class Engine:
 
     def neighbors(self, path: str, depth: int = 1, token_budget: int = walk.DEFAULT_BUDGET) -> Neighborhood:
         real = vault.resolve(path, self.policy).relative_to(self.policy.vault_root.resolve()).as_posix()
-        edges = self.edges()
-        paths = [e.note_path for e in vault.walk(self.policy)]
-        seen = self._visible(paths).select(F.col("note_path").alias("node"))
-        found = walk.neighbors(edges, self.spark.createDataFrame([(real,)], "node string"), depth, seen).collect()
-        texts = {r["node"]: self.read(r["node"]) for r in found}
-        rows = [(r["node"], r["depth"], r["via"], r["direction"], len(texts[r["node"]].split())) for r in found]
-        framed = self.spark.createDataFrame(rows, "node string, depth int, via string, direction string, tokens int")
-        kept = walk.with_budget(framed, token_budget).orderBy("rank").collect()
+        listed = vault.listing(self.spark, self.policy)
+        edges = self.edges(listed)
+        found = walk.neighbors(edges, self.spark.createDataFrame([(real,)], "node string"), depth, self._seen(listed).select(F.col("note_path").alias("node")))
+        texts = vault.contents(found.withColumnRenamed("node", "note_path"), self.policy).withColumn("content", F.decode("content", "UTF-8"))
+        framed = texts.withColumnRenamed("note_path", "node").withColumn("tokens", word_count(F.col("content")))
+        kept = walk.with_budget(framed, token_budget)
+        kept = kept.withColumn("content", F.when(F.col("included"), F.col("content"))).orderBy("rank").collect()  # texts within the budget
         edges.unpersist()
-        out = tuple(Neighbor(r["node"], r["depth"], r["via"], r["direction"], r["tokens"], r["included"], texts[r["node"]] if r["included"] else None) for r in kept)
+        out = tuple(Neighbor(*(r[c] for c in ("node", "depth", "via", "direction", "tokens", "included", "content"))) for r in kept)
         return Neighborhood(path, self.policy.active_context(), out)
 
     def gaps(self, threshold: float = gaps.THRESHOLD, max_score: float = gaps.MAX_SCORE, k: int = gaps.K, hub_degree: int = gaps.HUB_DEGREE, dismissals: str = files.DISMISSALS) -> list[tuple[str, str, float]]:
         if self.store.current() is None:
             raise FileNotFoundError(f"no index in {self.store.index_dir}")
-        edges = self.edges()
-        paths = [e.note_path for e in vault.walk(self.policy)]
-        seen = self._visible(paths)
+        listed = vault.listing(self.spark, self.policy)
+        edges, seen = self.edges(listed), self._seen(listed)
         pooled = vector.pooled_vectors(self._table("chunks")).cache()
         similar = vector.similar_notes(pooled, seen, max(1, hybrid.clamp(k)), seen)
         raw = vault.contents(seen, self.policy).select("note_path", F.sha1("content").alias("sha1"))
         dismissed = gaps.active_dismissals(files.DismissalStore(self.policy.vault_root, dismissals).frame(self.spark), raw)
-        degree = graph.degrees(self.spark.createDataFrame([(p,) for p in paths], "node string"), edges)
+        degree = graph.degrees(vault.notes_of(listed, self.policy).select(F.col("note_path").alias("node")), edges)
         ranked = gaps.rank_pairs(similar, edges, degree, dismissed, threshold, max_score, hub_degree)
         out = [(r["a"], r["b"], r["score"]) for r in ranked.orderBy("rank").collect()]
         for frame in (edges, pooled):
@@ -164,35 +164,39 @@ class Engine:
         since = now - timedelta(days=days)
         commits, tree = gitlog.changes(self.spark, self.policy, since)
         changed = activity.latest_change(commits, tree, F.lit(since))
-        seen = self._visible([r[0] for r in changed.select("note_path").collect()])
         out = []
-        for r in activity.recent_activity(changed, seen, F.lit(now), days, limit).orderBy("rank").collect():
+        for r in activity.recent_activity(changed, self._seen(), F.lit(now), days, limit).orderBy("rank").collect():  # 50 at most
             try:
                 body = parse_note(self.read(r["note_path"]))[1]
             except FrontmatterError:
                 body = ""
             out.append(ActivityEntry(r["note_path"], r["modified"], next((x for x in body.splitlines() if x.strip()), "")))
+        commits.unpersist()
         return out
 
     def golden(self, queries: list[files.GoldenQuery], fusion: Fusion = Fusion.RRF) -> files.GoldenReport:
         """All queries of one k in one plan, with the pool and the gate of ``search_built``."""
-        chunks, pools = self._table("chunks"), {}
-        for k in sorted({hybrid.clamp(q.k) for q in queries} - {0}):
+        if not queries:
+            return files.GoldenReport((), 0.0)
+        now = self.store.current()
+        chunks, post, seen = self._table("chunks", now), blockmax.flat(self._table("postings", now)).drop("len"), self._seen()
+        hits = []
+        for k in sorted({hybrid.clamp(q.k) for q in queries}):
             own = [(str(i), q.text) for i, q in enumerate(queries) if hybrid.clamp(q.k) == k]
             vectors = [(i, v.tolist()) for (i, _), v in zip(own, self.embedder.embed([text for _, text in own]))]
             legs = [
                 vector.cosine_batch(chunks, self.spark.createDataFrame(vectors, "query_id string, vector array<double>"), k * hybrid.OVERFETCH),
-                lexical.bm25_batch(blockmax.flat(self._table("postings")).drop("len"), self._table("doc_len"), self.spark.createDataFrame(own, "query_id string, text string"), k * hybrid.OVERFETCH),
+                lexical.bm25_batch(post, self._table("doc_len", now), self.spark.createDataFrame(own, "query_id string, text string"), k * hybrid.OVERFETCH),
             ]
-            for r in chunks.select("chunk_id", "note_path").join(F.broadcast(fuse_batch(legs, fusion)), "chunk_id").orderBy("query_id", F.desc("score"), "chunk_id").collect():  # two limits a query
-                pools.setdefault(int(r["query_id"]), []).append(r["note_path"])
-        allowed = set(vault.visible(sorted({p for pool in pools.values() for p in pool}), self.policy))
-        rows = []
-        for i, q in enumerate(queries):
-            got = set([p for p in pools.get(i, []) if p in allowed][: hybrid.clamp(q.k)])
-            found = tuple(p for p in q.expect if p in got)
-            rows.append(files.GoldenRow(q.text, len(found) / len(q.expect), found, tuple(p for p in q.expect if p not in got)))
-        return files.GoldenReport(tuple(rows), sum(r.recall for r in rows) / len(rows) if rows else 0.0)
+            pool = chunks.select("chunk_id", "note_path").join(fuse_batch(legs, fusion), "chunk_id").join(seen, "note_path", "left_semi")
+            place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
+            hits.append(pool.select(F.col("query_id").alias("query"), "note_path", place.alias("rank")))
+        wanted = self.spark.createDataFrame([(str(i), list(q.expect), hybrid.clamp(q.k)) for i, q in enumerate(queries)], "query string, expect array<string>, k int")
+        rows = golden.evaluate(wanted, reduce(DataFrame.unionByName, hits)).persist()
+        mean = golden.mean_recall(rows).first()["mean_recall"]
+        out = [files.GoldenRow(queries[int(r["query"])].text, r["recall"], tuple(r["found"]), tuple(r["missed"])) for r in rows.orderBy(F.col("query").cast("int")).collect()]
+        rows.unpersist()
+        return files.GoldenReport(tuple(out), mean)
 
     def provenance(self, path: str | Path, queries: list[files.GoldenQuery], fusion: Fusion = Fusion.RRF) -> files.GoldenProvenance:
         """What a report was measured against."""
@@ -226,8 +230,8 @@ class Engine:
                 return out | {"state": "unbuilt"}
             self.store.check_identity(self.embedder.identity)
             self.store.validate(self.spark)
-            with vault.steady(self.policy) as walked:
-                live = vault.contents(vault.frame(self.spark, walked), self.policy).select("note_path", F.sha2("content", 256).alias("sha256"))
+            with vault.steady(self.spark, self.policy) as walked:
+                live = vault.contents(walked, self.policy).select("note_path", F.sha2("content", 256).alias("sha256"))
                 s = refresh.staleness(self._table("notes"), live).first()
             done = {"recorded_identity": now["identity"], "notes": self._table("notes").count(), "chunks": now["chunks"]}
             return out | done | {"added_notes": s["added"], "changed_notes": s["changed"], "deleted_notes": s["deleted"], "stale_notes": s["stale"], "state": s["state"], "ready": s["state"] == "ready"}

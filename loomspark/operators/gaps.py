@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions.scalar import pair_signature, round4, top_folder
 from loomspark.operators.graph import undirected
+from loomspark.operators.prefix import ranked
 
 THRESHOLD, MAX_SCORE, K, HUB_DEGREE = 0.6, 0.92, 8, 40  # fixed values
 
@@ -31,10 +32,9 @@ def rank_pairs(similar: DataFrame, e: DataFrame, degree: DataFrame, dismissed: D
     pairs = keyed.select("a", F.when(F.col("a") == F.col("u"), F.col("v")).otherwise(F.col("u")).alias("b"), "score")
     hub = degree.filter(F.col("degree") >= hub_degree).select(F.col("node"))
     pairs = pairs.join(hub.select(F.col("node").alias("a"), F.lit(True).alias("ha")), "a", "left").join(hub.select(F.col("node").alias("b"), F.lit(True).alias("hb")), "b", "left")
-    hubby = F.coalesce("ha", "hb", F.lit(False))
-    same = top_folder(F.col("a")) == top_folder(F.col("b"))
-    order = Window.orderBy(hubby, same, F.desc("score"), "a", "b")
-    return pairs.withColumn("rank", F.row_number().over(order)).select("a", "b", round4("score").alias("score"), "rank")
+    keys = pairs.select("a", "b", "score", F.coalesce("ha", "hb", F.lit(False)).alias("hubby"), (top_folder(F.col("a")) == top_folder(F.col("b"))).alias("same"))
+    placed = ranked(keys, ["hubby", "same", F.desc("score"), "a", "b"])
+    return placed.select("a", "b", round4("score").alias("score"), "rank")
 
 
 def active_dismissals(records: DataFrame, hashes: DataFrame) -> DataFrame:

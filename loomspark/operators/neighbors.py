@@ -1,6 +1,6 @@
 """Neighbourhood of a note: breadth-first over out- and back-links, at most three levels, with a token budget.
 
-Each level is one join of the frontier with the edges. A target belongs to its first discoverer: out-links
+Each level is one join of the frontier with the edges, checkpointed with its order. A target belongs to its first discoverer: out-links
 of the whole frontier come before back-links, then the frontier's order, then the target's name. Hidden
 targets count as visited but are neither returned nor walked through.
 """
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.operators.prefix import ranked, running_sum
+
 MAX_DEPTH, DEFAULT_BUDGET = 3, 4000  # fixed values
 
 
@@ -26,7 +28,7 @@ def neighbors(e: DataFrame, origin: DataFrame, depth: int = 1, visible: DataFram
         visited = visited.unionByName(found.select("node"))
         if visible is not None:
             found = found.join(visible.select("node"), "node", "left_semi")
-        found = found.withColumn("position", F.row_number().over(Window.orderBy("back", "at", "node")))
+        found = ranked(found, ["back", "at", "node"], "position").withColumn("position", F.col("position").cast("int"))
         levels.append(found.select("node", F.lit(level).alias("depth"), "via", F.when(F.col("back") == 1, "back").otherwise("out").alias("direction"), "position"))
         frontier = found.select(F.col("node").alias("via"), F.col("position").alias("at"))
     if not levels:
@@ -39,6 +41,7 @@ def neighbors(e: DataFrame, origin: DataFrame, depth: int = 1, visible: DataFram
 
 def with_budget(found: DataFrame, budget: int = DEFAULT_BUDGET) -> DataFrame:
     """found (node, depth, direction, tokens, ...) -> also rank and included; the first note over the budget shuts out all later ones."""
-    order = Window.orderBy("depth", F.when(F.col("direction") == "out", 0).otherwise(1), "node")
-    running = F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return found.withColumn("rank", F.row_number().over(order)).withColumn("included", running <= budget)
+    back = F.when(F.col("direction") == "out", 0).otherwise(1)
+    placed = ranked(found.withColumn("_back", back), ["depth", "_back", "node"])
+    summed = running_sum(placed, "rank", "tokens", "_sum")
+    return summed.withColumn("included", F.col("_sum") <= budget).withColumn("rank", F.col("rank").cast("int")).drop("_sum", "_back")

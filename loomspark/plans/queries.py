@@ -352,7 +352,7 @@ def gaps_ranked(spark, d):
     dismissed = gaps.active_dismissals(records, p.select("note_path", F.sha1("note_path").alias("sha1")))
     # the two directions of a pair are equal up to the last bits; rounding makes them so
     even = similar.withColumn("score", F.round("score", 9))
-    return gaps.rank_pairs(even, e, graph.degrees(p.select(F.col("note_path").alias("node")), e), dismissed, 0.1, hub_degree=10)
+    return gaps.rank_pairs(even, e, graph.degrees(p.select(F.col("note_path").alias("node")), e), dismissed, 0.1, hub_degree=10).withColumn("rank", F.col("rank").cast("int"))
 
 
 @query(f"""select distinct 'weaklink|' || least(a, b) || '|' || greatest(a, b) sig from (select {PATH} a, sha1(text) ah, lead({PATH}) over (order by doc_id) b, lead(sha1(text)) over (order by doc_id) bh, doc_id from documents) where b is not null and doc_id % 5 <> 0""")

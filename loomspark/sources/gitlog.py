@@ -2,84 +2,39 @@
 
 from __future__ import annotations
 
-import os
-import re
-import subprocess
-from datetime import UTC, datetime
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomspark.policy import Policy
-from loomspark.sources.vault import walk
+from loomspark.sources import vault
+from loomspark.sources.history import GIT_FAILED, SCHEMA, git, history
 
-SCHEMA = "note_path string, ts timestamp"
 
-
-def _git(policy: Policy, *args: str) -> str | None:
-    env = {k: v for k, v in os.environ.items() if k not in ("GIT_DIR", "GIT_WORK_TREE", "GIT_INDEX_FILE")} | {"GIT_NO_LAZY_FETCH": "1"}
-    try:
-        done = subprocess.run(["git", "-C", str(policy.vault_root), "-c", "core.quotePath=false", *args], capture_output=True, check=True, env=env)
-    except (OSError, subprocess.CalledProcessError):
-        return None
-    return done.stdout.decode("utf-8", "surrogateescape")
+def revision(policy: Policy) -> tuple[str | None, bool | None]:
+    """(HEAD, whether anything is uncommitted); None where git can't say."""
+    root = str(policy.vault_root)
+    head, state = git(root, "rev-parse", "HEAD"), git(root, "status", "--porcelain", "--", ".")
+    return (head.strip() if head else None), (bool(state.strip()) if state is not None else None)
 
 
-def _own(policy: Policy, prefix: str, path: str) -> str | None:
-    """A path of the repository as a note of the vault."""
-    rel = path[len(prefix) :] if path.startswith(prefix) else None
-    return rel if rel and policy.is_note(rel) else None
+def by_mtime(spark: SparkSession, policy: Policy, since: datetime) -> DataFrame:
+    times = vault.manifest(spark, policy).select("note_path", F.timestamp_micros(F.expr("mtime_ns div 1000")).alias("ts"))
+    return times.filter(F.col("ts") >= F.lit(since))
 
 
-def committed(policy: Policy, since: datetime) -> dict[str, datetime] | None:
-    """Latest committer time of each note changed since then; None if git fails."""
-    prefix = _git(policy, "rev-parse", "--show-prefix")
-    log = prefix is not None and _git(policy, "log", f"--since={since.isoformat()}", "--pretty=format:%x01%cI", "--name-only", "--no-renames", "-z", "--", ".")
-    if prefix is None or log is None:
-        return None
-    out: dict[str, datetime] = {}
-    for commit in log.split("\x01")[1:]:
-        stamp, *names = re.split("[\n\0]", commit)
-        when = datetime.fromisoformat(stamp).astimezone(UTC)
-        for name in names:
-            rel = _own(policy, prefix.rstrip("\n"), name)
-            if rel and when >= since:
-                out[rel] = max(when, out.get(rel, when))
-    return out
+def changes(spark: SparkSession, policy: Policy, since: datetime) -> tuple[DataFrame, DataFrame]:
+    """(committed, uncommitted) as (note_path, ts), the first once a note; file times stand for both where git can't be used."""
 
+    def kept(table: str) -> DataFrame:
+        return history(spark, str(policy.vault_root), table, since).filter(policy.indexable(F.col("note_path")))
 
-def _mtime(policy: Policy, rel: str) -> datetime | None:
     try:
-        return datetime.fromtimestamp((policy.vault_root / rel).stat().st_mtime, tz=UTC)
-    except OSError:
-        return None
-
-
-def uncommitted(policy: Policy, since: datetime) -> dict[str, datetime]:
-    """Modification time of each note that git status names, inside the window; nothing if git fails."""
-    prefix = _git(policy, "rev-parse", "--show-prefix")
-    said = prefix is not None and _git(policy, "status", "--porcelain=v1", "-z", "--untracked-files=all", "--no-renames", "--", ".")
-    out = {}
-    for entry in said.split("\0") if said else []:
-        rel = _own(policy, prefix.rstrip("\n"), entry[3:])
-        when = _mtime(policy, rel) if rel else None
-        if when and when >= since:
-            out[rel] = when
-    return out
-
-
-def by_mtime(policy: Policy, since: datetime) -> dict[str, datetime]:
-    times = {e.note_path: datetime.fromtimestamp(e.mtime_ns / 1e9, tz=UTC) for e in walk(policy)}
-    return {k: v for k, v in times.items() if v >= since}
-
-
-def revision(policy: Policy) -> tuple[str | None, bool | None]:
-    """(HEAD, whether anything is uncommitted); None where git can't say."""
-    head, state = _git(policy, "rev-parse", "HEAD"), _git(policy, "status", "--porcelain", "--", ".")
-    return (head.strip() if head else None), (bool(state.strip()) if state is not None else None)
-
-
-def changes(spark: SparkSession, policy: Policy, since: datetime) -> tuple[DataFrame, DataFrame]:
-    """(committed, uncommitted) as (note_path, ts); file times stand for both where git can't be used."""
-    log = committed(policy, since)
-    sides = (log, uncommitted(policy, since)) if log is not None else (by_mtime(policy, since), {})
-    return tuple(spark.createDataFrame(sorted(s.items()), SCHEMA) for s in sides)
+        commits = kept("commits").groupBy("note_path").agg(F.max("ts").alias("ts")).persist()
+        commits.count()
+        return commits, kept("worktree")
+    except Exception as e:  # what a reader raises comes wrapped in several ways
+        if GIT_FAILED not in str(e):
+            raise
+    return by_mtime(spark, policy, since), spark.createDataFrame([], SCHEMA)
