@@ -92,7 +92,7 @@ class Engine:
         now = self.store.current()
         chunks = self._table("chunks", now)
         limit = k * hybrid.OVERFETCH
-        legs = [vector.cosine_leg(chunks, self.embedder.embed([query])[0].tolist(), limit), blockmax.top_chunks(self._table("postings", now), *self.store.statistics(now), query, limit)]
+        legs = [vector.cosine_leg(chunks, self.embedder.embed([query])[0].tolist(), limit), blockmax.Postings(self._table("postings", now), *self.store.statistics(now)).leg(query, limit)]
         pool = hybrid.fuse(legs, fusion)
         rows = chunks.join(F.broadcast(pool), "chunk_id").orderBy(F.desc("score"), "chunk_id").collect()  # two limits at most
         allowed = set(vault.visible(sorted({r["note_path"] for r in rows}), self.policy))

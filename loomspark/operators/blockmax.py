@@ -11,6 +11,8 @@ lazy plan: the k-th score is a scalar subquery.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,6 +81,18 @@ def top_chunks(blocks: DataFrame, n_docs: int | Column, avg_len: float | Column
     return _scores(weights.join(live.select("span"), "span", "left_semi"), avg).orderBy(F.desc("score"), "chunk_id").limit(limit)
 
 
+@dataclass(frozen=True)
+class Postings:
+    """Blocks of a corpus and its statistics."""
+
+    blocks: DataFrame
+    n_docs: int
+    avg_len: float | None
+
+    def leg(self, query: str, limit: int) -> DataFrame:
+        return top_chunks(self.blocks, self.n_docs, self.avg_len, query, limit)
+
+
 def count_blocks(blocks: DataFrame, n_docs: int, avg_len: float, query: str, limit: int, first: int = 2) -> tuple[int, int]:
     """(blocks scored in the end, blocks of the query's terms)."""
     weights = weighted(blocks, query_terms(query), n_docs)

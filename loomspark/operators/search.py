@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.operators.blockmax import Postings
 from loomspark.operators.fusion import Fusion, fuse
-from loomspark.operators.lexical import bm25_leg
 from loomspark.operators.vector import cosine_leg
 
 DEFAULT_K, MAX_RESULTS, OVERFETCH = 8, 25, 4  # fixed values
@@ -20,11 +20,11 @@ def clamp(k: int) -> int:
     return max(0, min(k, MAX_RESULTS))
 
 
-def search(chunks: DataFrame, post: DataFrame, lengths: DataFrame, query: str, vector: list[float], visible: DataFrame, k: int = DEFAULT_K, mode: Fusion = Fusion.RRF) -> DataFrame:
+def search(chunks: DataFrame, postings: Postings, query: str, vector: list[float], visible: DataFrame, k: int = DEFAULT_K, mode: Fusion = Fusion.RRF) -> DataFrame:
     """chunks (chunk_id, note_path, heading, text, vector), visible (note_path) -> chunk_id, note_path, heading, score, snippet, rank."""
     k = clamp(k)
     limit = k * OVERFETCH
-    legs = [cosine_leg(chunks, vector, limit), bm25_leg(post, lengths, query, limit)]
+    legs = [cosine_leg(chunks, vector, limit), postings.leg(query, limit)]
     pool = fuse(legs, mode)  # at most two limits of rows
     hits = chunks.select("chunk_id", "note_path", "heading", F.col("text").alias("snippet")).join(F.broadcast(pool), "chunk_id")
     seen = hits.join(visible.select("note_path"), "note_path", "left_semi")

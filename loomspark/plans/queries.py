@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import scalar, text
-from loomspark.operators import activity, chunker, fusion, gaps, golden, graph, lexical, neighbors, refresh, search, vector
+from loomspark.operators import activity, blockmax, chunker, fusion, gaps, golden, graph, lexical, neighbors, refresh, search, vector
+from loomspark.plans.corpus import postings_of
 from loomspark.policy import Policy
+from loomspark.sources import vault
 from loomspark.sources.files import literal_hits
 from loomspark.streaming.windows import activity_windows, sessions
 
@@ -52,6 +54,11 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.expr(_PATH_SQL).alias("note_path"), F.lit(None).cast("string").alias("heading"), "text")
 
 
+def _postings(spark: SparkSession, d: str) -> blockmax.Postings:
+    """Of all documents, from an index that is built at the first search over them."""
+    return postings_of(chunks(spark, d), f"{d}/documents.parquet")
+
+
 def vectored(spark: SparkSession, d: str) -> DataFrame:
     """Every document's chunk with a vector; vector ids run from 0."""
     e = t(spark, d, "embeddings")
@@ -103,9 +110,8 @@ def idf(spark, d):
 
 @query(f"with {BM25} select chunk_id, round(score, 6) score, row_number() over (order by score desc, chunk_id)::int as rank from lexi order by score desc, chunk_id limit 32")
 def bm25_topk(spark, d):
-    c = chunks(spark, d)
-    top = lexical.bm25_leg(lexical.postings(c), lexical.doc_lengths(c), QUERY, 32)
-    return fusion.ranked(top).select("chunk_id", F.round("score", 6).alias("score"), "rank")
+    """Over the corpus' index; blocks that can't hold one of the best are skipped."""
+    return fusion.ranked(_postings(spark, d).leg(QUERY, 32)).select("chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"""with {POST}, q as (select distinct item_id, unnest({WORDS}) term from benchmark), df as (select term, count(*) df from post where term in (select term from q) group by term),
@@ -127,9 +133,7 @@ def cosine_topk(spark, d):
 
 
 def _pool(spark, d, mode, n=32):
-    c = chunks(spark, d)
-    lex = lexical.bm25_leg(lexical.postings(c), lexical.doc_lengths(c), QUERY, n)
-    return fusion.fuse([vector.cosine_leg(vectored(spark, d), first_vector(spark, d), n), lex], mode)
+    return fusion.fuse([vector.cosine_leg(vectored(spark, d), first_vector(spark, d), n), _postings(spark, d).leg(QUERY, n)], mode)
 
 
 @query(f"with {legs(32)} select coalesce(x.chunk_id, y.chunk_id) chunk_id, round(coalesce(1 / (60.0::double + x.r), 0) + coalesce(1 / (60.0::double + y.r), 0), 9) score from l0 x full join l1 y on x.chunk_id = y.chunk_id")
@@ -175,14 +179,36 @@ def scope_filter(spark, d):
     return chunks(spark, d).filter(p.indexable(F.col("note_path"))).select("note_path")
 
 
+LISTED = f"""l as (select {PATH} lexical_path, case when doc_id % 5 = 0 then 'brain/shared.md' when doc_id % 7 = 0 then 'personal/x.md' when doc_id % 11 = 0 then '.hid/x.md' when doc_id % 13 <> 0 then {PATH} end canonical_path, doc_id % 17 <> 0 is_file, doc_id % 19 <> 0 spelling_ok from documents)"""
+
+
+def _listed(spark, d):
+    """A listing in which some paths lead elsewhere: to a shared note, a private one, a hidden one, or nowhere."""
+    path, r = F.expr(_PATH_SQL), lambda n: F.col("doc_id") % n
+    target = F.when(r(5) == 0, "brain/shared.md").when(r(7) == 0, "personal/x.md").when(r(11) == 0, ".hid/x.md").when(r(13) != 0, path)
+    return t(spark, d, "documents").select(path.alias("lexical_path"), target.alias("canonical_path"), (r(17) != 0).alias("is_file"), (r(19) != 0).alias("spelling_ok"), F.lit(1).cast("long").alias("mtime_ns"), "doc_id").withColumnRenamed("doc_id", "size")
+
+
+@query(f"with {LISTED} select lexical_path note_path from l where is_file and spelling_ok and canonical_path is not null and not starts_with(lexical_path, 'personal/') and not starts_with(canonical_path, 'personal/') and not starts_with(canonical_path, '.hid/')")
+def gated_paths(spark, d):
+    return vault.gate(_listed(spark, d), POLICY, "work")
+
+
+@query(f"with {LISTED} select canonical_path note_path, count(*) n_paths from l where is_file and spelling_ok and canonical_path is not null and not starts_with(canonical_path, '.hid/') group by 1")
+def canonical_notes(spark, d):
+    """The notes of a listing, each once, and how many paths lead to it."""
+    listed = _listed(spark, d)
+    notes = vault.notes_of(listed, POLICY)
+    return listed.filter("is_file and spelling_ok").join(notes, F.col("canonical_path") == F.col("note_path")).groupBy("note_path").agg(F.count("*").alias("n_paths"))
+
+
 def _search_sql(hidden: str, k: int) -> str:
     return f"""with {legs(4 * k)}, f as (select coalesce(x.chunk_id, y.chunk_id) chunk_id, coalesce(1 / (60.0::double + x.r), 0) + coalesce(1 / (60.0::double + y.r), 0) score from l0 x full join l1 y on x.chunk_id = y.chunk_id)
 select chunk_id, {PATH} note_path, round(score, 9) score, row_number() over (order by score desc, chunk_id)::int as rank from f join documents on doc_id::varchar = chunk_id where doc_id % 4 not in ({hidden}) qualify rank <= {k}"""
 
 
 def _search(spark, d, context, k):
-    c = vectored(spark, d)
-    found = search.search(c, lexical.postings(c), lexical.doc_lengths(c), QUERY, first_vector(spark, d), _visible(spark, d, context), k)
+    found = search.search(vectored(spark, d), _postings(spark, d), QUERY, first_vector(spark, d), _visible(spark, d, context), k)
     return found.select("chunk_id", "note_path", F.round("score", 9).alias("score"), "rank")
 
 
@@ -200,8 +226,7 @@ def hybrid_search(spark, d):
 @query(f"""with {BM25}, h as (select source note_path, score, row_number() over (order by score desc, chunk_id) r from lexi join documents on doc_id::varchar = chunk_id qualify r <= 100),
 b as (select *, row_number() over (partition by note_path order by r) n from h) select note_path, round(score, 6) score, row_number() over (order by r)::int as position from b where n = 1 qualify position <= 8""")
 def note_results(spark, d):
-    c = chunks(spark, d)
-    hits = fusion.ranked(lexical.bm25_leg(lexical.postings(c), lexical.doc_lengths(c), QUERY, 100)).join(t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("note_path"), F.col("text").alias("snippet")), "chunk_id")
+    hits = fusion.ranked(_postings(spark, d).leg(QUERY, 100)).join(t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("note_path"), F.col("text").alias("snippet")), "chunk_id")
     return search.note_results(hits).select("note_path", F.round("score", 6).alias("score"), "position")
 
 

@@ -72,13 +72,13 @@ class Folder:
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)
 
-    def files(self, name: str) -> list[tuple[str, int]]:
-        """(path below this folder, bytes) of every file under a folder, sorted; marker files are left out."""
+    def files(self, name: str) -> list[tuple[str, int, int]]:
+        """(path below this folder, bytes, time) of every file under a folder, sorted; a file's own folder holds it. Marker files are left out."""
         found, out = self._fs.listFiles(self._path(name), True), []
         top = self._path("").toUri().getPath()
         while found.hasNext():
             s = found.next()
             path = s.getPath().toUri().getPath()[len(top) + 1 :]
             if not path.rpartition("/")[2].startswith(("_", ".")):
-                out.append((path, s.getLen()))
+                out.append((path, s.getLen(), s.getModificationTime()))
         return sorted(out)

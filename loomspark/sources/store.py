@@ -190,7 +190,7 @@ class Change:
         dealt.write.partitionBy("bucket").parquet(f"{self.store.index_dir}/{place}")
         for b in touched:
             self.held[name].pop(str(b), None)
-        for path, _ in self.store.folder().files(place):
+        for path, *_ in self.store.folder().files(place):
             self.held[name].setdefault(path.split("/bucket=")[1].split("/")[0], []).append(path)
         return self.store.read(self.spark, name, {"files": self.held, "snapshot": self.snapshot}, touched)
 
