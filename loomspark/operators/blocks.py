@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-FEW_LEFT, LEFT_ROWS, RIGHT_ROWS, PIECE = 4096, 16_384, 65_536, 4096
+FEW_LEFT, LEFT_ROWS, PIECE = 4096, 16_384, 4096
 
 
 class Best:
@@ -63,11 +62,11 @@ def _rows(best: Best, names: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(names[best.group], pa.string()), pa.array(best.name, pa.string()), pa.array(best.score, pa.float64())], ["left", "right", "score"])
 
 
-def top_products(left: DataFrame, right: DataFrame, k: int, others: bool = False, few: int = FEW_LEFT, left_rows: int = LEFT_ROWS, right_rows: int = RIGHT_ROWS) -> DataFrame:
+def top_products(left: DataFrame, right: DataFrame, k: int, others: bool = False, few: int = FEW_LEFT, left_rows: int = LEFT_ROWS) -> DataFrame:
     """left, right (name string, vector) -> left, right, score, rank: the k right rows with the greatest inner product for each left row.
 
-    ``others``: a row isn't its own partner. Ties go to the name that sorts first. Up to ``few`` left rows are broadcast; more are cut
-    into blocks, as is the right side, and each two blocks meet in one task, which holds the left block and streams the right one.
+    ``others``: a row isn't its own partner. Ties go to the name that sorts first. Up to ``few`` left rows are broadcast and multiplied with all
+    right ones; more meet by clusters (``pivots``), in parts of ``left_rows`` at most, and pairs of clusters that can't give a partner are skipped.
     """
     count = left.count()
     schema = "left string, right string, score double"
@@ -87,33 +86,8 @@ def top_products(left: DataFrame, right: DataFrame, k: int, others: bool = False
 
         found = right.select("name", "vector").mapInArrow(run, schema)
     else:
-        a, b = max(1, ceil(count / left_rows)), max(1, ceil(right.count() / right_rows))
-        hashed = F.xxhash64("name")
-        upto = lambda n: F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
-        rows = left.select(F.lit(0).alias("side"), F.pmod(hashed, F.lit(a)).alias("i"), F.explode(upto(b)).alias("j"), "name", "vector")
-        rows = rows.unionByName(right.select(F.lit(1).alias("side"), F.explode(upto(a)).alias("i"), F.pmod(hashed, F.lit(b)).alias("j"), "name", "vector"))
-
-        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at, parts, left, matrix, best = None, [], None, None, None
-            for b in batches:
-                key = np.stack([b.column(c).to_numpy() for c in ("i", "j", "side")])
-                edge = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)]) if b.num_rows else []
-                for lo, hi in zip(edge, [*edge[1:], b.num_rows]):
-                    cell, part = tuple(key[:2, lo]), b.slice(lo, hi - lo).select(["name", "vector"])
-                    if cell != at:
-                        if best is not None:
-                            yield _rows(best, names)
-                        at, parts, best = cell, [], None
-                    if key[2, lo] == 0:
-                        parts.append(part)
-                    elif parts:
-                        if best is None:
-                            names, matrix = np.concatenate([_names(p.column("name")) for p in parts]), np.concatenate([_matrix(p.column("vector")) for p in parts])
-                            best, left = Best(k), {n: i for i, n in enumerate(names)}
-                        _add(best, left, matrix, part, others)
-            if best is not None:
-                yield _rows(best, names)
-
-        found = rows.repartition("i", "j").sortWithinPartitions("i", "j", "side").mapInArrow(meet, schema)
+        from loomspark.operators import pivots
+
+        found = pivots.top_products(left, right, k, others, left_rows)
     w = Window.partitionBy("left").orderBy(F.desc("score"), "right")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -4,14 +4,15 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loomspark.operators import fusion, lexical, vector
+from loomspark.operators import fusion, lexical, pivots, vector
 from loomspark.operators.blocks import top_products
 from loomspark.operators.embed import OnnxEmbedder
 
 
-@pytest.mark.parametrize("options", [{}, {"few": 0, "left_rows": 7, "right_rows": 11}])
+@pytest.mark.parametrize("options", [{}, {"few": 0, "left_rows": 7}, {"few": 0}])
 @pytest.mark.parametrize("others", [True, False])
 def test_top_products(spark, options, others):
     rng = np.random.default_rng(1)
@@ -29,6 +30,29 @@ def test_top_products(spark, options, others):
     assert top_products(empty, frame, 3, others, **options).count() == top_products(frame, empty, 3, others, **options).count() == 0
 
 
+@pytest.mark.parametrize("copies", [False, True])
+def test_clusters_that_can_not_give_a_partner_are_skipped(spark, copies):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16))
+    v = np.repeat(centres, 40, axis=0) + rng.normal(size=(480, 16)) * 0.02
+    if copies:
+        v[:200] = v[0]  # more equal rows than a part holds
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    names = [f"n{i:03}" for i in range(480)]
+    frame = spark.createDataFrame([(n, x.tolist()) for n, x in zip(names, v)], "name string, vector array<double>").repartition(3)
+    counts = {}
+    found = pivots.top_products(frame, frame, 5, True, 64, counts)
+    w = Window.partitionBy("left").orderBy(F.desc("score"), "right")
+    got = {(r["left"], r["right"]) for r in found.withColumn("r", F.row_number().over(w)).filter("r <= 5").collect()}
+    exact = v @ v.T
+    np.fill_diagonal(exact, -np.inf)
+    score = {(r["left"], r["right"]): r["score"] for r in found.collect()}
+    for i, n in enumerate(names):
+        best = np.sort(exact[i])[-5:]
+        assert np.allclose(sorted(score[n, m] for a, m in got if a == n), best, atol=1e-12)
+    assert counts["all"] == 480 * 480 and (copies or counts["made"] < counts["all"] / 3)
+
+
 def test_cosine_batch_is_cosine_leg(spark):
     rng = np.random.default_rng(2)
     rows = [(f"c{i}", rng.standard_normal(6).tolist()) for i in range(40)] + [("zero", [0.0] * 6), ("none", None)]
