@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark import VERSION
-from loomspark.functions.text import FrontmatterError, parse_note, parse_note_udf, word_count
+from loomspark.functions.text import FrontmatterError, parse_note, word_count
 from loomspark.operators import activity, blockmax, gaps, golden, graph, lexical, refresh, vector
 from loomspark.operators import neighbors as walk
 from loomspark.operators import search as hybrid
@@ -115,13 +115,9 @@ class Engine:
     # ------------------------------------------------------------ graph
 
     def edges(self, listed: DataFrame | None = None) -> DataFrame:
-        """Links between all notes of the vault; their texts are read and parsed on the executors."""
+        """Links between all notes of the vault as they are now; only notes that the index doesn't know are read, on the executors."""
         notes = vault.notes_of(vault.listing(self.spark, self.policy) if listed is None else listed, self.policy)
-        text = vault.contents(notes.select("note_path"), self.policy).select("note_path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
-        parsed = text.withColumn("p", parse_note_udf("text"))
-        broken = F.col("p.error").isNotNull()
-        aliases = F.when(broken | F.col("p.aliases").isNull(), F.array().cast("array<string>")).otherwise(F.col("p.aliases"))
-        return graph.edges(parsed.select("note_path", F.when(broken, F.col("text")).otherwise(F.col("p.body")).alias("text"), aliases.alias("aliases"))).persist()
+        return index.edges_now(self.spark, self.policy, self.store, notes).persist()
 
     def neighbors(self, path: str, depth: int = 1, token_budget: int = walk.DEFAULT_BUDGET) -> Neighborhood:
         real = vault.resolve(path, self.policy).relative_to(self.policy.vault_root.resolve()).as_posix()

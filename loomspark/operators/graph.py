@@ -8,11 +8,11 @@ filtered out before, so that they can't make a name ambiguous.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.functions.text import WIKI  # noqa: F401  (the display form; targets are below)
-
 TARGET = r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]"
 
 
@@ -50,6 +50,31 @@ def edges(notes: DataFrame) -> DataFrame:
     return hit.filter("src <> dst").distinct()
 
 
+def name_changes(names: DataFrame, gone: DataFrame, new_names: DataFrame) -> DataFrame:
+    """names, new_names (name, note_path, tier), gone (note_path) -> name, dst: the names that stand for another note, or for none (null), when the
+    names of gone notes are replaced by the new ones. Only names of these notes are looked at."""
+    asked = names.join(gone, "note_path", "left_semi").select("name").unionByName(new_names.select("name")).distinct()
+    held = names.join(asked, "name", "left_semi")
+    before = resolved_names(held).select("name", F.col("note_path").alias("was"))
+    after = resolved_names(held.join(gone, "note_path", "left_anti").unionByName(new_names)).select("name", F.col("note_path").alias("dst"))
+    return before.join(after, "name", "full_outer").filter(~F.col("was").eqNullSafe(F.col("dst"))).select("name", "dst")
+
+
+def mended_edges(old: DataFrame, old_links: DataFrame, names: DataFrame, gone: DataFrame, new_links: DataFrame, changed: DataFrame) -> DataFrame:
+    """Edges (src, target, dst) after a change, from those before it: only links of new notes, and links to changed names, are resolved.
+
+    old (src, target, dst), old_links, new_links (src, target), names (name, note_path, tier; as they are after the change), gone (note_path: removed and
+    changed notes), changed (as ``name_changes`` gives it).
+    """
+    left = gone.select(F.col("note_path").alias("src"))
+    kept = old.join(left, "src", "left_anti").join(changed.select(F.col("name").alias("target")), "target", "left_anti")
+    moved = old_links.join(left, "src", "left_anti").join(changed.select(F.col("name").alias("target"), "dst"), "target").filter("dst is not null")
+    sought = names.join(new_links.select(F.col("target").alias("name")).distinct(), "name", "left_semi")
+    fresh = new_links.join(resolved_names(sought).select(F.col("name").alias("target"), F.col("note_path").alias("dst")), "target")
+    rows = reduce(DataFrame.unionByName, [f.select("src", "target", "dst") for f in (kept, moved, fresh)])
+    return rows.filter("src <> dst")
+
+
 def undirected(e: DataFrame) -> DataFrame:
     return e.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
 

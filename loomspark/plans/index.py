@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import fence_defect_udf, parse_note_udf, render_udf
+from loomspark.operators import graph
 from loomspark.operators.blockmax import block_postings, lengths
 from loomspark.operators.chunker import chunk_notes
 from loomspark.operators.embed import Embedder
 from loomspark.operators.refresh import replace_rows
 from loomspark.policy import Policy
-from loomspark.sources.store import BUCKET_BYTES, TABLES, IndexStore, bucket_of, buckets_for
+from loomspark.sources.store import BUCKET_BYTES, TABLES, Change, IndexStore, bucket_of, buckets_for
 from loomspark.sources.vault import contents, manifest
 
 
@@ -78,12 +81,12 @@ def _write(spark: SparkSession, store: IndexStore, base: dict | None, embedder:
     at = bucket_of(F.col("note_path"), buckets)
     parsed = _parsed(changed.select("note_path", "content")).cache()
     new_chunks = chunk_notes(parsed, embedder.count_tokens).cache()
+    gone = changed.select("note_path").unionByName(removed).persist()
     try:
         defects = tuple(r[0] for r in _defects(parsed).orderBy("defect").collect())  # a line for each broken note
         chunkable = parsed.agg(F.sum(F.length(render_udf("body")) + F.coalesce(F.length("description"), F.lit(0)))).first()[0] or 0
         embedded = new_chunks.agg(F.sum(F.length("text"))).first()[0] or 0
 
-        gone = changed.select("note_path").unionByName(removed)
         some = every if whole else {r[0] for r in gone.select(at.alias("b")).distinct().collect()}  # numbers of buckets
         timed = every if whole else some | {r[0] for r in touched.select(at.alias("b")).distinct().collect()}
         old = lambda name, which: store.read(spark, name, base, None if whole else which) if base else spark.createDataFrame([], TABLES[name])
@@ -91,17 +94,83 @@ def _write(spark: SparkSession, store: IndexStore, base: dict | None, embedder:
         change = store.begin(spark, base, buckets)
         recorded = ["note_path", "sha256", "mtime_ns"]
         notes = replace_rows(old("notes", timed), changed.select(*recorded).unionByName(touched.select(*recorded)), gone.unionByName(touched.select("note_path")))
-        change.write("notes", notes.withColumn("bucket", at), timed)
         texts = replace_rows(old("note_text", some), parsed.select("note_path", "text", "description", "tags", "aliases"), gone)
-        change.write("note_text", texts.withColumn("bucket", at), some)
         chunks = replace_rows(old("chunks", some), new_chunks.withColumn("vector", embedder.column(F.col("text"))), gone)
-        written = change.write("chunks", chunks.withColumn("bucket", at), some).withColumn("bucket", at)
-        change.write("postings", block_postings(written), some)
-        held = lengths(written)
-        change.write("doc_len", held, some)
-        change.count(held, some)
+
+        def write_chunks() -> None:
+            written = change.write("chunks", chunks.withColumn("bucket", at), some).withColumn("bucket", at)
+            held = lengths(written)
+            _together(lambda: change.write("postings", block_postings(written), some), lambda: change.write("doc_len", held, some), lambda: change.count(held, some))
+
+        _together(
+            write_chunks,
+            lambda: change.write("notes", notes.withColumn("bucket", at), timed),
+            lambda: change.write("note_text", texts.withColumn("bucket", at), some),
+            lambda: _write_graph(store, spark, base, change, parsed, gone, some, every, whole, at),
+        )
         change.commit(embedder.identity)
     finally:
-        for frame in (parsed, new_chunks):
+        for frame in (parsed, new_chunks, gone):
             frame.unpersist()
     return RefreshReport(**counts, defects=defects, chars_chunkable=chunkable, chars_embedded=embedded)
+
+
+def _together(*jobs: Callable[[], object]) -> None:
+    """Run jobs that don't wait for each other side by side; the first error is raised when all are over."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        for done in [pool.submit(job) for job in jobs]:
+            done.result()
+
+
+def linked(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """parsed (as ``_parsed`` gives it) -> links (src, target), names (name, note_path, tier). A note whose head is broken is all text."""
+    broken = F.col("error").isNotNull()
+    aliases = F.when(broken | F.col("aliases").isNull(), F.array().cast("array<string>")).otherwise(F.col("aliases"))
+    notes = parsed.select("note_path", F.when(broken, F.col("text")).otherwise(F.col("body")).alias("text"), aliases.alias("aliases"))
+    return graph.links(notes), graph.catalog(notes)
+
+
+def _write_graph(store: IndexStore, spark: SparkSession, base: dict | None, change: Change, parsed: DataFrame, gone: DataFrame, some: set[int], every: set[int], whole: bool, at: Column) -> None:
+    """Links and names of the touched buckets, and the edges of these and of all notes that link to a name which now stands for something else."""
+    old = lambda name, which=None: store.read(spark, name, base, which) if base else spark.createDataFrame([], TABLES[name])
+    by_src = lambda frame: frame.withColumnRenamed("note_path", "src")
+    new_links, new_names = linked(parsed)
+    changed = graph.name_changes(old("names"), gone, new_names).persist()
+    try:
+        moved = by_src(old("links")).join(changed.select(F.col("name").alias("target")), "target", "left_semi")
+        touched = every if whole else some | {r[0] for r in moved.select(F.col("src").alias("note_path")).select(at.alias("b")).distinct().collect()}
+        names = replace_rows(old("names"), new_names, gone)
+        edges = graph.mended_edges(by_src(old("edges", None if whole else touched)), by_src(old("links")), names, gone, new_links, changed)
+        change.write("edges", edges.select(F.col("src").alias("note_path"), "target", "dst").withColumn("bucket", at), touched)
+    finally:
+        changed.unpersist()
+    links = replace_rows(old("links", None if whole else some), new_links.withColumnRenamed("src", "note_path"), gone)
+    own = replace_rows(old("names", None if whole else some), new_names, gone)
+    _together(lambda: change.write("links", links.withColumn("bucket", at), some), lambda: change.write("names", own.withColumn("bucket", at), some))
+
+
+def edges_now(spark: SparkSession, policy: Policy, store: IndexStore, walked: DataFrame) -> DataFrame:
+    """src, dst between the notes of walked (note_path, mtime_ns): edges of the snapshot, mended for notes that have changed since.
+
+    Only the contents of these are read; without a snapshot, of all.
+    """
+    base = store.current()
+    if base is None:
+        new_links, new_names = linked(_parsed(contents(walked.select("note_path"), policy)))
+        names = graph.resolved_names(new_names)
+        found = new_links.join(names, F.col("target") == F.col("name")).select("src", F.col("note_path").alias("dst"))
+        return found.filter("src <> dst").distinct()
+    edges = store.read(spark, "edges", base).withColumnRenamed("note_path", "src")
+    prior = store.read(spark, "notes", base).select("note_path", F.col("mtime_ns").alias("m0"))
+    changed = walked.select("note_path", "mtime_ns").join(prior, "note_path", "left").filter("m0 is null or m0 <> mtime_ns").select("note_path").persist()
+    removed = prior.join(walked, "note_path", "left_anti").select("note_path")
+    try:
+        if changed.isEmpty() and removed.isEmpty():
+            return edges.select("src", "dst").distinct()
+        new_links, new_names = linked(_parsed(contents(changed, policy)))
+        gone, names = changed.unionByName(removed), store.read(spark, "names", base)
+        links = store.read(spark, "links", base).withColumnRenamed("note_path", "src")
+        mended = graph.mended_edges(edges, links, replace_rows(names, new_names, gone), gone, new_links, graph.name_changes(names, gone, new_names))
+        return mended.select("src", "dst").distinct()
+    finally:
+        changed.unpersist()

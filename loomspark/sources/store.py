@@ -30,9 +30,12 @@ TABLES = {
     "chunks": "chunk_id string, note_path string, chunk_index int, heading string, parent_ref string, text string, token_count int, vector array<float>",
     "postings": "term string, span long, n int, max_tf long, min_len long, chunk_ids array<string>, tfs array<long>, lens array<long>",
     "doc_len": "chunk_id string, len long",
+    "links": "note_path string, target string",
+    "names": "name string, note_path string, tier int",
+    "edges": "note_path string, target string, dst string",
 }
 #: Order of rows in a file; a query's terms then prune row groups and pages.
-SORTED = {"notes": ["note_path"], "note_text": ["note_path"], "chunks": ["note_path", "chunk_index"], "postings": ["term", "span"], "doc_len": ["chunk_id"]}
+SORTED = {"notes": ["note_path"], "note_text": ["note_path"], "chunks": ["note_path", "chunk_index"], "postings": ["term", "span"], "doc_len": ["chunk_id"], "links": ["target"], "names": ["name"], "edges": ["note_path"]}
 LEAST_BUCKETS, BUCKET_BYTES = 16, 64 << 20
 
 

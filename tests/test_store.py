@@ -25,7 +25,7 @@ def rows(store, spark, name, now=None):
 def test_one_change_of_many_notes_writes_few_files(spark, vault):
     random.seed(1)
     words = [f"word{i}" for i in range(300)]
-    notes = {f"d{i % 20}/n{i}.md": " ".join(random.choices(words, k=20)) for i in range(1000)}
+    notes = {f"d{i % 20}/n{i}.md": " ".join(random.choices(words, k=20)) + f" [[n{(i * 7) % 1000}]]" for i in range(1000)}
     root = vault(notes)
     engine = Engine(spark, Policy.for_vault(root))
     assert engine.index().added == 1000
@@ -72,6 +72,35 @@ def test_two_writers_and_new_buckets(spark, vault):
     assert {name: rows(store, spark, name) for name in TABLES} == before
 
 
+def test_edges_are_mended_as_a_rebuild_makes_them(spark, vault, monkeypatch):
+    """Names that become ambiguous, single again, or an alias; edges of the vault as it is, and of the index after it has caught up."""
+    random.seed(6)
+    notes = {f"d{i % 3}/n{i}.md": f"---\naliases: [al{i % 9}]\n---\n" + " ".join(f"[[{random.choice(['n', 'al'])}{random.randint(0, 24)}]]" for _ in range(4)) for i in range(20)}
+    root = vault(notes)
+    engine = Engine(spark, Policy.for_vault(root))
+    engine.index()
+    changes = [
+        {"d9/n3.md": "[[n4]]", "d0/n0.md": None},
+        {"d9/n3.md": None, "d1/n1.md": "---\naliases: [al3, n24]\n---\n[[al3]] [[n5]]", "d2/n2.md": "no links"},
+        {"d9/n7.md": "[[d9/n7]] [[al0]]", "x.md": "---\naliases: [n24]\n---\n"},
+    ]
+    pairs = lambda frame: sorted((r["src"], r["dst"]) for r in frame.collect())
+    for k, change in enumerate(changes):
+        for path, text in change.items():
+            (root / path).parent.mkdir(exist_ok=True)
+            (root / path).unlink() if text is None else (root / path).write_text(text)
+        whole = Engine(spark, Policy.for_vault(root, root / f".none{k}"))  # no index: everything is read
+        want = pairs(whole.edges())
+        read = []
+        monkeypatch.setattr(index, "contents", lambda notes, policy, of=index.contents: read.append(notes.count()) or of(notes, policy))
+        assert pairs(engine.edges()) == want
+        monkeypatch.undo()
+        assert read == [sum(t is not None for t in change.values())]  # only what is new is read
+        engine.index()
+        held = engine.store.read(spark, "edges")
+        assert pairs(held.select(held["note_path"].alias("src"), "dst").distinct()) == want == pairs(engine.edges())
+
+
 def test_put_if_absent(spark, tmp_path):
     folder = Folder(spark, tmp_path / "x y")
     assert folder.names() == [] and folder.put_if_absent("a/one", "first")
