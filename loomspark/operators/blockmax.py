@@ -32,11 +32,12 @@ def lengths(chunks: DataFrame) -> DataFrame:
 
 def block_postings(chunks: DataFrame, span: int = SPAN) -> DataFrame:
     """chunks (chunk_id, text, bucket; a bucket's chunks are few enough for one task) -> bucket, term, span, n, max_tf, min_len, chunk_ids, tfs, lens."""
-    words = chunks.select("chunk_id", "bucket", tokenize(F.coalesce("text", F.lit(""))).alias("w")).withColumn("len", F.size("w").cast("long"))
+    dealt = chunks.select("bucket", "chunk_id", F.coalesce("text", F.lit("")).alias("text")).repartition("bucket")  # the only shuffle: what follows stays in a bucket
+    words = dealt.select("bucket", "chunk_id", tokenize(F.col("text")).alias("w")).withColumn("len", F.size("w").cast("long"))
     place = F.row_number().over(Window.partitionBy("bucket").orderBy("len", "chunk_id")) - 1
-    spans = words.select("bucket", "chunk_id", "len").withColumn("span", F.col("bucket").cast("long") * (1 << 32) + F.floor(place / span))
-    terms = words.select("bucket", "chunk_id", F.explode("w").alias("term")).groupBy("bucket", "chunk_id", "term").agg(F.count("*").alias("tf"))
-    met = terms.join(spans, ["bucket", "chunk_id"]).groupBy("bucket", "span", "term").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "tf", "len"))).alias("p"))  # at most a span's chunks
+    spans = words.withColumn("span", F.col("bucket").cast("long") * (1 << 32) + F.floor(place / span))
+    terms = spans.select("bucket", "span", "chunk_id", "len", F.explode("w").alias("term")).groupBy("bucket", "span", "chunk_id", "len", "term").agg(F.count("*").alias("tf"))
+    met = terms.groupBy("bucket", "span", "term").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "tf", "len"))).alias("p"))  # at most a span's chunks
     own = lambda field: F.transform("p", lambda x: x[field])
     return met.select("bucket", "term", "span", F.size("p").alias("n"), F.array_max(own("tf")).alias("max_tf"), F.array_min(own("len")).alias("min_len"), own("chunk_id").alias("chunk_ids"), own("tf").alias("tfs"), own("len").alias("lens"))
 

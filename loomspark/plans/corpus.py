@@ -37,6 +37,6 @@ def _build(spark: SparkSession, chunks: DataFrame, buckets: int) -> tuple[str, i
     folder = f"{spark.sparkContext.getCheckpointDir()}/corpus-{uuid.uuid4().hex}"
     dealt = chunks.select("chunk_id", "text", bucket_of(F.col("chunk_id"), buckets).alias("bucket"))
     columns = [c.split()[0] for c in TABLES["postings"].split(", ")]
-    block_postings(dealt).repartitionByRange("term", "span").sortWithinPartitions(*SORTED["postings"]).select(*columns).write.parquet(f"{folder}/postings")
+    block_postings(dealt).sortWithinPartitions(*SORTED["postings"]).select(*columns).write.parquet(f"{folder}/postings")
     n, terms = lengths(dealt).agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
     return folder, n, terms
