@@ -20,8 +20,8 @@ class Best:
         self.k = k
         self.group, self.score, self.name = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
 
-    def add(self, scores: np.ndarray, names: np.ndarray) -> None:
-        """scores: groups x names; -inf is no partner."""
+    def add(self, scores: np.ndarray, names: np.ndarray, groups: np.ndarray | None = None) -> None:
+        """scores: groups (by number, all in order by default) x names; -inf is no partner."""
         if not scores.size:
             return
         if scores.shape[1] > self.k:
@@ -30,6 +30,7 @@ class Best:
         else:
             own = scores > -np.inf
         group, at = np.nonzero(own)
+        group = group if groups is None else groups[group]
         group, score, name = np.r_[self.group, group], np.r_[self.score, scores[own]], np.r_[self.name, names[at]]
         by_name = pc.rank(pa.array(name, pa.string()), tiebreaker="dense").to_numpy().astype(np.int64)
         order = np.lexsort((by_name, -score, group))

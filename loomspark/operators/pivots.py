@@ -7,7 +7,8 @@ bound reaches the least of these; in the task, only rows whose own bound <u, q>
 Bounds are compared with a little room, since products round.
 
 Scale: pivots (the square root of the right rows, ``MOST`` at most, chosen far apart among four times as many) and what is known of their clusters go through the driver; rows never do.
-Clusters of more than ``block_rows`` rows meet in a grid of parts, so no task holds a large one. The work is rows x pivots, and the
+Clusters travel in blocks of about ``block_rows`` rows, larger ones in a grid of parts, so no task holds many rows and none is copied
+more often than there are blocks. The work is rows x pivots, and the
 products of clusters that can't be told apart; where vectors have no clusters at all, that is all of them.
 """
 
@@ -61,26 +62,44 @@ def _by_cluster(rows: DataFrame, pivots: int, **columns) -> dict[str, np.ndarray
     return out
 
 
-def _met(left: DataFrame, right: DataFrame, pairs: np.ndarray, sizes: tuple[np.ndarray, np.ndarray], radius: np.ndarray, shared, k: int, others: bool, block_rows: int) -> DataFrame:
-    """left (name, vector, c, norm, least), right (name, vector, c) -> left, right, score of the best k of each left row in each two clusters that meet."""
-    spark, (a, c) = left.sparkSession, pairs.T
-    cut = [np.maximum(1, np.ceil(s / block_rows)).astype(np.int64) for s in sizes]
-    table = pa.table({"a": a, "b": c, "cut_a": cut[0][a], "cut_b": cut[1][c]})
-    meetings = F.broadcast(spark.createDataFrame(table))  # the square of the pivots at most
+def _blocks(sizes: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbouring clusters go into one block while it has at most ``block_rows`` rows -> (block of each cluster, parts of each block)."""
+    block, rows = np.zeros(len(sizes), np.int64), []
+    for x, n in enumerate(sizes):
+        if rows and rows[-1] + n <= block_rows:
+            rows[-1] += n
+        else:
+            rows.append(n)
+        block[x] = len(rows) - 1
+    return block, np.maximum(1, np.ceil(np.array(rows) / block_rows)).astype(np.int64)
+
+
+def _met(left: DataFrame, right: DataFrame, meet_: np.ndarray, sizes: tuple[np.ndarray, np.ndarray], radius: np.ndarray, shared, k: int, others: bool, block_rows: int) -> DataFrame:
+    """left (name, vector, c, norm, least), right (name, vector, c), meet_ (which clusters meet) -> left, right, score of the best k of each left row in each two blocks.
+
+    Clusters travel in blocks, so a row is copied once for each block of the other side that holds a cluster which it is to meet.
+    """
+    spark = left.sparkSession
+    (block_a, cut_a), (block_b, cut_b) = (_blocks(n, block_rows) for n in sizes)
+    a, b = np.unique(np.stack([block_a[np.nonzero(meet_)[0]], block_b[np.nonzero(meet_)[1]]]), axis=1)
+    pairs = pa.table({"a": a, "b": b, "cut_a": cut_a[a], "cut_b": cut_b[b]})
+    of = lambda block, name: F.broadcast(spark.createDataFrame(pa.table({"c": np.arange(len(block)), name: block})))  # noqa: E731  a row for each pivot
+    meetings = F.broadcast(spark.createDataFrame(pairs))  # the square of the blocks, of which there are no more than pivots
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     own = lambda n: F.pmod(F.xxhash64("name"), F.col(n))
-    l = left.join(meetings, left["c"] == F.col("a")).select("a", "b", own("cut_a").alias("i"), F.explode(upto("cut_b")).alias("j"), F.lit(0).alias("side"), "name", "vector", "norm", "least")  # noqa: E741
-    r = right.join(meetings, right["c"] == F.col("b")).select("a", "b", F.explode(upto("cut_a")).alias("i"), own("cut_b").alias("j"), F.lit(1).alias("side"), "name", "vector", F.lit(0.0).alias("norm"), F.lit(0.0).alias("least"))
-    far = spark.sparkContext.broadcast(radius)
+    l = left.join(of(block_a, "a"), "c").join(meetings, "a").select("a", "b", own("cut_a").alias("i"), F.explode(upto("cut_b")).alias("j"), F.lit(0).alias("side"), "c", "name", "vector", "norm", "least")  # noqa: E741
+    r = right.join(of(block_b, "b"), "c").join(meetings, "b").select("a", "b", F.explode(upto("cut_a")).alias("i"), own("cut_b").alias("j"), F.lit(1).alias("side"), "c", "name", "vector", F.lit(0.0).alias("norm"), F.lit(0.0).alias("least"))
+    far = spark.sparkContext.broadcast((radius, meet_))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots, radius = shared.value, far.value
+        pivots, (radius, allowed) = shared.value, far.value
         at, parts, best = None, [], None
         for b in batches:
-            key = np.stack([b.column(n).to_numpy() for n in ("a", "b", "i", "j", "side")])
+            key = np.stack([b.column(n).to_numpy() for n in ("a", "b", "i", "j", "side", "c")])
+            key[5, key[4] == 0] = 0  # left rows come together, right ones by cluster
             edge = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)]) if b.num_rows else []
             for lo, hi in zip(edge, [*edge[1:], b.num_rows]):
-                cell, part = tuple(key[:4, lo]), b.slice(lo, hi - lo)
+                cell, part, c = tuple(key[:4, lo]), b.slice(lo, hi - lo), key[5, lo]
                 if cell != at:
                     if best is not None:
                         yield _rows(best, names)
@@ -92,24 +111,28 @@ def _met(left: DataFrame, right: DataFrame, pairs: np.ndarray, sizes: tuple[np.n
                     continue
                 if best is None:
                     matrix = np.concatenate([_matrix(p.column("vector")) for p in parts])
-                    norm, least = (np.concatenate([p.column(n).to_numpy() for p in parts]) for n in ("norm", "least"))
-                    bound = matrix @ pivots[cell[1]] + norm * radius[cell[1]]
-                    live = bound >= least - ROOM * (1 + np.abs(bound))
-                    names, matrix = np.concatenate([_names(p.column("name")) for p in parts])[live], matrix[live]
+                    norm, least, cluster = (np.concatenate([p.column(n).to_numpy() for p in parts]) for n in ("norm", "least", "c"))
+                    names = np.concatenate([_names(p.column("name")) for p in parts])
                     best, place = Best(k), {n: x for x, n in enumerate(names)}
-                for start in range(0, part.num_rows if len(names) else 0, PIECE):
+                bound = matrix @ pivots[c] + norm * radius[c]
+                live = np.flatnonzero(allowed[cluster, c] & (bound >= least - ROOM * (1 + np.abs(bound))))
+                if not len(live):
+                    continue
+                row = np.full(len(names), -1)
+                row[live] = np.arange(len(live))
+                for start in range(0, part.num_rows, PIECE):
                     piece = part.slice(start, PIECE)
                     right_names = _names(piece.column("name"))
-                    scores = matrix @ _matrix(piece.column("vector")).T
+                    scores = matrix[live] @ _matrix(piece.column("vector")).T
                     if others:
                         for x, n in enumerate(right_names):
-                            if n in place:
-                                scores[place[n], x] = -np.inf
-                    best.add(scores, right_names)
+                            if (y := place.get(n, -1)) >= 0 and row[y] >= 0:
+                                scores[row[y], x] = -np.inf
+                    best.add(scores, right_names, live)
         if best is not None:
             yield _rows(best, names)
 
-    return l.unionByName(r).repartition("a", "b", "i", "j").sortWithinPartitions("a", "b", "i", "j", "side").mapInArrow(meet, "left string, right string, score double")
+    return l.unionByName(r).repartition("a", "b", "i", "j").sortWithinPartitions("a", "b", "i", "j", "side", "c").mapInArrow(meet, "left string, right string, score double")
 
 
 def top_products(left: DataFrame, right: DataFrame, k: int, others: bool = False, block_rows: int = BLOCK_ROWS, counts: dict | None = None) -> DataFrame:
@@ -137,7 +160,7 @@ def top_products(left: DataFrame, right: DataFrame, k: int, others: bool = False
         order = held[np.argsort(-products[x, held], kind="stable")]
         enough = np.searchsorted(np.cumsum(sizes[1][order]), k + others)
         first[x, order[: enough + 1]] = True
-    start = checkpoint(_met(a.withColumn("least", F.lit(float("-inf"))), b, np.argwhere(first), sizes, radius, shared, k, others, block_rows))
+    start = checkpoint(_met(a.withColumn("least", F.lit(float("-inf"))), b, first, sizes, radius, shared, k, others, block_rows))
 
     place = F.row_number().over(Window.partitionBy("left").orderBy(F.desc("score"), "right"))
     kth = start.withColumn("place", place).filter(F.col("place") == k).select(F.col("left").alias("name"), F.col("score").alias("least"))
@@ -150,4 +173,4 @@ def top_products(left: DataFrame, right: DataFrame, k: int, others: bool = False
         counts |= {"made": int(area[first | then].sum()), "all": int(area.sum())}
     if not then.any():
         return start
-    return start.unionByName(_met(known, b, np.argwhere(then), sizes, radius, shared, k, others, block_rows))
+    return start.unionByName(checkpoint(_met(known, b, then, sizes, radius, shared, k, others, block_rows)))
