@@ -5,9 +5,14 @@ read as streams, many of them in step, character by character. Each stream keeps
 ``longest`` boundaries (no piece is longer) and the backpointers since its last committed boundary. Every ``longest``
 characters or more, and where streams end, the paths that survive (the backpointer chains from the boundaries that a later piece
 can still start from; at an end, from that boundary alone) are followed back together: the last boundary through which
-all of them pass is committed, the ids before it are given out and its rows are dropped. So memory is
-bounded for texts of any length whose paths meet (in a run of one repeated character they may never do: its
-rows are kept, and looked at again each time they have doubled), and ids never change after they are given out.
+all of them pass is committed, the ids before it are given out and its rows are dropped. So ids never change
+after they are given out, and memory is bounded where paths meet.
+
+In a run of one repeated character, or of a few, they may never meet. But there the scores of the window, taken
+relative to its last, soon come back, and from then on the backpointers repeat with a period as long as the run
+goes on. Streams with a run of ``RUN`` characters or more are coded one by one (``Alone``): where the relative
+scores have come back, which is compared exactly, the rest of the run is kept as one period of rows with its
+count, and no row is made for it. The result is that of the recurrence row by row.
 
 The pieces that end at a character come from one walk of a trie of the vocabulary for each boundary still open; a
 walk ends where no piece goes on. Ties go to the longer last piece.
@@ -29,7 +34,9 @@ repeated rows are encoded one by one; an empty table gives an empty result; extr
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -43,6 +50,7 @@ ZIPF_SHIFT, UNIT = 1000.0, 1 << 20
 BYTE_SCORE, NEVER = -30 * UNIT, -(1 << 60)
 CHUNK_CHARS, STREAMS, MEMO = 1 << 19, 20_000, 1 << 18
 PAIR_BITS = 18
+RUN = 256
 LITERAL = 0x110000  # stands for a U+2581 of the text itself: a code that no piece has
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -237,10 +245,184 @@ class Windows:
             self.next_look = max(len(self.back) + self.v.longest, 2 * len(self.back))
 
 
+def repeats(codes: np.ndarray, longest: int, least: int = RUN) -> list[tuple[int, int, int]]:
+    """(period, start, end) of the stretches of at least ``least`` codes that repeat with a period of up to ``longest``."""
+    out = []
+    for q in range(1, min(longest, len(codes) - 1) + 1):
+        differ = np.r_[-1, np.flatnonzero(codes[q:] != codes[:-q]), len(codes) - q]
+        long = np.flatnonzero(np.diff(differ) + q - 1 >= least)
+        out += [(q, int(differ[k]) + 1, int(differ[k + 1]) + q) for k in long]
+    return out
+
+
+@dataclass
+class Rows:
+    """Backpointers of the boundaries start + 1 .. end: the length and id of the last piece. Boundary b has row (b - origin - 1) modulo their number."""
+
+    start: int
+    end: int
+    origin: int
+    width: bytearray
+    ids: array
+    periodic: bool = False
+
+    def down(self, b: int, ends: list[np.ndarray] | None = None, ids: list[np.ndarray] | None = None) -> int:
+        """The boundary at or below ``start`` to which the path through b leads; its pieces, last first, go to ends and ids."""
+        n, seen, path, names = len(self.width), {} if self.periodic else None, [], []
+        while b > self.start:
+            row = (b - self.origin - 1) % n
+            if seen is not None and row in seen:
+                above, first = seen[row]
+                turn, seen = above - b, None
+                times = (b - self.start) // turn
+                if ends is not None and times:
+                    again = np.array(path[first:]) - turn * np.arange(1, times + 1)[:, None]
+                    ends += [np.array(path), again.ravel()]
+                    ids += [np.array(names), np.tile(names[first:], times)]
+                    path, names = [], []
+                b -= times * turn
+                continue
+            if seen is not None:
+                seen[row] = (b, len(path))
+            if ends is not None:
+                path.append(b)
+                names.append(self.ids[row])
+            b -= self.width[row]
+        if path:
+            ends.append(np.array(path))
+            ids.append(np.array(names))
+        return b
+
+
+class Alone:
+    """The Viterbi recurrence over one stream, with its long runs taken period by period."""
+
+    def __init__(self, v: Vocabulary, codes: np.ndarray, runs: list[tuple[int, int, int]]):
+        self.v, self.n, self.runs = v, len(codes), sorted(runs)
+        self.text = np.where(codes == LITERAL, 0x10FFFF, codes).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        self.size = _utf8_size(codes).astype(np.uint8).tobytes()
+        self.known: dict[str, list[tuple[int, int, int]]] = {}
+        self.parts = [Rows(0, 0, 0, bytearray(), array("i"))]
+        self.done, self.most_kept = 0, 0
+        self.ends: list[np.ndarray] = []
+        self.ids: list[np.ndarray] = []
+
+    def pieces(self, end: int) -> list[tuple[int, int, int]]:
+        """(length, score, id) of the pieces that end at a boundary, the longest first."""
+        window = self.text[max(0, end - self.v.longest) : end]
+        got = self.known.get(window)
+        if got is None:
+            if len(self.known) >= 1 << 14:
+                self.known.clear()
+            tails = ((k, self.v.score.get(window[len(window) - k :])) for k in range(len(window), 0, -1))
+            got = self.known[window] = [(k, *hit) for k, hit in tails if hit]
+        return got
+
+    def run(self) -> tuple[np.ndarray, np.ndarray]:
+        """(boundary, id or -1 for bytes) of all pieces, in order."""
+        longest, since, end = self.v.longest, 0, 0
+        best, width, ids = [0], bytearray(1), array("i", [-1])  # of the boundaries since .. end
+        look = 2 * longest
+        while end < self.n:
+            end += 1
+            top, k, name = None, 1, -1
+            for length, gain, i in self.pieces(end):
+                s = best[end - length - since] + gain
+                if top is None or s > top:
+                    top, k, name = s, length, i
+            s = best[end - 1 - since] + BYTE_SCORE * self.size[end - 1]
+            if top is None or s > top:
+                top, k, name = s, 1, -1
+            best.append(top)
+            width.append(k)
+            ids.append(name)
+            last = self.parts[-1]
+            last.width.append(k)
+            last.ids.append(name)
+            last.end = end
+            if end < look and end < self.n:
+                continue
+            self._commit(end)
+            period, to = self._returns(end, best, since)
+            if period:
+                self.parts.append(Rows(end, to, end - period, width[-period:], ids[-period:], True))
+                self.parts.append(Rows(to, to, to, bytearray(), array("i")))
+                gain = (to - end) // period * (best[-1] - best[-1 - period])
+                best, since, end = [b + gain for b in best[-longest:]], to - longest + 1, to
+                width, ids = bytearray(longest), array("i", [-1] * longest)
+                if end == self.n:
+                    self._commit(end)
+            elif len(best) > 32 * longest:
+                cut = len(best) - 10 * longest
+                del best[:cut], width[:cut], ids[:cut]
+                since += cut
+            look = end + max(2 * longest, sum(len(p.width) for p in self.parts))
+        none = [np.zeros(0, np.int64)]
+        return np.concatenate(self.ends or none), np.concatenate(self.ids or none)
+
+    def _returns(self, end: int, best: list[int], since: int) -> tuple[int, int]:
+        """(period, boundary up to which whole periods go) if the window's relative scores are those of one period ago and the text repeats; else (0, end)."""
+        longest = self.v.longest
+        for q, first, last in self.runs:
+            if first + longest <= end and last - end >= 4 * longest:
+                for period in range(q, 8 * longest + 1, q):
+                    if end - period - longest < max(first, since):
+                        break
+                    gain = best[-1] - best[-1 - period]
+                    if (last - end) // period >= 2 and all(best[-j] - best[-j - period] == gain for j in range(1, longest + 1)):
+                        return period, end + (last - end) // period * period
+                break  # the shortest period stands for its multiples
+        return 0, end
+
+    def _commit(self, end: int) -> None:
+        """Give out what lies before the boundary that all surviving paths share, if there is one."""
+        self.most_kept = max(self.most_kept, sum(len(p.width) for p in self.parts))
+        open_ = {end} if end == self.n else set(range(max(0, end - self.v.longest + 1), end + 1))
+        for part in reversed(self.parts):
+            if part.periodic:
+                open_ = {part.down(b) for b in open_}
+            else:
+                while len(open_) > 1 and (b := max(open_)) > part.start:
+                    open_.remove(b)
+                    open_.add(b - part.width[b - part.origin - 1])
+            if len(open_) == 1:
+                break
+        shared = min(open_)
+        if len(open_) > 1 or shared <= self.done:
+            return
+        ends, ids, b = [], [], shared
+        for part in reversed(self.parts):
+            b = part.down(b, ends, ids)
+        self.ends += [x[::-1] for x in reversed(ends)]
+        self.ids += [x[::-1] for x in reversed(ids)]
+        self.done = shared
+        self.parts = [p for p in self.parts[:-1] if p.end > shared] + self.parts[-1:]
+        head = self.parts[0]
+        if head.start < shared:
+            if not head.periodic:
+                gone = shared - head.origin
+                del head.width[:gone], head.ids[:gone]
+                head.origin = shared
+            head.start = shared
+
+
 def viterbi(v: Vocabulary, codes: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(flat ids, number of ids of each stream) of the streams codes[first : first + length]."""
     order = np.argsort(-length, kind="stable")
-    found = []
+    found, runs = [], repeats(codes, v.longest) if len(length) and length.max() >= RUN else []
+    if runs:
+        lone = {}
+        by_start = np.argsort(first, kind="stable")
+        begin, stop = first[by_start], (first + length)[by_start]
+        for q, a, b in runs:
+            for k in range(int(np.searchsorted(stop, a, "right")), int(np.searchsorted(begin, b))):
+                lo, hi = max(a, int(begin[k])), min(b, int(stop[k]))
+                if hi - lo >= RUN:
+                    lone.setdefault(int(by_start[k]), []).append((q, lo - int(begin[k]), hi - int(begin[k])))
+        for k, own in lone.items():
+            end, ids = Alone(v, codes[first[k] : first[k] + length[k]], own).run()
+            found.append((np.full(len(end), k), end, ids))
+        order = order[~np.isin(order, list(lone))]
     for lo in range(0, len(order), STREAMS):
         some = order[lo : lo + STREAMS]
         stream, end, ids = Windows(v, codes, first[some], length[some]).run()

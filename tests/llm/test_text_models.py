@@ -3,6 +3,8 @@
 import collections
 import math
 import random
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -301,6 +303,56 @@ def test_window_is_bounded_and_commits_early(vocabulary):
         assert flat[at[i] : at[i + 1]].tolist() == best_by_brute_force(vocabulary, plain, plain == 0x2581)
 
 
+def ids_by_rows(v, text):
+    """Ids of the best path, by a row of dynamic programming for each character."""
+    text = text.replace(" ", "\u2581")
+    best, back = [0], [None]
+    for end, c in enumerate(text, 1):
+        options = [(best[end - 1] + spiece.BYTE_SCORE * len(c.encode()), 0, None)]
+        for k in range(1, min(v.longest, end) + 1):
+            if got := v.score.get(text[end - k : end]):
+                options.append((best[end - k] + got[0], k, got[1]))
+        score, k, i = max(options, key=lambda o: o[:2])
+        best.append(score)
+        back.append((k, i))
+    out, end = [], len(text)
+    while end:
+        k, i = back[end]
+        out += [i] if k else spiece.byte_ids(v, text[end - 1])[::-1]
+        end -= k or 1
+    return out[::-1]
+
+
+def test_runs_are_coded_by_their_period(vocabulary):
+    random.seed(6)
+    units = [" ", "-", "=", "*", ".", "a", "0", "\n", "-=", "ab", "_-", "--=", "the", "\U0010ffff", "\u65e5"]
+    texts = [u * n for u in units for n in (1, 17, 100, 199, 255, 256, 257, 300, 1001)]
+    for _ in range(60):  # runs in the middle of other text, and next to other runs
+        texts.append("".join(random.choice([random.choice(units) * random.randint(1, 900), "".join(random.choices("abethr-= _.", k=random.randint(0, 20)))]) for _ in range(5)))
+    memo = spiece.Memo()
+    for t in texts:
+        assert spiece.encode_batch(vocabulary, [t], memo)[0].tolist() == ids_by_rows(vocabulary, t)
+    flat, n = spiece.encode_batch(vocabulary, texts)  # all of them side by side
+    assert flat.tolist() == [i for t in texts for i in ids_by_rows(vocabulary, t)]
+
+
+@pytest.mark.parametrize("unit", [" ", "-", "=", "a", "-=", "ab"])
+def test_window_is_bounded_on_runs(vocabulary, unit):
+    text = "ha" + unit * (1_000_000 // len(unit)) + "th"
+    codes = np.array([0x2581 if c == " " else ord(c) for c in text], np.int64)
+    one = spiece.Alone(vocabulary, codes, spiece.repeats(codes, vocabulary.longest))
+    began = time.process_time()
+    end, ids = one.run()
+    assert time.process_time() - began < 5
+    assert one.most_kept < 64 * vocabulary.longest and end[-1] == len(codes) and (np.diff(end) > 0).all()
+    tracemalloc.start()
+    flat, n = spiece.encode_batch(vocabulary, [text])
+    assert tracemalloc.get_traced_memory()[1] < 128 * len(text)
+    tracemalloc.stop()
+    raw, _ = spiece.decode_batch(vocabulary, flat, n)
+    assert raw.tobytes().decode() == text
+
+
 def test_real_texts_pass_through_the_windows(spark, vocabulary, monkeypatch):
     """Every stream of real texts is coded by Windows, once, and the memo changes nothing, full or not."""
     texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(60).collect()]
