@@ -8,8 +8,9 @@ gradient descent on the squared hinge loss.
 
 Languages and families come from the labels: ``FAMILIES`` names the family of common language codes,
 and a code that it doesn't name is a family of its own. The fit takes at most ``per_language`` labelled
-rows of each language and ``most_rows`` in all, evenly (the only bounds; documented parameters, rows chosen by a
-hash of the id), split 4:1 into training rows and rows on which the margins' slopes are calibrated. Prediction reads every
+texts of each language and ``most_rows`` in all, evenly (the only bounds; documented parameters). They are drawn by a
+hash of the text among the different texts of a language, copies counting once, so ids that are null or repeated
+and texts that are repeated change nothing; they are split 4:1 into training rows and rows on which the margins' slopes are calibrated. Prediction reads every
 whole text, chunk by chunk, in Arrow batches, with a model of a few hundred kB in the closure.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; texts of any length are
@@ -182,16 +183,23 @@ def train(x: np.ndarray, langs: list[str], order: np.ndarray) -> LanguageModel:
     return model
 
 
-def fit(labelled: DataFrame, per_language: int = 1000, most_rows: int = 20_000) -> LanguageModel:
-    """labelled (doc_id, text, lang) -> model, from at most ``per_language`` rows of each language and ``most_rows`` in all."""
-    rows = labelled.filter("lang is not null and lang <> '' and text is not null").select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+def draw(labelled: DataFrame, per_language: int, most_rows: int) -> tuple[DataFrame | None, list[str], int]:
+    """labelled (text, lang) -> ((lang, h, text) of different texts of each language, drawn by hash, up to about 1.4 times the bound; languages; the bound)."""
+    rows = labelled.filter("lang is not null and lang <> '' and text is not null").select("lang", "text", F.xxhash64("text", F.lit(7)).alias("h"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     if not counts:
-        return LanguageModel()
+        return None, [], 0
     per_language = max(1, min(per_language, most_rows // len(counts)))
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    share = F.element_at(F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1_000_000, 1_300_000 * per_language // n + 1))]), F.col("lang"))
-    sample = rows.filter(part < share).select("doc_id", "text", "lang", F.xxhash64("doc_id", F.lit(7)).alias("h"))
+    part = F.pmod(F.xxhash64("h", F.lit(11)), F.lit(1_000_000))
+    share = F.element_at(F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1_000_000, 1_400_000 * per_language // max(1, n) + 1))]), F.col("lang"))
+    return rows.filter(part < share).groupBy("lang", "h").agg(F.min("text").alias("text")), sorted(counts), per_language  # copies meet before they travel
+
+
+def fit(labelled: DataFrame, per_language: int = 1000, most_rows: int = 20_000) -> LanguageModel:
+    """labelled (text, lang) -> model, from at most ``per_language`` different texts of each language and ``most_rows`` in all."""
+    sample, languages, per_language = draw(labelled, per_language, most_rows)
+    if sample is None:
+        return LanguageModel()
 
     def extract(batches):
         for part, x in featured(batches):
@@ -201,7 +209,7 @@ def fit(labelled: DataFrame, per_language: int = 1000, most_rows: int = 20_000)
     got = sample.mapInArrow(bounded(extract), "lang string, h long, x binary").toArrow()
     h = got.column("h").to_numpy()
     langs = np.array(got.column("lang").to_pylist(), dtype=object)
-    keep = np.concatenate([np.flatnonzero(langs == c)[np.argsort(h[langs == c], kind="stable")][:per_language] for c in sorted(counts)]).astype(int)
+    keep = np.concatenate([np.flatnonzero(langs == c)[np.argsort(h[langs == c], kind="stable")][:per_language] for c in languages]).astype(int)
     packed = got.column("x")
     x = np.ones((len(keep), (1 << BITS) + 1), np.float32)
     for i, k in enumerate(keep):

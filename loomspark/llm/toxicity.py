@@ -18,8 +18,9 @@ labels at every size. They set, for each language with enough of them, the logit
 are told apart best, and the score is shifted so that this point maps to ``THRESHOLD``. Neither labels nor
 ``lang`` are inputs of a score.
 
-The network takes at most ``max_rows`` labelled rows (half of them toxic if there are so many), of a text of over
-``window`` characters a stretch of that length at a place given by a hash, and leaves out a quarter of them:
+The network takes at most ``max_rows`` different labelled texts (half of them toxic if there are so many), drawn by a
+hash of the text, so repeated ids and copies don't add to them; of a text of over
+``window`` characters a stretch of that length at a place given by a hash, and it leaves out a quarter of them:
 documented bounds, for the network only. Calibration and scoring read every whole text.
 
 Defined cases: a null or empty text, or one without letters, scores as a text of no words (a constant);
@@ -341,24 +342,32 @@ def histogram(docs: DataFrame, rated: DataFrame, model: ToxicityModel, trained:
     return counts, np.bincount(toxic, n, 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, window: int = 100_000, broadcast_rows: int = 500_000) -> ToxicityModel:
-    """docs (doc_id, text, lang), labels (doc_id, toxic) -> model: the network from at most max_rows rows, the thresholds from all others."""
-    rated = labels.filter("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    n = {r["toxic"]: r["count"] for r in rated.groupBy("toxic").count().collect()}
+def draw(docs: DataFrame, marks: DataFrame, max_rows: int, window: int) -> tuple[DataFrame, dict[int, int]]:
+    """docs (doc_id, text, lang), marks (distinct doc_id, toxic) -> (t, h, toxic, text, lang) of different texts, drawn by hash, about 1.2 times as many as wanted; the number wanted by label."""
+    texts = docs.filter("text is not null").select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"), F.xxhash64("text").alias("t"))
+    counted = texts.select("doc_id", "t").join(marks, "doc_id").groupBy("toxic").agg(F.approx_count_distinct("t", 0.02).alias("n"))
+    n = {r["toxic"]: r["n"] for r in counted.collect()}
     pos = min(n.get(1, 0), max_rows // 2)
     want = {1: pos, 0: min(n.get(0, 0), max_rows - pos)}
-    part = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000))
+    part = F.pmod(F.xxhash64("t", F.lit(11)), F.lit(1_000_000))
     share = {k: min(1_000_000, 1_200_000 * want[k] // max(1, n.get(k, 0)) + 1) for k in want}
-    drawn = rated.filter(part < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
-    texts = docs.filter("text is not null").select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"))
-    sample = texts.join(F.broadcast(drawn), "doc_id")  # about 1.2 max_rows rows of ids
-    h = F.xxhash64("doc_id", F.lit(7))
+    drawn = texts.filter(part < max(share.values())).join(marks, "doc_id").filter(part < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
+    h = F.xxhash64("t", F.lit(7))
     stretch = F.substring("text", F.pmod(h, F.greatest(F.length("text") - window, F.lit(0)) + 1).cast("int") + 1, F.lit(window))
-    got = sample.select(stretch.alias("text"), "lang", "toxic", h.alias("h"), F.xxhash64("text").alias("t")).toArrow()
+    drawn = drawn.select(stretch.alias("text"), "lang", "toxic", h.alias("h"), "t")
+    return drawn.groupBy("t", "h", "toxic").agg(F.min("text").alias("text"), F.min("lang").alias("lang")), want
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, window: int = 100_000, broadcast_rows: int = 500_000) -> ToxicityModel:
+    """docs (doc_id, text, lang), labels (doc_id, toxic) -> model: the network from at most max_rows texts, the thresholds from all others."""
+    rated = labels.filter("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    few = rated.count() <= broadcast_rows
+    sample, want = draw(docs, F.broadcast(rated.distinct()) if few else rated.distinct(), max_rows, window)
+    got = sample.toArrow()
 
     h, y = got.column("h").to_numpy(), got.column("toxic").to_numpy()
     chosen, seen, left = [], set(), dict(want)
-    for i in np.argsort(h, kind="stable"):
+    for i in np.lexsort((y, h)):
         text = got.column("text")[int(i)].as_py()
         if left[int(y[i])] > 0 and hash(text) not in seen:  # a copy teaches nothing
             seen.add(hash(text))
@@ -381,7 +390,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, window: int =
     del got, texts
     release_memory()
     if model.ready:
-        counts, every = histogram(docs, rated, model, trained, sum(n.values()) <= broadcast_rows)
+        counts, every = histogram(docs, rated, model, trained, few)
         model.calibrate(counts, every / np.maximum(1, counts.sum((0, 2))))
     return model
 
