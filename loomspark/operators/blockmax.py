@@ -1,6 +1,6 @@
 """Postings in blocks with bounds, and BM25 search that skips blocks which can't hold one of the best chunks.
 
-Chunks are dealt into spans of ``SPAN`` neighbours by length (bounds are tight when the lengths of a span are alike). A block holds a
+Chunks are dealt into spans of ``SPAN`` neighbours by size (bounds are tight when the lengths of a span are alike). A block holds a
 term's postings of one span, with its greatest tf and least length: whatever the corpus' statistics are by now, no posting of
 the block scores more than those two give. So a block stays valid when other buckets of the index change.
 
@@ -11,9 +11,13 @@ lazy plan: the k-th score is a scalar subquery.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions.scalar import bm25_idf, bm25_term
@@ -32,14 +36,66 @@ def lengths(chunks: DataFrame) -> DataFrame:
 
 def block_postings(chunks: DataFrame, span: int = SPAN) -> DataFrame:
     """chunks (chunk_id, text, bucket; a bucket's chunks are few enough for one task) -> bucket, term, span, n, max_tf, min_len, chunk_ids, tfs, lens."""
-    dealt = chunks.select("bucket", "chunk_id", F.coalesce("text", F.lit("")).alias("text")).repartition("bucket")  # the only shuffle: what follows stays in a bucket
-    words = dealt.select("bucket", "chunk_id", tokenize(F.col("text")).alias("w")).withColumn("len", F.size("w").cast("long"))
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("len", "chunk_id")) - 1
-    spans = words.withColumn("span", F.col("bucket").cast("long") * (1 << 32) + F.floor(place / span))
-    terms = spans.select("bucket", "span", "chunk_id", "len", F.explode("w").alias("term")).groupBy("bucket", "span", "chunk_id", "len", "term").agg(F.count("*").alias("tf"))
-    met = terms.groupBy("bucket", "span", "term").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "tf", "len"))).alias("p"))  # at most a span's chunks
-    own = lambda field: F.transform("p", lambda x: x[field])
-    return met.select("bucket", "term", "span", F.size("p").alias("n"), F.array_max(own("tf")).alias("max_tf"), F.array_min(own("len")).alias("min_len"), own("chunk_id").alias("chunk_ids"), own("tf").alias("tfs"), own("len").alias("lens"))
+    return blocks_of(chunks.select("bucket", "chunk_id", "text").repartition("bucket"), span)  # the only shuffle
+
+
+def blocks_of(dealt: DataFrame, span: int = SPAN) -> DataFrame:
+    """As ``block_postings``, of chunks each bucket of which lies in one partition.
+
+    Texts are put in order by their size and cut into words as they pass; a task holds the words of one batch and of one span.
+    """
+    text = F.coalesce("text", F.lit(""))
+    ordered = dealt.select(F.col("bucket").cast("int").alias("bucket"), "chunk_id", text.alias("text"), F.octet_length(text).alias("size")).sortWithinPartitions("bucket", "size", "chunk_id")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now, place = [], None, 0  # slices of the span that is open; its bucket; chunks of the bucket so far
+        for batch in batches:
+            at, buckets = 0, batch.column("bucket").to_numpy()
+            while at < batch.num_rows:
+                if buckets[at] != now:
+                    if held:
+                        yield _blocks(held, now, (place - 1) // span)
+                    held, now, place = [], int(buckets[at]), 0
+                end = min(at + span - place % span, int(np.searchsorted(buckets, now, "right")))
+                held.append(batch.slice(at, end - at))
+                place, at = place + end - at, end
+                if place % span == 0:
+                    yield _blocks(held, now, place // span - 1)
+                    held = []
+        if held:
+            yield _blocks(held, now, (place - 1) // span)
+
+    words = ordered.select("bucket", "chunk_id", tokenize(F.col("text")).alias("w"))
+    return words.mapInArrow(cut, "bucket int, term string, span long, n int, max_tf long, min_len long, chunk_ids array<string>, tfs array<long>, lens array<long>")
+
+
+def _blocks(held: list[pa.RecordBatch], bucket: int, number: int) -> pa.RecordBatch:
+    """held (chunk_id, w: words), the chunks of one span -> its blocks."""
+    rows = pa.Table.from_batches(held).combine_chunks()
+    rows = rows.take(pc.sort_indices(rows.column("chunk_id")))
+    ids, words = (rows.column(c).combine_chunks() for c in ("chunk_id", "w"))
+    length = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    many = max(1, len(ids))
+    posting, tf = np.unique(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * many + np.repeat(np.arange(len(ids)), length), return_counts=True)
+    term, chunk = posting // many, posting % many
+    first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
+    edge = pa.array(np.r_[first, len(term)].astype(np.int32))
+    listed = lambda values: pa.ListArray.from_arrays(edge, values)
+    lens = length[chunk]
+    reduced = lambda f, values: f.reduceat(values, first) if len(first) else values
+    columns = {
+        "bucket": pa.array(np.full(len(first), bucket, np.int32)),
+        "term": coded.dictionary.take(pa.array(term[first])),
+        "span": pa.array(np.full(len(first), bucket * (1 << 32) + number, np.int64)),
+        "n": pa.array(np.diff(np.r_[first, len(term)]).astype(np.int32)),
+        "max_tf": pa.array(reduced(np.maximum, tf).astype(np.int64)),
+        "min_len": pa.array(reduced(np.minimum, lens)),
+        "chunk_ids": listed(ids.take(pa.array(chunk))),
+        "tfs": listed(pa.array(tf.astype(np.int64))),
+        "lens": listed(pa.array(lens)),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
 def flat(blocks: DataFrame) -> DataFrame:

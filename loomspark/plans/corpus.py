@@ -11,10 +11,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.operators.blockmax import Postings, block_postings, lengths
+from loomspark.operators.blockmax import Postings, blocks_of
 from loomspark.sources.durable import ensure_checkpoint_dir
 from loomspark.sources.hadoop import Folder
-from loomspark.sources.store import SORTED, TABLES, bucket_of, buckets_for
+from loomspark.sources.store import SORTED, TABLES, buckets_for
 
 #: (application, files of the table) -> (folder, chunks, terms).
 _BUILT: dict[tuple, tuple[str, int, int]] = {}
@@ -32,11 +32,13 @@ def postings_of(chunks: DataFrame, table: str) -> Postings:
     return Postings(blocks, n, terms / n if n else None)
 
 
-def _build(spark: SparkSession, chunks: DataFrame, buckets: int) -> tuple[str, int, int]:
+def _build(spark: SparkSession, chunks: DataFrame, parts: int) -> tuple[str, int, int]:
+    """Texts are dealt evenly to parts of a bounded size, whatever the partitions of the session: the only shuffle. A part is a bucket."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/corpus-{uuid.uuid4().hex}"
-    dealt = chunks.select("chunk_id", "text", bucket_of(F.col("chunk_id"), buckets).alias("bucket"))
+    dealt = chunks.select("chunk_id", "text").repartition(parts, "chunk_id").withColumn("bucket", F.spark_partition_id())
     columns = [c.split()[0] for c in TABLES["postings"].split(", ")]
-    block_postings(dealt).sortWithinPartitions(*SORTED["postings"]).select(*columns).write.parquet(f"{folder}/postings")
-    n, terms = lengths(dealt).agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
-    return folder, n, terms
+    blocks_of(dealt).select(*columns).sortWithinPartitions(*SORTED["postings"]).write.parquet(f"{folder}/postings")
+    blocks = spark.read.schema(TABLES["postings"]).parquet(f"{folder}/postings")
+    terms = blocks.agg(F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda s, x: s + x))).first()[0] or 0
+    return folder, chunks.count(), terms
