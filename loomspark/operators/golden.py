@@ -18,8 +18,9 @@ ROWS = 1000
 
 def evaluate(golden: DataFrame, retrieved: DataFrame) -> DataFrame:
     """golden (query, expect array, k), retrieved (query, note_path, rank: by note) -> query, recall, found, missed."""
-    got = retrieved.join(golden.select("query", "k").distinct(), "query").filter("rank <= k").groupBy("query").agg(F.collect_set("note_path").alias("got"))  # k each
-    rows = golden.join(got, "query", "left").withColumn("got", F.coalesce("got", F.array().cast("array<string>")))
+    got = retrieved.groupBy("query").agg(F.collect_set(F.struct("rank", "note_path")).alias("got"))  # the retriever's limit each; ``golden`` is read once
+    near = F.transform(F.filter("got", lambda x: x["rank"] <= F.col("k")), lambda x: x["note_path"])
+    rows = golden.join(got, "query", "left").withColumn("got", F.coalesce(near, F.array().cast("array<string>")))
     r, found, missed = recall(F.col("expect"), F.col("got"))
     return rows.select("query", r.alias("recall"), found.alias("found"), missed.alias("missed"))
 
