@@ -19,9 +19,15 @@ with c the quantised counts, V the number of distinct tokens and Z the sum of th
 Scores need counts of every token and bigram, of which there may be more than any broadcast should hold. Blocks
 of documents send their distinct tokens and bigrams to the reducer of the segment, which holds the segment's
 filter for the probes and sums the tokens' exact counts for the base score. It sends both back to the block, whose
-tokens travel as numbers of its distinct tokens. So texts are read twice and shuffled never, and a frequent
+tokens travel as numbers of its distinct tokens, the frequent ones first. So texts are never shuffled, and a frequent
 token or bigram costs an entry per block.
 
+``fit`` and ``score`` do this apart, for a model that is kept or scores other texts. Where the training texts are among
+those to be scored, ``fit_score`` does both in one exchange: a block sends its trained counts along with what it asks,
+the segment's reducer makes the filter from them before it probes it, and each answer carries the segment's share of N,
+V and Z. The filter is the same, bit by bit; texts are tokenised once, and neither counts nor filters are sent or kept
+on their own.
+
 Defined cases: a null text is empty: one token, the end; texts of any length are scored whole; doc_id is of an integer
 type or a string of digits (any other is an error) and may be null; ties have no influence; repeated
 rows are scored one by one; with no training text N = V = 0; an empty table gives an empty result; extra
@@ -184,6 +190,11 @@ def _unpack_hashes(b: bytes, segment: int, segment_bits: int, tail: int) -> np.n
     return (np.uint64(segment) << np.uint64(64 - segment_bits)) | (rest << np.uint64(64 - segment_bits - tail))
 
 
+def _by_count(seen: np.ndarray) -> np.ndarray:
+    """Tokens by falling count: small numbers are frequent then, and pack well."""
+    return np.argsort(-seen, kind="stable")
+
+
 def segments_for(spark, size: int) -> int:
     """log2 of the number of segments for ``size`` bytes of training text."""
     return int(np.ceil(np.log2(max(64, int(spark.conf.get("spark.sql.shuffle.partitions")), size / SEGMENT_BYTES))))
@@ -199,11 +210,31 @@ def _edges(h: np.ndarray, segment_bits: int) -> np.ndarray:
     return np.searchsorted(h >> np.uint64(64 - segment_bits), np.arange((1 << segment_bits) + 1, dtype=np.uint64))
 
 
+def _filter(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray], entry_bits: int) -> tuple[np.ndarray, tuple[int, int, float]]:
+    """Packed bits of a segment's filter and its share of N, V and Z, from the (hashes, counts) of its unigrams and bigrams."""
+    entries = [(h, level(c)) for h, c in (one, two)]
+    bits = np.zeros(max(1024, entry_bits * int(sum(q.sum() for _, q in entries))), bool)
+    for h, q in entries:
+        j = 1
+        while len(h):
+            for p in bit_positions(h, j, len(bits)):
+                bits[p] = True
+            j += 1
+            h, q = h[q >= j], q[q >= j]
+    return np.packbits(bits), (int(one[1].sum()), len(one[0]), float(_MIDDLE[entries[0][1]].sum()))
+
+
+def _size(train: DataFrame) -> tuple[int, int]:
+    """Bytes and number of the training texts."""
+    size, texts = train.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")), F.count("*")).first()
+    return size or 0, texts
+
+
 def fit(train: DataFrame) -> CountFilter:
     """train (text) -> the filter, from all rows."""
     spark = train.sparkSession
-    size, texts = train.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")), F.count("*")).first()
-    s = segments_for(spark, size or 0)
+    size, texts = _size(train)
+    s = segments_for(spark, size)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, tok, of in _blocks(batches):
@@ -219,27 +250,13 @@ def fit(train: DataFrame) -> CountFilter:
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def make(seg, rows):
-            entries, stats = [], (0, 0, 0.0)
+            counted = []
             for kind in (1, 2):
                 own = [r for r in rows if r[0] == kind]
-                if not own:
-                    continue
-                h = np.concatenate([_unpack_hashes(r[1], seg, s, 64 - s if kind == 1 else 8 * TAIL_BYTES) for r in own])
-                h, c = _merged(h, np.concatenate([_unpack(r[2]) for r in own]).astype(np.int64))
-                q = level(c)
-                if kind == 1:
-                    stats = (int(c.sum()), len(h), float(_MIDDLE[q].sum()))
-                entries.append((h, q))
-            bits = np.zeros(max(1024, ENTRY_BITS * int(sum(q.sum() for _, q in entries))), bool)
-            for h, q in entries:
-                j = 1
-                while len(h):
-                    for p in bit_positions(h, j, len(bits)):
-                        bits[p] = True
-                    j += 1
-                    h, q = h[q >= j], q[q >= j]
-            packed = np.packbits(bits).tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([packed], pa.binary()), *(pa.array([x], pa.float64() if i == 2 else pa.int64()) for i, x in enumerate(stats))], ["seg", "bits", "n", "v", "z"])
+                h = [_unpack_hashes(r[1], seg, s, 64 - s if kind == 1 else 8 * TAIL_BYTES) for r in own]
+                counted.append(_merged(np.concatenate([*h, np.zeros(0, np.uint64)]), np.concatenate([*(_unpack(r[2]) for r in own), np.zeros(0, np.uint64)]).astype(np.int64)))
+            bits, stats = _filter(*counted, ENTRY_BITS)
+            return pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([bits.tobytes()], pa.binary()), *(pa.array([x], pa.float64() if i == 2 else pa.int64()) for i, x in enumerate(stats))], ["seg", "bits", "n", "v", "z"])
 
         at, rows = None, []
         for b in batches:
@@ -260,25 +277,36 @@ def fit(train: DataFrame) -> CountFilter:
 
 def score(docs: DataFrame, model: CountFilter) -> DataFrame:
     """docs (doc_id, text, trained boolean) -> doc_id, n_tokens, n_known, train_tokens, base_score, score."""
-    s, n_train, n_distinct, z, texts = model.segment_bits, model.n_tokens, model.n_distinct, model.z, model.texts
-    log_z = float(np.log10(n_train + n_distinct + 1))
+    return _scored(docs, model.segment_bits, model.texts, model)
+
+
+def fit_score(docs: DataFrame) -> DataFrame:
+    """``score(docs, fit(docs.filter("trained")))``, in one exchange."""
+    size, texts = _size(docs.filter("trained"))
+    return _scored(docs, segments_for(docs.sparkSession, size), texts, None)
+
+
+def _scored(docs: DataFrame, s: int, texts: int, model: CountFilter | None) -> DataFrame:
+    """Without a model, segments make their filters from the trained texts."""
+    fitting, known_totals = model is None, model and (model.n_tokens, model.n_distinct, model.z)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partition = TaskContext.get().partitionId()
-        names = ["seg", "block", "ids", "tokens", "at", "h", "c", "g", "bits"]
+        names = ["seg", "block", "ids", "tokens", "seen", "at", "h", "c", "g", "d", "bits"]
         for number, (parts, tok, of) in enumerate(_blocks(batches)):
             n = sum(p.num_rows for p in parts)
             ids = np.concatenate([p.column("doc_id").cast(pa.int64()).fill_null(-(1 << 63)).to_numpy() for p in parts])
             trained = np.concatenate([p.column("trained").fill_null(False).to_numpy(zero_copy_only=False) for p in parts])
-            u, at = np.unique(tok, return_inverse=True)
+            u, at, seen = np.unique(tok, return_inverse=True, return_counts=True)
             c = np.bincount(at, trained[of], len(u))
-            g = np.unique(pair_hash(contexts(tok, of), tok, s))
+            g, which = np.unique(pair_hash(contexts(tok, of), tok, s), return_inverse=True)
+            d = np.bincount(which, trained[of], len(g)) if fitting else None
             edge, pair = _edges(u, s), _edges(g, s)
-            live = np.flatnonzero(np.diff(edge) + np.diff(pair))
+            live = np.arange(1 << s) if fitting else np.flatnonzero(np.diff(edge) + np.diff(pair))  # every segment fitted has totals to send back
             k = len(live) + 1
             where = (partition * 40_503 + number) % (1 << s)
-            head = (ids.tobytes(), _pack(np.bincount(of, minlength=n)), _pack(at))
-            sent = ([_pack_hashes(u[edge[i] : edge[i + 1]], s, 64 - s) for i in live], [_pack(c[edge[i] : edge[i + 1]]) for i in live], [_pack_hashes(g[pair[i] : pair[i + 1]], s, 8 * TAIL_BYTES) for i in live])
+            head = (ids.tobytes(), _pack(np.bincount(of, minlength=n)), _pack(seen), _pack(np.argsort(_by_count(seen))[at]))
+            sent = ([_pack_hashes(u[edge[i] : edge[i + 1]], s, 64 - s) for i in live], [_pack(c[edge[i] : edge[i + 1]]) for i in live], [_pack_hashes(g[pair[i] : pair[i + 1]], s, 8 * TAIL_BYTES) for i in live], [_pack(d[pair[i] : pair[i + 1]]) if fitting else None for i in live])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([where, *live.tolist()], pa.int32()), pa.array([partition << 32 | number] * k, pa.int64())]
                 + [pa.array([x, *[None] * (k - 1)], pa.binary()) for x in head]
@@ -288,24 +316,46 @@ def score(docs: DataFrame, model: CountFilter) -> DataFrame:
             )
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["block", "seg", "ids", "tokens", "at", "h", "counts", "levels", "pairs"]
+        names = ["block", "seg", "ids", "tokens", "seen", "at", "h", "counts", "levels", "pairs", "n", "v", "z"]
+        kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 8, pa.int64(), pa.int64(), pa.float64()]
+
+        def batch(rows):
+            return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)], names)
+
+        def trained_pairs(seg, rows):
+            for _, _, _, tails, d in rows:
+                c = _unpack(d).astype(np.int64)
+                yield _unpack_hashes(tails, seg, s, 8 * TAIL_BYTES)[c > 0], c[c > 0]
+
+        def groups(seg, rows):
+            """Rows of about BLOCK_WORDS bigrams together: (first, end, their bigrams)."""
+            lo, tails, size = 0, [], 0
+            for hi, r in enumerate(rows, 1):
+                tails.append(_unpack_hashes(r[3], seg, s, 8 * TAIL_BYTES))
+                size += len(tails[-1])
+                if size >= BLOCK_WORDS or hi == len(rows):
+                    yield lo, hi, tails
+                    lo, tails, size = hi, [], 0
 
         def make(seg, bits, rows):
-            bits = np.frombuffer(bits, np.uint8) if bits is not None else np.zeros(128, np.uint8)
             hs = [_unpack_hashes(r[1], seg, s, 64 - s) for r in rows]
             u, c = _merged(np.concatenate(hs), np.concatenate([_unpack(r[2]) for r in rows]).astype(np.int64))
+            if fitting:
+                bits, totals = _filter((u[c > 0], c[c > 0]), _merged(*map(np.concatenate, zip(*trained_pairs(seg, rows)))), ENTRY_BITS)
+            else:
+                bits, totals = np.frombuffer(bits, np.uint8) if bits is not None else np.zeros(128, np.uint8), (None, None, None)
             levels = probed(bits, u)
-            for (block, sent, _, tails), h in zip(rows, hs):
-                own = np.searchsorted(u, h)
-                back = (sent, _pack(c[own]), _pack(levels[own]), _pack(probed(bits, _unpack_hashes(tails, seg, s, 8 * TAIL_BYTES))))
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([seg], pa.int32()), *[pa.nulls(1, pa.binary())] * 3, *(pa.array([x], pa.binary()) for x in back)], names)
+            for lo, hi, tails in groups(seg, rows):
+                pairs = np.split(probed(bits, np.concatenate(tails)), np.cumsum([len(x) for x in tails])[:-1])
+                own = [np.searchsorted(u, h) for h in hs[lo:hi]]
+                yield batch([(r[0], seg, *[None] * 4, r[1], _pack(c[o]), _pack(levels[o]), _pack(p), *totals) for r, o, p in zip(rows[lo:hi], own, pairs)])
 
         at, bits, rows = None, None, []
         for b in batches:
-            for r in zip(*(b.column(c) for c in ("seg", "block", "h", "c", "g", "bits", "ids", "tokens", "at"))):
-                seg, block, h, c, g, own = (x.as_py() for x in r[:6])
+            for r in zip(*(b.column(c) for c in ("seg", "block", "h", "c", "g", "d", "bits", "ids", "tokens", "seen", "at"))):
+                seg, block, h, c, g, d, own = (x.as_py() for x in r[:7])
                 if h is None and own is None:
-                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.nulls(1, pa.int32()), *(pa.array([x.as_py()], pa.binary()) for x in r[6:]), *[pa.nulls(1, pa.binary())] * 4], names)
+                    yield batch([(block, None, *(x.as_py() for x in r[7:]), *[None] * 7)])
                     continue
                 if seg != at:
                     if rows:
@@ -314,17 +364,19 @@ def score(docs: DataFrame, model: CountFilter) -> DataFrame:
                 if own is not None:  # comes first
                     bits = own
                 else:
-                    rows.append((block, h, c, g))
+                    rows.append((block, h, c, g, d))
         if rows:
             yield from make(at, bits, rows)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def make(rows):
             head = next(r for r in rows if r["ids"] is not None)
-            ids, n_tokens, at = np.frombuffer(head["ids"], "<i8"), _unpack(head["tokens"]).astype(np.int64), _unpack(head["at"]).astype(np.int64)
+            ids, n_tokens, seen = np.frombuffer(head["ids"], "<i8"), _unpack(head["tokens"]).astype(np.int64), _unpack(head["seen"]).astype(np.int64)
+            at = _by_count(seen)[_unpack(head["at"]).astype(np.int64)]
             n = len(ids)
             of = np.repeat(np.arange(n), n_tokens)
             rows = sorted((r for r in rows if r["ids"] is None), key=lambda r: r["seg"])
+            n_train, n_distinct, z = (sum(r[c] for r in rows) for c in ("n", "v", "z")) if fitting else known_totals
             words = np.concatenate([_unpack_hashes(r["h"], r["seg"], s, 64 - s) for r in rows])
             counts, levels, pairs = (np.concatenate([_unpack(r[c]) for r in rows]).astype(np.int64) for c in ("counts", "levels", "pairs"))
             tok = words[at]
@@ -333,7 +385,7 @@ def score(docs: DataFrame, model: CountFilter) -> DataFrame:
             known = np.bincount(of, (counts > 0)[at], n).astype(np.int64)
             scores = log_probability(_MIDDLE[levels][at], _MIDDLE[pairs][pair], of, n, n_distinct, z, texts) if n_train else np.zeros(n)
             doc = pa.array(ids, mask=ids == -(1 << 63))
-            return pa.RecordBatch.from_arrays([doc, pa.array(n_tokens), pa.array(known), pa.array(np.full(n, n_train, np.int64)), pa.array(sums - n_tokens * log_z), pa.array(scores)], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            return pa.RecordBatch.from_arrays([doc, pa.array(n_tokens), pa.array(known), pa.array(np.full(n, n_train, np.int64)), pa.array(sums - n_tokens * np.log10(n_train + n_distinct + 1)), pa.array(scores)], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
         at, rows = None, []
         for b in batches:
@@ -346,7 +398,8 @@ def score(docs: DataFrame, model: CountFilter) -> DataFrame:
         if rows:
             yield make(rows)
 
-    asked = docs.select("doc_id", "text", "trained").mapInArrow(bounded(ask), "seg int, block long, ids binary, tokens binary, at binary, h binary, c binary, g binary, bits binary")
-    asked = asked.unionByName(model.segments, allowMissingColumns=True)
-    answered = asked.repartition(tasks_for(docs.sparkSession, s), "seg").sortWithinPartitions("seg", F.col("bits").isNull()).mapInArrow(bounded(answer), "block long, seg int, ids binary, tokens binary, at binary, h binary, counts binary, levels binary, pairs binary")
+    asked = docs.select("doc_id", "text", "trained").mapInArrow(bounded(ask), "seg int, block long, ids binary, tokens binary, seen binary, at binary, h binary, c binary, g binary, d binary, bits binary")
+    if model:
+        asked = asked.unionByName(model.segments, allowMissingColumns=True)
+    answered = asked.repartition(tasks_for(docs.sparkSession, s), "seg").sortWithinPartitions("seg", F.col("bits").isNull()).mapInArrow(bounded(answer), "block long, seg int, ids binary, tokens binary, seen binary, at binary, h binary, counts binary, levels binary, pairs binary, n long, v long, z double")
     return answered.repartition("block").sortWithinPartitions("block").mapInArrow(bounded(finish), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

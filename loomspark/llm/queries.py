@@ -110,8 +110,7 @@ from documents left join n using (doc_id) left join (select a doc_id, min(b) m f
 @query
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod("doc_id", 7) != 2).alias("trained"))
-    scored = lmscore.score(docs, lmscore.fit(docs.filter("trained").select("text")))
-    return scored.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return lmscore.fit_score(docs).select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 @query
